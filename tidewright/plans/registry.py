@@ -7,12 +7,12 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.plans import prepared
+from tidewright.plans import prepared, snapshots
 from tidewright.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "p4_regular"
-MODULES = (prepared,)
+FLAGSHIP = "svd_spectrum"
+MODULES = (snapshots, prepared)
 
 
 def shipped(own: dict[str, Query]) -> dict[str, Query]:
