@@ -15,16 +15,18 @@ def lower_median(values: Column) -> Column:
 
 
 def iqr_outliers(df: DataFrame, key: str, order: str, value: str, k: float = 1.5, nb: int = 3, replace: Callable[[Column], Column] = lower_median) -> DataFrame:
-    """``df`` with ``outlier`` and ``repaired``.
+    """key, order, value, ``outlier`` and ``repaired``.
 
     Quartiles interpolate linearly. A value is an outlier if it lies more than ``k`` interquartile ranges
     beyond a quartile; it is replaced by ``replace`` of the original values from ``nb`` before it to ``nb``
     - 1 after it. Null values are neither counted nor replaced. A row's series is the unit of work; the
     quartiles are a plain aggregation joined back.
     """
+    df = df.select(key, order, value)
     q = df.groupBy(key).agg(F.expr(f"percentile({value}, array(0.25D, 0.75D))").alias("_q"))
     near = W.partitionBy(key).orderBy(order).rowsBetween(-nb, nb - 1)
-    x = df.join(q, df[key].eqNullSafe(q[key])).drop(q[key])
+    q = q.withColumnRenamed(key, "_key")
+    x = df.join(q, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     iqr = F.col("_q")[1] - F.col("_q")[0]
     out = (F.col(value) < F.col("_q")[0] - k * iqr) | (F.col(value) > F.col("_q")[1] + k * iqr)
     x = x.withColumn("outlier", F.coalesce(out, F.lit(False))).withColumn("_near", F.collect_list(value).over(near))

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from tidewright.session import once
 
+#: A cell's readings are ordered in this many parts, so that no task orders all readings of a crowded cell.
+PARTS = 64
 #: A folder name that is a time.
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -46,7 +48,7 @@ def usable(readings: DataFrame) -> DataFrame:
 
 def placed(readings: DataFrame, grids: DataFrame) -> DataFrame:
     """The usable readings with their slot; one row per time of a series."""
-    g = grids.where("delta_t > 0 and n_slots > 0").select("series_id", "t_start", "delta_t", "n_slots")
+    g = once(grids, "series_id").where("delta_t > 0 and n_slots > 0").select("series_id", "t_start", "delta_t", "n_slots")
     # Readings of one time are averaged before the join, so no slot holds two rows of a time.
     one = usable(readings).groupBy("series_id", "t").agg(F.avg("value").alias("value"), F.count("*").alias("n"))
     slot = nearest_slot(F.col("t"), F.col("t_start"), F.col("delta_t"))
@@ -55,21 +57,26 @@ def placed(readings: DataFrame, grids: DataFrame) -> DataFrame:
 
 def slots(grids: DataFrame) -> DataFrame:
     """One row per slot of every grid."""
-    g = grids.where("delta_t > 0 and n_slots > 0")
+    g = once(grids, "series_id").where("delta_t > 0 and n_slots > 0")
     return g.select("series_id", "t_start", "delta_t", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_slots").cast("bigint") - 1)).alias("slot"))
 
 
 def regular(readings: DataFrame, grids: DataFrame, hold: float = 2.0, block: int = 1024) -> DataFrame:
     """One row per slot of every series: number of readings, value, coverage and how the value came about.
 
-    Within a cell the intervals are ordered by a window over (series, slot), so a long series is not one
-    task's work. What reaches in from earlier cells is the last reading before: it is carried first within
+    Within a cell the intervals are ordered by windows over parts of it, so neither a long series nor a
+    crowded cell is one task's work. What reaches in from earlier cells is the last reading before: it is carried first within
     blocks of ``block`` slots, then between blocks, of which there is one row each.
     """
     p = placed(readings, grids)
     lo, hi = F.col("t_start") + (F.col("slot") - 0.5) * F.col("delta_t"), F.col("t_start") + (F.col("slot") + 0.5) * F.col("delta_t")
-    cell = W.partitionBy("series_id", "slot").orderBy("t")
-    span = F.least(F.coalesce(F.lead("t").over(cell), hi), F.col("t") + hold * F.col("delta_t"), hi) - F.col("t")
+    # The next reading's time within the cell: within parts of the cell first, then from part to part.
+    p = p.withColumn("part", F.floor((F.col("t") - lo) / F.col("delta_t") * PARTS))
+    starts = p.groupBy("series_id", "slot", "part").agg(F.min("t").alias("_first"))
+    later = W.partitionBy("series_id", "slot").orderBy("part")
+    starts = starts.select("series_id", "slot", "part", F.lead("_first").over(later).alias("_next"))
+    p = p.join(starts, ["series_id", "slot", "part"]).withColumn("next_t", F.coalesce(F.lead("t").over(W.partitionBy("series_id", "slot", "part").orderBy("t")), F.col("_next")))
+    span = F.least(F.coalesce("next_t", hi), F.col("t") + hold * F.col("delta_t"), hi) - F.col("t")
     own = (
         p.withColumn("span", F.greatest(span, F.lit(0.0)))
         .groupBy("series_id", "slot")

@@ -1,4 +1,9 @@
-"""Windows over time: shifted pairs, delays, supervised pairs, runs and transitions between labels."""
+"""Windows over time: shifted pairs, delays, supervised pairs, runs and transitions between labels.
+
+Only the named columns take part. Rows of equal order count in any order, so the order should be unique per
+key; null keys are a key of their own. Supervised pairs leave out windows with a null value, delays and
+shifted pairs keep nulls; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +17,7 @@ from pyspark.sql import functions as F
 def shift_pairs(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
     """Each value with the next of its key: columns keys, order, x, y."""
     w = W.partitionBy(*keys).orderBy(order)
+    df = df.select(*keys, order, value)
     return df.withColumn("y", F.lead(value).over(w)).withColumn("_n", F.lead(order).over(w)).where(F.col("_n").isNotNull()).select(*keys, order, F.col(value).alias("x"), "y")
 
 
@@ -20,7 +26,7 @@ def delay_embedding(df: DataFrame, keys: Sequence[str], order: str, value: str,
     if delay < 1:
         raise ValueError("the delay must be at least 1")
     w = W.partitionBy(*keys).orderBy(order).rowsBetween(0, delay - 1)
-    x = df.withColumn("_w", F.collect_list(F.struct(F.col(value).alias("v"))).over(w)).where(F.size("_w") == delay)
+    x = df.select(*keys, order, value).withColumn("_w", F.collect_list(F.struct(F.col(value).alias("v"))).over(w)).where(F.size("_w") == delay)
     return x.select(*keys, order, F.posexplode("_w").alias("lag", "_v")).select(*keys, order, "lag", F.col("_v.v").alias(value))
 
 
@@ -29,7 +35,7 @@ def sequence_pairs(df: DataFrame, keys: Sequence[str], order: str, value: str, d
     delays, horizon = max(1, delays), max(1, horizon)
     w = W.partitionBy(*keys).orderBy(order)
     a, b = w.rowsBetween(0, delays - 1), w.rowsBetween(delays, delays + horizon - 1)
-    x = df.withColumn("feature", F.collect_list(value).over(a)).withColumn("label", F.collect_list(value).over(b))
+    x = df.select(*keys, order, value).withColumn("feature", F.collect_list(value).over(a)).withColumn("label", F.collect_list(value).over(b))
     return x.where((F.size("feature") == delays) & (F.size("label") == horizon)).select(*keys, order, "feature", "label")
 
 
@@ -62,7 +68,7 @@ def run_dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str], label:
     """The first row of each run of equal labels, with its number ``run`` and length ``length``."""
     w = W.partitionBy(*keys).orderBy(*order)
     new = F.when(F.lag(label).over(w).eqNullSafe(F.col(label)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    x = df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    x = df.select(*keys, *order, label).withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     runs = x.groupBy(*keys, "run").agg(F.first(label).alias(label), F.count("*").alias("length"), *(F.min(o).alias(o) for o in order[:1]))
     return runs.select(*keys, "run", order[0], label, "length")
 
