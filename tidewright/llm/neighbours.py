@@ -201,7 +201,7 @@ def knn(places: DataFrame, k: int = 5, sample: int = SAMPLE, leaf: int = LEAF) -
 
     def probe(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if len(q) == 0 or len(p) == 0:
-            return pd.DataFrame({"place": [], "near": []})
+            return pd.DataFrame({"place": np.zeros(0, np.int64), "near": pd.Series([], dtype=object)})
         most = q["most"].to_numpy()
         row, found, d2 = nearest(vectors(q), q["place"].to_numpy(), vectors(p), p["place"].to_numpy(), k, np.where(np.isinf(most), most, most * (1 + 1e-12)))
         return pd.DataFrame({"place": q["place"], "near": _lists(len(q), row, found, d2)})

@@ -150,11 +150,11 @@ def placed(rows: DataFrame, tree, radius: float, most: int, sizes: dict[int, int
 
 
 def peaks(places: DataFrame, radius: float, sample: int = SAMPLE, leaf: int = LEAF, most: int = MOST) -> DataFrame:
-    """place, density, mean distance to the neighbours, and the denser place it points to (null for peaks)."""
+    """place, weight, density, mean distance to the neighbours, and the denser place it points to (null for peaks)."""
     n = places.count()
     fit = places.orderBy(F.xxhash64("place"), "place").limit(sample).select("vec").toPandas()
     if n == 0:
-        return places.select("place", F.lit(0).cast("bigint").alias("density"), F.lit(0.0).alias("spread"), F.lit(None).cast("bigint").alias("to")).limit(0)
+        return places.select("place", "weight", F.lit(0).cast("bigint").alias("density"), F.lit(0.0).alias("spread"), F.lit(None).cast("bigint").alias("to")).limit(0)
     tree = Blocks(_vectors(fit), n, radius, leaf)
     spark = places.sparkSession
     made = spark.sparkContext.broadcast(tree)
@@ -171,7 +171,7 @@ def peaks(places: DataFrame, radius: float, sample: int = SAMPLE, leaf: int = LE
     def density(p: pd.DataFrame) -> pd.DataFrame:
         a, b = p[p["left"]], p[p["right"]]
         if len(a) == 0:
-            return pd.DataFrame({"place": [], "n": [], "far": []})
+            return pd.DataFrame({"place": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "far": np.zeros(0)})
         w = b["weight"].to_numpy()
         total, far = np.zeros(len(a)), np.zeros(len(a))
         for i, j, d2 in near_pairs(_vectors(a), _vectors(b), radius):
@@ -196,7 +196,7 @@ def peaks(places: DataFrame, radius: float, sample: int = SAMPLE, leaf: int = LE
                 i, j, d2 = i[order], j[order], d2[order]
                 one = np.concatenate(([True], i[1:] != i[:-1])) if len(i) else np.zeros(0, bool)
                 found.append(pd.DataFrame({"place": ia[i[one]], "d2": d2[one], "to": ib[j[one]]}))
-        return pd.concat(found) if found else pd.DataFrame({"place": [], "d2": [], "to": []})
+        return pd.concat(found) if found else pd.DataFrame({"place": np.zeros(0, np.int64), "d2": np.zeros(0), "to": np.zeros(0, np.int64)})
 
     # Alone in its radius a place has nothing to point to.
     crowd = known.where(F.col("density") >= F.col("weight"))
