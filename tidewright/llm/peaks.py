@@ -11,8 +11,8 @@ block of more than ``most`` vectors is cut into parts, and each pair of parts is
 task holds an unbounded block. Distances are direct differences in double precision.
 
 Where the vectors within reach of each other form sets that are all similar to each other, each set has one
-peak, its smallest id, and the clusters are exactly the sets connected by similarity; elsewhere a connected
-set with several peaks is divided between them.
+peak, its smallest id. Elsewhere a set connected by similarity may have several peaks; ``clusters`` then
+joins those whose members are similar across the border, so that its clusters are exactly the connected sets.
 
 Defined results
 ---------------
@@ -149,24 +149,13 @@ def placed(rows: DataFrame, tree, radius: float, most: int, sizes: dict[int, int
     return rows.mapInPandas(run, f"{schema}, block int, i int, j int, left boolean, right boolean").select(*cols, "block", "i", "j", "left", "right")
 
 
-def peaks(places: DataFrame, radius: float, sample: int = SAMPLE, leaf: int = LEAF, most: int = MOST) -> DataFrame:
+def peaks(places: DataFrame, radius: float, sample: int = SAMPLE, leaf: int = LEAF, most: int = MOST, tree: Blocks | None = None, sizes: dict[int, int] | None = None) -> DataFrame:
     """place, weight, density, mean distance to the neighbours, and the denser place it points to (null for peaks)."""
     n = places.count()
-    fit = places.orderBy(F.xxhash64("place"), "place").limit(sample).select("vec").toPandas()
     if n == 0:
         return places.select("place", "weight", F.lit(0).cast("bigint").alias("density"), F.lit(0.0).alias("spread"), F.lit(None).cast("bigint").alias("to")).limit(0)
-    tree = Blocks(_vectors(fit), n, radius, leaf)
-    spark = places.sparkSession
-    made = spark.sparkContext.broadcast(tree)
-
-    def sizes_of(batches):
-        for p in batches:
-            if len(p):
-                b, c = np.unique(made.value.reach(_vectors(p), radius)[1], return_counts=True)
-                yield pd.DataFrame({"block": b, "n": c})
-
-    count = places.select("vec").mapInPandas(sizes_of, "block int, n bigint").groupBy("block").agg(F.sum("n").alias("n")).where(F.col("n") > most)
-    sizes = {r["block"]: -(-r["n"] // most) for r in count.collect()}  # at most n / most blocks
+    tree = tree or tree_of(places, n, radius, sample, leaf)
+    sizes = part_counts(places, tree, radius, most) if sizes is None else sizes
 
     def density(p: pd.DataFrame) -> pd.DataFrame:
         a, b = p[p["left"]], p[p["right"]]
@@ -206,6 +195,58 @@ def peaks(places: DataFrame, radius: float, sample: int = SAMPLE, leaf: int = LE
     return known.select("place", "weight", "density", spread.alias("spread")).join(to, "place", "left")
 
 
+def tree_of(places: DataFrame, n: int, radius: float, sample: int, leaf: int) -> Blocks:
+    """Blocks fitted on the ``sample`` rows that come first by the hash of their id."""
+    fit = places.orderBy(F.xxhash64("place"), "place").limit(sample).select("vec").toPandas()
+    return Blocks(_vectors(fit), n, radius, leaf)
+
+
+def part_counts(places: DataFrame, tree: Blocks, radius: float, most: int) -> dict[int, int]:
+    """Number of parts of the blocks with more than ``most`` rows; there are at most n / most of them."""
+    made = places.sparkSession.sparkContext.broadcast(tree)
+
+    def sizes_of(batches):
+        for p in batches:
+            if len(p):
+                b, c = np.unique(made.value.reach(_vectors(p), radius)[1], return_counts=True)
+                yield pd.DataFrame({"block": b, "n": c})
+
+    count = places.select("vec").mapInPandas(sizes_of, "block int, n bigint").groupBy("block").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    return {r["block"]: -(-r["n"] // most) for r in count.collect()}
+
+
+def bridges(rooted: DataFrame, tree: Blocks, radius: float, most: int, sizes: dict[int, int]) -> DataFrame:
+    """Pairs of peaks (both ways) whose followers are within ``radius`` of each other. ``rooted``: place, vec, root."""
+
+    def across(p: pd.DataFrame) -> pd.DataFrame:
+        a, b = p[p["left"]], p[p["right"]]
+        ra, rb = a["root"].to_numpy(), b["root"].to_numpy()
+        found = [np.zeros((0, 2), np.int64)]
+        if len(a):
+            for i, j, _ in near_pairs(_vectors(a), _vectors(b), radius):
+                other = ra[i] != rb[j]
+                found.append(np.column_stack([ra[i[other]], rb[j[other]]]))
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+
+    made = placed(rooted.select("place", "root", "vec"), tree, radius, most, sizes).groupBy("block", "i", "j").applyInPandas(across, "a bigint, b bigint")
+    return made.union(made.select("b", "a")).distinct()
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """a and the smallest id of its connected set, for edges (a, b) given both ways."""
+    edges = cut(edges)
+    label = cut(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")))
+    while True:
+        near = edges.join(label.select(F.col("a").alias("b"), F.col("to").alias("n")), "b").groupBy("a").agg(F.min("n").alias("n"))
+        nxt = label.join(near, "a").select("a", F.least("to", "n").alias("n"), "to")
+        # One more step along the labels found so far.
+        jump = label.select(F.col("a").alias("n"), F.col("to").alias("m"))
+        nxt = cut(nxt.join(jump, "n", "left").select("a", F.least("n", "m").alias("new"), "to"))
+        if nxt.where("new <> to").limit(1).count() == 0:
+            return nxt.select("a", "to")
+        label = nxt.select("a", F.col("new").alias("to"))
+
+
 def follow(pointers: DataFrame) -> DataFrame:
     """place and the peak at the end of its pointers; each round doubles the way that a pointer spans."""
     cur = cut(pointers.where("to is not null").select("place", "to"))
@@ -224,12 +265,21 @@ def clean(rows: DataFrame, key: str, vec: Column, dims: int) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).select(F.col(key).alias("member"), v.alias("vec")).where(ok).dropDuplicates(["member"])
 
 
-def clusters(members: DataFrame, radius: float, least: int = 4, **options: int) -> DataFrame:
+def clusters(members: DataFrame, radius: float, least: int = 4, sample: int = SAMPLE, leaf: int = LEAF, most: int = MOST) -> DataFrame:
     """member, cluster_id (the smallest member), size, density and spread; clusters of at least ``least`` members."""
     members = cut(members)
     places = cut(members.groupBy("vec").agg(F.min("member").alias("place"), F.count("*").alias("weight")).select("place", "weight", "vec"))
-    p = cut(peaks(places, radius, **options))
-    root = p.join(follow(p).withColumnRenamed("to", "root"), "place", "left").select("place", "weight", "density", "spread", F.coalesce("root", "place").alias("root"))
+    n = places.count()
+    tree = tree_of(places, max(n, 1), radius, sample, leaf) if n else None
+    sizes = part_counts(places, tree, radius, most) if n else {}
+    p = cut(peaks(places, radius, most=most, tree=tree, sizes=sizes))
+    root = cut(p.join(follow(p).withColumnRenamed("to", "root"), "place", "left").select("place", "weight", "density", "spread", F.coalesce("root", "place").alias("root")))
+    if n:
+        crowd = root.where(F.col("density") >= F.col("weight")).select("place", "root").join(places.select("place", "vec"), "place")
+        border = cut(bridges(crowd, tree, radius, most, sizes))
+        if border.limit(1).count():
+            joined = connected(border).select(F.col("a").alias("root"), F.col("to").alias("_to"))
+            root = root.join(joined, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to")
     size = root.groupBy("root").agg(F.sum("weight").alias("size"), F.min("place").alias("cluster_id")).where(F.col("size") >= least)
     of = root.join(size, "root").select("place", "cluster_id", "size", "density", "spread")
     # A place's members are its copies: those held once are the place itself, others are looked up by their vector.
