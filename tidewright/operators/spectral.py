@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import dense
-from tidewright.operators.linalg import SVD, Matrix
+from tidewright.operators.linalg import SVD, Matrix, minus
 
 
 class DFT:
@@ -389,8 +389,6 @@ class AMSPOD:
             return out
         n = out.n
         mean = self.x.map_rows(lambda v: np.repeat(v.mean(axis=1, keepdims=True), n, axis=1), n, self.x.complex)
-        from tidewright.operators.linalg import minus
-
         return minus(out, mean.map_rows(lambda v: -v, n, self.x.complex))
 
     def mode_reconstruction(self, f_idx: int, eig_idx: int = 0, dt: float | None = None, n: int | None = None) -> Matrix:
@@ -400,7 +398,8 @@ class AMSPOD:
         t = np.arange(n or 25) * dt
         m = self.modes([f_idx])
         wave = np.exp(2j * np.pi * f * t)
-        return m.map_rows(lambda v: v[:, eig_idx : eig_idx + 1] * wave if self.x.complex else (v[:, eig_idx : eig_idx + 1] * wave).real, len(t), self.x.complex)
+        cplx = self.x.complex
+        return m.map_rows(lambda v: v[:, eig_idx : eig_idx + 1] * wave if cplx else (v[:, eig_idx : eig_idx + 1] * wave).real, len(t), cplx)
 
 
 class PAMSPOD(AMSPOD):
