@@ -375,3 +375,31 @@ def test_knn_weights(spark):
     d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), axis=1)[:, :4].mean(axis=1) ** 3
     ref = np.sqrt(d / d.sum()) / np.sqrt(d / d.sum()).max()
     assert np.allclose([w[i] for i in range(80)], ref)
+
+
+def test_hull_and_point_weights(spark):
+    from tidewright.functions.hull import hull_points, hull_volume
+
+    rng = np.random.default_rng(0)
+    cube = np.array([[a, b, c] for a in (0, 1) for b in (0, 2) for c in (0, 3)], float)
+    assert abs(hull_volume(np.concatenate([cube, rng.uniform(size=(300, 3)) * [1, 2, 3]])) - 6) < 1e-9
+    assert abs(hull_volume(np.array([[0.0, 0], [1, 0], [0, 1], [0.2, 0.2]])) - 0.5) < 1e-12
+    ball = rng.normal(size=(400, 3))
+    ball /= np.linalg.norm(ball, axis=1)[:, None]
+    assert 3.8 < hull_volume(ball) < 4 * np.pi / 3 and len(hull_points(ball)) == 400
+    assert hull_volume(np.array([[1.0], [4.0]])) == 3.0 and hull_volume(cube[:2]) == 0.0
+    pts = np.concatenate([cube, rng.uniform(size=(60, 3)) * [1, 2, 3]])
+    d = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(pts)], "id int, x double, y double, z double").repartition(3)
+    w = mesh.PointWeights(d, "id", ["x", "y", "z"], cell=3.5)
+    assert abs(w.volume - 6) < 1e-9 and abs(w.raw.agg(F.sum("w")).first()[0] - 6) < 1e-9
+    assert abs(w.weights.agg(F.max("w")).first()[0] - 1) < 1e-12 and w.max_sqrt > 0
+    assert mesh.hull_size(d.withColumn("z", F.lit(0.0)), ["x", "y", "z"]) == pytest.approx(2.0)
+
+
+def test_spod_helpers(spark):
+    assert spectral.mode_similarity(np.array([1, 1j]), np.array([1j, -1])) == pytest.approx(1.0)
+    x = Matrix.from_numpy(spark, np.ones((4, 3)))
+    w = spark.createDataFrame([(0, 1.0), (1, 2.0)], "row_id long, w double")
+    assert {r["row_id"]: r["w"] for r in spectral.tiled_weights(w, x).collect()} == {0: 1.0, 1: 2.0, 2: 1.0, 3: 2.0}
+    with pytest.raises(ValueError):
+        spectral.tiled_weights(w, Matrix.from_numpy(spark, np.ones((3, 3))))

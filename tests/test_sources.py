@@ -223,6 +223,12 @@ def test_psp_and_scube(spark, tmp_path):
     assert s.images("Zone0000", ["0.3"], "Mask1").agg(F.sum("cp")).first()[0] == 12.0 and s.images("Zone0000", every=2).count() == 8
     st = {(r["i"], r["j"]): (r["mean"], r["std"]) for r in s.statistics("Zone0000").collect()}
     assert st[1, 0][0] == 2.5 and abs(st[1, 0][1] - np.std([1, 2, 3, 4], ddof=1)) < 1e-12 and s.aspect_ratio("Zone0000") == {"x": 1.0, "y": 1.0, "z": 0.0}
+    from tidewright.operators.explore import Explorer
+
+    e = Explorer(s)
+    fig = e.interact("Zone0000", ["0.1", "0.2"], every=1)
+    assert len(fig["frames"]) == 2 and fig["frames"][0]["color"] == [[1.0] * 3, [2.0] * 3] and fig["surface"]["x"] == [[0.0] * 3, [2.0] * 3]
+    assert e.mean("Zone0000", mask="Mask1", every=2)["frames"][0]["color"] == [[0.0, 0.0]] and len(e.std("Zone0000")["frames"]) == 1
     with pytest.raises(FileNotFoundError):
         zoned.PspSource(spark, "/no/such/file")
     q = str(tmp_path / "cube")
@@ -281,6 +287,33 @@ def test_tecplot(spark, tmp_path):
         tecplot.TecplotSource(spark, str(tmp_path), "none_")
 
 
+def test_tecplot_worker(tmp_path):
+    import io
+    import json
+
+    from tidewright.sources import tecplot_worker as w
+
+    class Fake(w.Files):
+        def open(self, path):
+            block = type("Block", (), {"Points": np.arange(6.0).reshape(2, 3), "PointData": {"cp": np.array([1.0, 2.0])}})
+            return {"ls": block}
+
+    w.Files, old = Fake, w.Files
+    try:
+        out = io.BytesIO()
+        asked = [{"operation": "zone_names"}, {"operation": "field_names", "zone": "ls"}, {"operation": "field", "zone": "ls", "field": "cp"}, {"operation": "field", "zone": "no", "field": "cp"}]
+        w.main([json.dumps(a | {"file_path": "f"}) for a in asked] + ['{"operation": "close"}'], out)
+    finally:
+        w.Files = old
+    data, heads = out.getvalue(), []
+    while data:
+        n = struct.unpack("!Q", data[:8])[0]
+        heads.append(json.loads(data[8 : 8 + n]))
+        data = data[8 + n + heads[-1].get("nbytes", 0) :]
+    assert [h.get("value") for h in heads[:3]] == [{"protocol": 1}, ["ls"], ["X", "Y", "Z", "cp"]]
+    assert heads[3]["shape"] == [2] and heads[4]["error_type"] == "KeyError" and heads[5]["kind"] == "json"
+
+
 def test_sources_are_listed():
     assert "FoamSource" in dir(sources) and sources.FoamSource is foam.FoamSource
     with pytest.raises(AttributeError):

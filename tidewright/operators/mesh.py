@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewright.functions.hull import hull_points, hull_volume
+
 
 def _cross(a: list[Column], b: list[Column]) -> list[Column]:
     return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
@@ -117,3 +121,48 @@ def knn_weights(points: DataFrame, key: str, columns: list[str], cell: float, vo
         return w
     most = w.agg(F.max(F.sqrt("w")).alias("most"))
     return w.crossJoin(F.broadcast(most)).select(key, (F.sqrt("w") / F.col("most")).alias("w"))
+
+
+def hull_size(points: DataFrame, columns: list[str]) -> float:
+    """Length, area or volume of the points' convex hull over the coordinates that vary.
+
+    Every partition sends only the corners of its own hull; the hull of those is the whole one.
+    """
+    span = points.agg(*((F.max(c) - F.min(c)).alias(c) for c in columns)).first()
+    used = [c for c in columns if span[c]]
+    if not used:
+        return 0.0
+
+    def corners(batches):
+        kept = np.zeros((0, len(used)))
+        for p in batches:
+            kept = hull_points(np.concatenate([kept, p[used].to_numpy(np.float64)]))
+        yield pd.DataFrame(kept, columns=used)
+
+    rows = points.select(*(F.col(c).cast("double").alias(c) for c in used)).mapInPandas(corners, ", ".join(f"{c} double" for c in used))
+    return hull_volume(rows.toPandas().to_numpy(np.float64))
+
+
+class PointWeights:
+    """Weights of a point cloud: the k nearest neighbours' mean distance, spread over the hull's volume.
+
+    ``cell`` bounds how far neighbours are looked for (see :func:`knn_weights`).
+    """
+
+    def __init__(self, points: DataFrame, key: str, columns: list[str], cell: float, normalize: bool = True, k: int | None = None):
+        self.points, self.key, self.columns, self.cell, self.normalize, self.k = points, key, columns, cell, normalize, k
+        self.volume = hull_size(points, columns)
+
+    @property
+    def raw(self) -> DataFrame:
+        """key and w = alpha * d; they add up to the hull's volume."""
+        return knn_weights(self.points, self.key, self.columns, self.cell, self.volume, False, self.k)
+
+    @property
+    def weights(self) -> DataFrame:
+        return knn_weights(self.points, self.key, self.columns, self.cell, self.volume, self.normalize, self.k)
+
+    @property
+    def max_sqrt(self) -> float:
+        """The root by which normalized weights are divided."""
+        return self.raw.agg(F.max(F.sqrt("w"))).first()[0]

@@ -14,7 +14,58 @@ from tidewright.operators.linalg import SVD, Matrix, beside
 from tidewright.operators.windows import transitions
 
 
-class SVDEncoder:
+class Encoder:
+    """What an encoder offers: it is trained on a data matrix, and maps states to fewer numbers and back."""
+
+    @property
+    def trained(self) -> bool:
+        raise NotImplementedError
+
+    @property
+    def state_shape(self) -> int:
+        raise NotImplementedError
+
+    @property
+    def reduced_state_size(self) -> int:
+        raise NotImplementedError
+
+    def train(self, data: Matrix) -> dict:
+        raise NotImplementedError
+
+    def encode(self, data: Matrix) -> np.ndarray:
+        raise NotImplementedError
+
+    def decode(self, reduced: np.ndarray) -> Matrix:
+        raise NotImplementedError
+
+    def check_reduced(self, reduced: np.ndarray) -> np.ndarray:
+        """The states as columns; their length must be the reduced size."""
+        if reduced.shape[0] != self.reduced_state_size:
+            raise ValueError(f"a reduced state has {self.reduced_state_size} numbers, not {reduced.shape[0]}")
+        return reduced.reshape(self.reduced_state_size, -1)
+
+
+class ROM:
+    """A model of reduced states with its encoder: predict is encode, predict_reduced, decode."""
+
+    def __init__(self, reduced: np.ndarray, encoder: Encoder):
+        if not isinstance(encoder, Encoder):
+            raise ValueError("an encoder is needed")
+        if not encoder.trained:
+            raise ValueError("the encoder must be trained first")
+        self.encoder, self.reduced = encoder, encoder.check_reduced(reduced)
+
+    def predict_reduced(self, first: np.ndarray, end: float, step: float, seed: int | None = None) -> np.ndarray:
+        raise NotImplementedError
+
+    def predict(self, first: Matrix, end: float, step: float, seed: int | None = None) -> Matrix:
+        """From one full state (one column)."""
+        if first.n != 1:
+            raise ValueError("one initial state is needed")
+        return self.encoder.decode(self.predict_reduced(self.encoder.encode(first)[:, 0], end, step, seed))
+
+
+class SVDEncoder(Encoder):
     """Encode by projection on the left singular vectors, decode by their combination."""
 
     def __init__(self, rank: int | None = None):
@@ -53,22 +104,18 @@ class SVDEncoder:
         return self.back.conj().T @ both.reduce(lambda x: x[:, :n].conj().T @ x[:, n:], (n, data.n))
 
     def decode(self, reduced: np.ndarray) -> Matrix:
-        s = self._need()
-        if reduced.shape[0] != s.rank:
-            raise ValueError(f"a reduced state has {s.rank} numbers")
-        return s.x.lift(self.back @ reduced.reshape(s.rank, -1))
+        return self._need().x.lift(self.back @ self.check_reduced(reduced))
 
 
-class CNM:
+class CNM(ROM):
     """Cluster network model: k-means labels of a reduced trajectory, transition tables, and walks on them."""
 
     def __init__(self, reduced: np.ndarray, encoder, spark, dt: float, n_clusters: int = 10, model_order: int = 1, seed: int = 0):
-        if encoder is not None and not getattr(encoder, "trained", False):
-            raise ValueError("the encoder must be trained first")
+        super().__init__(reduced, encoder)
         larger_than(dt, 0.0, "dt")
         int_larger_than(n_clusters, 1, "n_clusters")
         int_larger_than(model_order, 0, "model_order")
-        self.encoder, self.dt, self.n_clusters, self.model_order, self.seed = encoder, dt, n_clusters, model_order, seed
+        self.dt, self.n_clusters, self.model_order, self.seed = dt, n_clusters, model_order, seed
         rows = spark.createDataFrame([(i, [float(v) for v in col]) for i, col in enumerate(reduced.T)], "t_idx int, z array<double>")
         fitted = KMeans(k=n_clusters, seed=seed, featuresCol="v", predictionCol="label").fit(rows.withColumn("v", array_to_vector("z")))
         self.cluster_centers = np.array(fitted.clusterCenters())
@@ -130,7 +177,3 @@ class CNM:
         at = np.arange(0.0, end + 0.5 * step, step)
         path = self.cluster_centers[visited]
         return np.array([dense.spline(np.array(times), path[:, k], at) for k in range(path.shape[1])])
-
-    def predict(self, first: Matrix, end: float, step: float, seed: int | None = None) -> Matrix:
-        """Encode one state, predict, and decode."""
-        return self.encoder.decode(self.predict_reduced(self.encoder.encode(first)[:, 0], end, step, seed))

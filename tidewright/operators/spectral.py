@@ -209,11 +209,24 @@ def multitaper_power(signals: DataFrame, dt: float, **options) -> DataFrame:
     return signals.select("row_id", "re").mapInPandas(run, f"row_id {kind}, bin int, frequency double, power double, density double, n_tapers int")
 
 
+def mode_similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Modulus of the cosine between two (complex) modes."""
+    return float(abs(np.vdot(a, b)) / max(np.linalg.norm(a) * np.linalg.norm(b), np.finfo(float).tiny))
+
+
+def tiled_weights(weights: DataFrame, x: Matrix) -> DataFrame:
+    """Weights (row_id from 0 on) for a matrix that holds several components of each point below each other."""
+    n = weights.count()
+    if n == 0 or x.rows % n:
+        raise ValueError(f"{x.rows} rows are no multiple of {n} weights")
+    return x.df.select("row_id", F.pmod("row_id", F.lit(n)).alias("_p")).join(weights.select(F.col("row_id").alias("_p"), "w"), "_p").select("row_id", "w")
+
+
 class AMSPOD:
     """Adaptive multitaper spectral proper orthogonal decomposition of a :class:`Matrix`.
 
-    ``weight`` is a DataFrame (row_id, w) of quadrature weights; a matrix that holds several components joins
-    it by point, so there the caller repeats the weights.
+    ``weight`` is a DataFrame (row_id, w) of quadrature weights; for a matrix that holds several components
+    below each other, :func:`tiled_weights` repeats them.
     """
 
     def __init__(self, x: Matrix, dt: float, nfft: int | None = None, adaptive: bool = True, max_tapers: int = 50, tolerance: float = 1e-5, weight: DataFrame | None = None, subtract_mean: bool = True, keep_n_modes: int = 3):
