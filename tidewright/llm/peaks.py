@@ -229,7 +229,8 @@ def bridges(rooted: DataFrame, tree: Blocks, radius: float, most: int, sizes: di
         return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
 
     made = placed(rooted.select("place", "root", "vec"), tree, radius, most, sizes).groupBy("block", "i", "j").applyInPandas(across, "a bigint, b bigint")
-    return made.union(made.select("b", "a")).distinct()
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return made.select(F.explode(both).alias("e")).select("e.a", "e.b").distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
