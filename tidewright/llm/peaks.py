@@ -91,20 +91,36 @@ class Blocks:
         return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool))
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, radius: float, step: int = 512):
-    """Chunks of (i, j, squared distance) with |a_i - b_j| <= radius."""
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: float, step: int = 64):
+    """Chunks of (i, j, squared distance) with |a_i - b_j| <= radius.
+
+    Both sides are ordered along the coordinate of largest spread; a chunk of ``a`` meets only the stretch of
+    ``b`` that its radius reaches there.
+    """
+    if len(a) == 0 or len(b) == 0:
+        return
     r2 = radius * radius
-    shift = b.mean(axis=0) if len(b) else 0.0
+    axis = int(np.argmax(b.std(axis=0)))
+    oa, ob = np.argsort(a[:, axis], kind="stable"), np.argsort(b[:, axis], kind="stable")
+    a, b = a[oa], b[ob]
+    along = b[:, axis]
+    reach = radius + 1e-12 * (1 + np.abs(along).max())
+    shift = b.mean(axis=0)
     bs = b - shift
     nb = (bs * bs).sum(axis=1)
+    slack = 1e-6 * (r2 + nb.max() * 1e-3 + 1e-3)
     for lo in range(0, len(a), step):
-        p = a[lo : lo + step] - shift
-        rough = (p * p).sum(axis=1)[:, None] + nb - 2 * (p @ bs.T)
-        i, j = np.nonzero(rough <= r2 + 1e-6 * (r2 + np.abs(nb).max(initial=0.0) * 1e-3 + 1e-3))
-        diff = a[lo + i] - b[j]
+        p = a[lo : lo + step]
+        first, last = np.searchsorted(along, p[0, axis] - reach, "left"), np.searchsorted(along, p[-1, axis] + reach, "right")
+        p = p - shift
+        # The product form only preselects; what passes is measured by its differences.
+        rough = (p * p).sum(axis=1)[:, None] + nb[first:last] - 2 * (p @ bs[first:last].T)
+        i, j = np.nonzero(rough <= r2 + slack)
+        i, j = lo + i, first + j
+        diff = a[i] - b[j]
         d2 = (diff * diff).sum(axis=1)
         ok = d2 <= r2
-        yield lo + i[ok], j[ok], d2[ok]
+        yield oa[i[ok]], ob[j[ok]], d2[ok]
 
 
 def _vectors(p: pd.DataFrame) -> np.ndarray:
