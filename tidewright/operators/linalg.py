@@ -20,6 +20,9 @@ from tidewright.functions.checks import format_byte_size
 
 #: Largest number of columns (or rows, where these are fewer) whose Gram matrix is formed on the driver.
 MOST = 8192
+#: Most partial sums of a reduction: more input partitions than these are read by one task after another, so
+#: that what is shuffled does not grow with the rows.
+PARTIALS = 4096
 
 
 def _block(p: pd.DataFrame) -> np.ndarray:
@@ -107,8 +110,8 @@ class Matrix:
         return Matrix(self.df.mapInPandas(run, kind), n, complex_)
 
     def reduce(self, fn: Callable[[np.ndarray], np.ndarray], shape: tuple[int, ...]) -> np.ndarray:
-        """The sum of ``fn`` over blocks of rows. Each partition adds up its own; the partial sums are then
-        added row by row of the result by the cluster, so the driver receives one copy of it."""
+        """The sum of ``fn`` over blocks of rows. Each task adds up its own (at most ``PARTIALS`` of them); the
+        partial sums are then added row by row of the result by the cluster, so the driver receives one copy."""
         rows = shape[0]
         length = int(np.prod(shape[1:]))
 
@@ -127,7 +130,7 @@ class Matrix:
             return pd.DataFrame({"i": [p["i"].iloc[0]], "re": [np.sum(np.stack(p["re"].to_numpy()), axis=0)], "im": [np.sum(np.stack(im), axis=0) if im else None]})
 
         kind = "i int, re array<double>, im array<double>"
-        got = self.df.mapInPandas(run, kind).groupBy("i").applyInPandas(add, kind).collect()
+        got = self.df.coalesce(PARTIALS).mapInPandas(run, kind).groupBy("i").applyInPandas(add, kind).collect()
         out = np.zeros((rows, length), complex if any(r["im"] is not None for r in got) else float)
         for r in got:
             out[r["i"]] = np.array(r["re"]) + (1j * np.array(r["im"]) if r["im"] is not None else 0)
@@ -147,9 +150,7 @@ class Matrix:
         if len(ids) > MOST:
             raise ValueError(f"more than {MOST} rows")
         at = {k: i for i, k in enumerate(ids)}
-        m, cols = len(ids), ["re"] + (["im"] if self.complex else [])
-        step = F.sequence(F.lit(0), F.lit((self.n - 1) // chunk))
-        cut_ = self.df.select("row_id", *cols, F.explode(step).alias("k")).select("row_id", "k", *(F.slice(c, F.col("k") * chunk + 1, chunk).alias(c) for c in cols))
+        m = len(ids)
 
         def part(p: pd.DataFrame) -> pd.DataFrame:
             x = _block(p)
@@ -158,7 +159,7 @@ class Matrix:
             y[np.ix_(i, i)] = x @ x.conj().T
             return pd.DataFrame({"i": np.arange(m), "re": list(y.real), "im": list(y.imag)})
 
-        sums = cut_.groupBy("k").applyInPandas(part, "i int, re array<double>, im array<double>").groupBy("i").applyInPandas(
+        sums = self._stretches(chunk).groupBy("k").applyInPandas(part, "i int, re array<double>, im array<double>").groupBy("i").applyInPandas(
             lambda p: pd.DataFrame({"i": [p["i"].iloc[0]], "re": [np.sum(np.stack(p["re"].to_numpy()), axis=0)], "im": [np.sum(np.stack(p["im"].to_numpy()), axis=0)]}), "i int, re array<double>, im array<double>"
         )
         out = np.zeros((m, m), complex)
@@ -166,6 +167,27 @@ class Matrix:
             out[r["i"]] = np.array(r["re"]) + 1j * np.array(r["im"])
         return ids, out if self.complex else out.real
 
+    def _stretches(self, chunk: int) -> DataFrame:
+        """Each row cut into stretches k of ``chunk`` columns."""
+        cols = ["re"] + (["im"] if self.complex else [])
+        step = F.sequence(F.lit(0), F.lit((self.n - 1) // chunk))
+        return self.df.select("row_id", *cols, F.explode(step).alias("k")).select("row_id", "k", *(F.slice(c, F.col("k") * chunk + 1, chunk).alias(c) for c in cols))
+
+    def times_rows(self, ids: list, u: np.ndarray, chunk: int = 4096) -> np.ndarray:
+        """X^H u, N x r, for few long rows with the given ids; a stretch of columns is one task's work."""
+        at = {k: i for i, k in enumerate(ids)}
+        sent = self.df.sparkSession.sparkContext.broadcast((at, u))
+
+        def part(p: pd.DataFrame) -> pd.DataFrame:
+            where, w = sent.value
+            y = _block(p).conj().T @ w[p["row_id"].map(where).to_numpy()]
+            return pd.DataFrame({"i": np.arange(len(y)) + int(p["k"].iloc[0]) * chunk, "re": list(np.ascontiguousarray(y.real)), "im": list(np.ascontiguousarray(y.imag))})
+
+        out = np.zeros((self.n, u.shape[1]), complex)
+        for r in self._stretches(chunk).groupBy("k").applyInPandas(part, "i int, re array<double>, im array<double>").toLocalIterator():
+            out[r["i"]] = np.array(r["re"]) + 1j * np.array(r["im"])
+        return out if self.complex or np.iscomplexobj(u) else out.real
+
     def lift(self, c: np.ndarray, real: bool | None = None) -> Matrix:
         """X c. The N x r matrix is sent to the executors; its size is checked."""
         if c.size > 4 * MOST * MOST:
@@ -236,23 +258,7 @@ class SVD:
             self.V = self._right()
 
     def _right(self) -> np.ndarray:
-        at = {k: i for i, k in enumerate(self._ids)}
-        u, n, r = self._u, self.x.n, self.rank
-        sent = self.x.df.sparkSession.sparkContext.broadcast((at, u))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((n, r), complex)
-            for p in batches:
-                if len(p):
-                    where, w = sent.value
-                    total += _block(p).conj().T @ w[p["row_id"].map(where).to_numpy()]
-            yield pd.DataFrame({"re": [total.real.ravel()], "im": [total.imag.ravel()]})
-
-        total = np.zeros(n * r, complex)
-        for row in self.x.df.coalesce(8).mapInPandas(run, "re array<double>, im array<double>").toLocalIterator():
-            total += np.array(row["re"]) + 1j * np.array(row["im"])
-        v = total.reshape(n, r) * dense.safe_inverse(self.s)
-        return v if self.x.complex else v.real
+        return self.x.times_rows(self._ids, self._u) * dense.safe_inverse(self.s_full)[: self.rank]
 
     @property
     def U(self) -> Matrix:
