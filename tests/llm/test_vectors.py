@@ -107,6 +107,30 @@ def test_clusters_of_similar_vectors(spark, dims, most):
     assert all(len(v) == 3 for v in top.values()) and len(top) == len({c for _, c in expected})
 
 
+@pytest.mark.parametrize("most", [12_000, 150])
+def test_dense_groups_are_counted_by_sums(spark, most):
+    rng = np.random.default_rng(9)
+    inside = lambda n, r: (v := rng.normal(size=(n, 16))) / np.linalg.norm(v, axis=1)[:, None] * r * rng.uniform(0.2, 1, (n, 1))
+    x = np.concatenate([inside(400, 0.7) + 3, inside(90, 0.74), rng.uniform(-8, 8, size=(200, 16)), inside(40, 1.6) + 20])
+    ids = rng.permutation(len(x))
+    d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    near = d2 <= 1.5**2
+    places = frame(spark, x, ids).select(F.col("member").alias("place"), F.lit(1).cast("bigint").alias("weight"), "vec")
+    got = {r["place"]: r for r in peaks.peaks(places, 1.5, sample=200, leaf=60, most=most).collect()}
+    order = {int(i): k for k, i in enumerate(ids)}
+    for i, k in order.items():
+        r = got[i]
+        assert r["density"] == near[k].sum() - 1
+        assert r["spread"] == pytest.approx(np.sqrt(d2[k][near[k]].sum() / r["density"]) if r["density"] else 0.0, abs=1e-6)
+        up = [j for j in order if near[k][order[j]] and (got[j]["density"], -j) > (r["density"], -i)]
+        assert (r["to"] in up) if up else r["to"] is None
+    label = components(x, 1.5)
+    smallest = {g: ids[label == g].min() for g in np.unique(label)}
+    expected = {(int(ids[i]), int(smallest[label[i]])) for i in range(len(x)) if (label == label[i]).sum() >= 4}
+    rows = peaks.clusters(frame(spark, x, ids), 1.5, sample=200, leaf=60, most=most).collect()
+    assert {(r["member"], r["cluster_id"]) for r in rows} == expected
+
+
 def test_pointers_follow_density(spark):
     x = np.array([[0.0], [0.9], [1.8], [2.7], [3.0], [10.0]])
     p = {r["place"]: r for r in peaks.peaks(frame(spark, x).select(F.col("member").alias("place"), F.lit(1).cast("bigint").alias("weight"), "vec"), 1.0).collect()}

@@ -2,7 +2,8 @@
 
 The density of a vector is the number of vectors within ``radius``; it points to its nearest denser vector
 within ``radius`` (of equal densities the smaller id counts as denser), and vectors without one are peaks.
-Following the pointers gives the labels.
+Following the pointers gives the labels. Dense groups are handled as balls: their members are counted by
+sums, and of a ball that lies within reach as a whole only the densest member is a candidate to point to.
 
 Neighbours come from a blocked join. A tree of median splits, fitted on a sample of at most ``sample``
 rows, cuts the space into blocks along the directions of largest spread; a vector belongs to one block and
@@ -123,6 +124,60 @@ def near_pairs(a: np.ndarray, b: np.ndarray, radius: float, step: int = 64):
         yield oa[i[ok]], ob[j[ok]], d2[ok]
 
 
+#: Smallest group of rows that is treated as one ball, and rows looked at for finding such groups.
+BALL, PILOTS = 64, 64
+
+
+def balls(x: np.ndarray, radius: float) -> tuple[list[tuple[np.ndarray, np.ndarray, float]], np.ndarray]:
+    """Groups of at least ``BALL`` rows in balls of half the ``radius`` (rows, centre, reach), and the other rows.
+
+    Pilots, spread evenly over the rows, look for crowded places: the rows within ``radius`` of a pilot give a
+    centre, and those within half the radius of it a ball. Rows of one ball are all similar to each other, so
+    a dense group is counted by its sums, not by its pairs. Rounds go on while they find balls; a dense group
+    that no pilot meets holds a small share of the rows and is compared pair by pair, like all other rows.
+    """
+    free = np.arange(len(x))
+    out = []
+    while len(free) >= BALL:
+        found = False
+        for pilot in free[np.unique(np.linspace(0, len(free) - 1, PILOTS).astype(int))]:
+            own = x[free] - x[pilot]
+            near = free[(own * own).sum(axis=1) <= radius * radius]
+            if len(near) < BALL or pilot not in near:
+                continue
+            centre = x[near].mean(axis=0)
+            d = np.sqrt(((x[near] - centre) ** 2).sum(axis=1))
+            inside = d <= radius / 2
+            if inside.sum() >= BALL:
+                out.append((near[inside], centre, float(d[inside].max())))
+                free = np.setdiff1d(free, near[inside], assume_unique=True)
+                found = True
+                if len(free) < BALL:
+                    break
+        if not found:
+            break
+    return out, free
+
+
+def relate(a: np.ndarray, b: np.ndarray, radius: float):
+    """How ``a`` and ``b`` are similar: (rows of a, ball) where all of a ball is within ``radius`` of the rows, and
+    (i, j, squared distance) for the pairs found otherwise. Each similar pair is in exactly one of these."""
+    if len(a) == 0 or len(b) == 0:
+        return
+    groups, single = balls(b, radius)
+    for group in groups:
+        members, centre, reach = group
+        d = np.sqrt(((a - centre) ** 2).sum(axis=1))
+        whole = d + reach <= radius * (1 - 1e-9)
+        some = np.flatnonzero(~whole & (d - reach <= radius * (1 + 1e-9)))
+        if whole.any():
+            yield "ball", np.flatnonzero(whole), group
+        for i, j, d2 in near_pairs(a[some], b[members], radius):
+            yield "pairs", some[i], (members[j], d2)
+    for i, j, d2 in near_pairs(a, b[single], radius):
+        yield "pairs", i, (single[j], d2)
+
+
 def _vectors(p: pd.DataFrame) -> np.ndarray:
     return np.stack(p["vec"].to_numpy()).astype(np.float64) if len(p) else np.zeros((0, 1))
 
@@ -166,7 +221,8 @@ def placed(rows: DataFrame, tree, radius: float, most: int, sizes: dict[int, int
 
 
 def peaks(places: DataFrame, radius: float, sample: int = SAMPLE, leaf: int = LEAF, most: int = MOST, tree: Blocks | None = None, sizes: dict[int, int] | None = None) -> DataFrame:
-    """place, weight, density, mean distance to the neighbours, and the denser place it points to (null for peaks)."""
+    """place, weight, density, root mean square distance to the neighbours, and the denser place it points to (null
+    for peaks)."""
     n = places.count()
     if n == 0:
         return places.select("place", "weight", F.lit(0).cast("bigint").alias("density"), F.lit(0.0).alias("spread"), F.lit(None).cast("bigint").alias("to")).limit(0)
@@ -174,40 +230,58 @@ def peaks(places: DataFrame, radius: float, sample: int = SAMPLE, leaf: int = LE
     sizes = part_counts(places, tree, radius, most) if sizes is None else sizes
 
     def density(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("place")
         a, b = p[p["left"]], p[p["right"]]
-        if len(a) == 0:
-            return pd.DataFrame({"place": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "far": np.zeros(0)})
-        w = b["weight"].to_numpy()
+        w, x, y = b["weight"].to_numpy(), _vectors(a), _vectors(b)
         total, far = np.zeros(len(a)), np.zeros(len(a))
-        for i, j, d2 in near_pairs(_vectors(a), _vectors(b), radius):
-            total += np.bincount(i, w[j], len(a))
-            far += np.bincount(i, w[j] * np.sqrt(d2), len(a))
-        return pd.DataFrame({"place": a["place"].to_numpy(), "n": total.astype(np.int64), "far": far})
+        for kind, i, what in relate(x, y, radius):
+            if kind == "ball":
+                members, centre, _ = what
+                v, own = y[members] - centre, w[members]
+                u = x[i] - centre
+                total[i] += own.sum()
+                far[i] += own.sum() * (u * u).sum(axis=1) - 2 * u @ (own @ v) + own @ (v * v).sum(axis=1)
+            else:
+                j, d2 = what
+                total += np.bincount(i, w[j], len(a))
+                far += np.bincount(i, w[j] * d2, len(a))
+        return pd.DataFrame({"place": a["place"].to_numpy(), "n": np.rint(total).astype(np.int64), "far": np.maximum(far, 0.0)})
 
     first = placed(places, tree, radius, most, sizes).groupBy("block", "i", "j").applyInPandas(density, "place bigint, n bigint, far double")
     dense = first.groupBy("place").agg((F.sum("n") - 1).alias("density"), F.sum("far").alias("far"))
     known = cut(places.join(dense, "place").select("place", "weight", "density", "far", "vec"))
 
     def denser(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("place")
         a, b = p[p["left"]], p[p["right"]]
         ia, ib = a["place"].to_numpy(), b["place"].to_numpy()
         na, nb = a["density"].to_numpy(), b["density"].to_numpy()
-        found = []
-        if len(a):
-            for i, j, d2 in near_pairs(_vectors(a), _vectors(b), radius):
-                up = (nb[j] > na[i]) | ((nb[j] == na[i]) & (ib[j] < ia[i]))
-                i, j, d2 = i[up], j[up], d2[up]
-                order = np.lexsort((ib[j], d2, i))
-                i, j, d2 = i[order], j[order], d2[order]
-                one = np.concatenate(([True], i[1:] != i[:-1])) if len(i) else np.zeros(0, bool)
-                found.append(pd.DataFrame({"place": ia[i[one]], "d2": d2[one], "to": ib[j[one]]}))
-        return pd.concat(found) if found else pd.DataFrame({"place": np.zeros(0, np.int64), "d2": np.zeros(0), "to": np.zeros(0, np.int64)})
+        x, y = _vectors(a), _vectors(b)
+        found = [(np.zeros(0, int), np.zeros(0), np.zeros(0, np.int64))]
+        for kind, i, what in relate(x, y, radius):
+            if kind == "ball":
+                # All of the ball is in reach: its densest row stands for it.
+                head = what[0][np.lexsort((ib[what[0]], -nb[what[0]]))[0]]
+                j, d2 = np.full(len(i), head), ((x[i] - y[head]) ** 2).sum(axis=1)
+            else:
+                j, d2 = what
+            up = (nb[j] > na[i]) | ((nb[j] == na[i]) & (ib[j] < ia[i]))
+            i, j, d2 = i[up], j[up], d2[up]
+            order = np.lexsort((ib[j], d2, i))
+            i, j, d2 = i[order], j[order], d2[order]
+            one = np.concatenate(([True], i[1:] != i[:-1])) if len(i) else np.zeros(0, bool)
+            found.append((i[one], d2[one], ib[j[one]]))
+        i, d2, to = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((to, d2, i))
+        i, d2, to = i[order], d2[order], to[order]
+        one = np.concatenate(([True], i[1:] != i[:-1])) if len(i) else np.zeros(0, bool)
+        return pd.DataFrame({"place": ia[i[one]], "d2": d2[one], "to": to[one]})
 
     # Alone in its radius a place has nothing to point to.
     crowd = known.where(F.col("density") >= F.col("weight"))
     second = placed(crowd.select("place", "density", "vec"), tree, radius, most, sizes).groupBy("block", "i", "j").applyInPandas(denser, "place bigint, d2 double, to bigint")
     to = second.groupBy("place").agg(F.min(F.struct("d2", "to"))["to"].alias("to"))
-    spread = F.when(F.col("density") > 0, F.col("far") / F.col("density")).otherwise(0.0)
+    spread = F.when(F.col("density") > 0, F.sqrt(F.col("far") / F.col("density"))).otherwise(0.0)
     return known.select("place", "weight", "density", spread.alias("spread")).join(to, "place", "left")
 
 
@@ -235,13 +309,17 @@ def bridges(rooted: DataFrame, tree: Blocks, radius: float, most: int, sizes: di
     """Pairs of peaks (both ways) whose followers are within ``radius`` of each other. ``rooted``: place, vec, root."""
 
     def across(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("place")
         a, b = p[p["left"]], p[p["right"]]
         ra, rb = a["root"].to_numpy(), b["root"].to_numpy()
         found = [np.zeros((0, 2), np.int64)]
-        if len(a):
-            for i, j, _ in near_pairs(_vectors(a), _vectors(b), radius):
-                other = ra[i] != rb[j]
-                found.append(np.column_stack([ra[i[other]], rb[j[other]]]))
+        for kind, i, what in relate(_vectors(a), _vectors(b), radius):
+            if kind == "ball":
+                one, two = np.unique(ra[i]), np.unique(rb[what[0]])
+                pairs = np.column_stack([np.repeat(one, len(two)), np.tile(two, len(one))])
+            else:
+                pairs = np.column_stack([ra[i], rb[what[0]]])
+            found.append(np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0))
         return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
 
     made = placed(rooted.select("place", "root", "vec"), tree, radius, most, sizes).groupBy("block", "i", "j").applyInPandas(across, "a bigint, b bigint")
