@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewright.session import ranked
+
 
 def shift_pairs(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
     """Each value with the next of its key: columns keys, order, x, y."""
@@ -58,9 +60,11 @@ def trajectory_split(df: DataFrame, key: str, order: str, train: float = 0.75, t
     before = size.select(key, (F.sum("_c").over(W.orderBy(key)) - F.col("_c")).alias("_before"), F.sum("_c").over(W.partitionBy()).alias("_all"))
     out = pairs.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(*by)) - 1).join(before, key).withColumn("pair", F.col("_before") + F.col("_r"))
     n_train = F.when(F.col("_all") == 1, F.lit(1)).otherwise(F.floor(F.col("_all") * train / (train + test)))
-    place = F.col("pair")
     if shuffle:
-        place = F.row_number().over(W.orderBy(F.xxhash64(F.col(key), F.col("start"), F.lit(seed)))) - 1
+        # Positions in the order of the hash, counted in stretches of it, so that no task orders all pairs.
+        h = F.xxhash64(F.col(key), F.col("start"), F.col("direction"), F.lit(seed))
+        out = ranked(out.withColumn("_h", h).withColumn("_b", F.shiftright(h, 52)).withColumn("_k", F.lit(0)), ["_k"], ["_h", key, "start", "direction"], "_b", "_place")
+    place = F.col("_place") if shuffle else F.col("pair")
     return out.withColumn("part", F.when(place < n_train, "train").otherwise("test")).select(key, "pair", "start", "stop", "direction", "part")
 
 
