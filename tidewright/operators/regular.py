@@ -68,26 +68,22 @@ def regular(readings: DataFrame, grids: DataFrame, hold: float = 2.0, block: int
     crowded cell is one task's work. What reaches in from earlier cells is the last reading before: it is carried first within
     blocks of ``block`` slots, then between blocks, of which there is one row each.
     """
-    p = placed(readings, grids)
     lo, hi = F.col("t_start") + (F.col("slot") - 0.5) * F.col("delta_t"), F.col("t_start") + (F.col("slot") + 0.5) * F.col("delta_t")
-    # The next reading's time within the cell: within parts of the cell first, then from part to part.
-    p = p.withColumn("part", F.floor((F.col("t") - lo) / F.col("delta_t") * PARTS))
-    starts = p.groupBy("series_id", "slot", "part").agg(F.min("t").alias("_first"))
-    later = W.partitionBy("series_id", "slot").orderBy("part")
-    starts = starts.select("series_id", "slot", "part", F.lead("_first").over(later).alias("_next"))
-    p = p.join(starts, ["series_id", "slot", "part"]).withColumn("next_t", F.coalesce(F.lead("t").over(W.partitionBy("series_id", "slot", "part").orderBy("t")), F.col("_next")))
-    span = F.least(F.coalesce("next_t", hi), F.col("t") + hold * F.col("delta_t"), hi) - F.col("t")
-    own = (
-        p.withColumn("span", F.greatest(span, F.lit(0.0)))
-        .groupBy("series_id", "slot")
-        .agg(
-            F.sum("n").alias("n_readings"),
-            F.sum("span").alias("own_span"),
-            F.sum(F.col("span") * F.col("value")).alias("own_area"),
-            F.avg("value").alias("own_mean"),
-            F.min("t").alias("first_t"),
-            F.max(F.struct("t", "value")).alias("last"),
-        )
+    # A part of a cell is one row with its readings in order; the next reading after its last is the next part's first.
+    p = placed(readings, grids).withColumn("part", F.floor((F.col("t") - lo) / F.col("delta_t") * PARTS))
+    p = p.groupBy("series_id", "slot", "part", "t_start", "delta_t").agg(F.array_sort(F.collect_list(F.struct("t", "value", "n"))).alias("r"))
+    p = p.withColumn("next_t", F.coalesce(F.lead(F.col("r")[0]["t"]).over(W.partitionBy("series_id", "slot").orderBy("part")), hi))
+    ends = F.concat(F.transform(F.slice("r", 2, F.size("r")), lambda x: x["t"]), F.array("next_t"))
+    span = lambda x, e: F.greatest(F.least(e, x["t"] + hold * F.col("delta_t"), hi) - x["t"], F.lit(0.0))
+    p = p.withColumn("spans", F.zip_with("r", ends, lambda x, e: F.struct(span(x, e).alias("s"), (span(x, e) * x["value"]).alias("a"))))
+    total = lambda column, get: F.aggregate(F.transform(column, get), F.lit(0.0), lambda u, v: u + v)
+    own = p.groupBy("series_id", "slot").agg(
+        F.sum(F.aggregate("r", F.lit(0).cast("bigint"), lambda u, x: u + x["n"])).alias("n_readings"),
+        F.sum(total("spans", lambda x: x["s"])).alias("own_span"),
+        F.sum(total("spans", lambda x: x["a"])).alias("own_area"),
+        (F.sum(total("r", lambda x: x["value"])) / F.sum(F.size("r"))).alias("own_mean"),
+        F.min(F.col("r")[0]["t"]).alias("first_t"),
+        F.max(F.transform(F.slice("r", -1, 1), lambda x: F.struct(x["t"].alias("t"), x["value"].alias("value")))[0]).alias("last"),
     )
     s = slots(grids).join(own, ["series_id", "slot"], "left").withColumn("block", F.floor(F.col("slot") / block))
     inner = W.partitionBy("series_id", "block").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
