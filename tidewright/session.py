@@ -68,6 +68,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table as it was read, in at least as many partitions as the cluster has cores.
+
+    A few files with much work per row would else keep a few tasks busy; larger tables are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def once(df: DataFrame, key: str) -> DataFrame:
     """Rows of one id count once; repeated rows hold equal values, so any of them will do."""
     return df.dropDuplicates([key])
