@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import leaks, neighbours, packing, peaks, textforms
-from tidewright.session import table
+from tidewright.session import spread, table
 
 #: Within which distance two states, and two vertices, are similar.
 STATE_RADIUS, VERTEX_RADIUS = 1.5, 0.3
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def _states(spark: SparkSession, sf: str) -> DataFrame:
     return peaks.clusters(peaks.clean(table(spark, sf, "cnm_states"), "state_id", F.col("state_vec"), 16), STATE_RADIUS)
 
@@ -38,24 +42,24 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
     """Every text, or piece of a text longer than a container, with its container."""
-    return packing.packed(table(spark, sf, "documents"))
+    return packing.packed(_documents(spark, sf))
 
 
 def p7_usage(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.usage(packing.packed(table(spark, sf, "documents")))
+    return packing.usage(packing.packed(_documents(spark, sf)))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
-    return leaks.leaked(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return leaks.leaked(_documents(spark, sf), table(spark, sf, "eval_items"))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    return textforms.same_looks(table(spark, sf, "documents"))
+    return textforms.same_looks(_documents(spark, sf))
 
 
 def p9_forms(spark: SparkSession, sf: str) -> DataFrame:
     """Every text in its consistent form."""
-    return textforms.forms(table(spark, sf, "documents"))
+    return textforms.forms(_documents(spark, sf))
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p6_found, p7_packed, p7_usage, p8_found, p9_found, p9_forms)}
