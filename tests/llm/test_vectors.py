@@ -53,6 +53,8 @@ def test_index_is_a_partition_and_probes_find_all():
     for i in range(200):
         near = np.flatnonzero(((x - q[i]) ** 2).sum(axis=1) <= 0.09)
         assert all((i, int(b[j])) in probed for j in near)
+    rows, found = t.probes(q[:2], np.array([np.inf, 0.0]))
+    assert set(found[rows == 0].tolist()) == set(range(t.leaves)) and int(b[1]) in found[rows == 1]
     h = neighbours.hadamard(np.eye(8))
     assert np.allclose(h @ h.T, np.eye(8))
 

@@ -113,6 +113,7 @@ class CrossPolytopes:
     def probes(self, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows and all buckets that can hold a vector within the row's radius."""
         out = []
+        radius = np.minimum(radius, 1e300)  # an endless radius opens every axis, without 0 * inf
         todo = [(self.root, np.arange(len(x)))]
         while todo:
             node, rows = todo.pop()
