@@ -102,6 +102,24 @@ def test_foam_decomposed_and_store(spark, tmp_path):
         foam.FoamCase(str(tmp_path / "one"))
 
 
+def test_spark_formats(spark, tmp_path):
+    from tidewright.sources import datasource
+
+    datasource.register(spark)
+    for k, n in ((0, 2), (1, 3)):
+        write_case(tmp_path / f"par/processor{k}", cells=n)
+    (tmp_path / "flow_1.vtk").write_text(LEGACY)
+    d = spark.read.format("tidewright_foam").load(str(tmp_path / "par"))
+    assert d.count() == 3 * 5 * 4 and sorted(r[0] for r in d.select("field").distinct().collect()) == ["U", "p"]
+    one = d.where((F.col("time") == "10") & F.col("field").isin("p", "q")).orderBy("point_id").collect()
+    assert [r["value"] for r in one] == [2, 4, 2, 4, 6]
+    v = spark.read.format("tidewright_vtk").option("prefix", "flow_").load(str(tmp_path))
+    assert v.where("field = 'U' and comp = 2").agg(F.sum("value")).first()[0] == 9.0
+    assert v.where("time = '7'").count() == 0
+    r = datasource.FoamReader({"path": str(tmp_path / "par")})
+    assert list(r.pushFilters([datasource.EqualTo(("time",), "0.5"), datasource.In(("field",), ("p",))])) == [] and len(r.partitions()) == 2
+
+
 def test_faces_of_many_points():
     data = b"FoamFile\n{\n format ascii;\n class faceList;\n}\n2\n(\n12(0 1 2 3 4 5 6 7 8 9 10 11)\n3(0\n1\n2)\n)\n"
     assert [len(f) for f in foam.parse_faces(data)] == [12, 3]
