@@ -236,7 +236,7 @@ def pdft_reconstruct(spark, sf):
 
 def amps_fixed_tapers(spark, sf):
     a = spectral.multitaper_power(_hours(spark, sf).df, 1.0, adaptive=False, max_tapers=4)
-    return a.select(F.col("bin").cast("bigint").alias("bin"), r6("power").alias("power")).where("bin between 1 and 60")
+    return a.select(F.col("bin").cast("bigint").alias("bin"), r6("power").alias("power"))
 
 
 def amps_adaptive(spark, sf):
@@ -388,7 +388,7 @@ def mesh_topology(spark, sf):
 
 
 def knn_weights(spark, sf):
-    p = _points(spark, sf).where("loader = 'csv'").where(F.forall(F.array("x", "y", "z"), lambda v: v.isNotNull() & ~F.isnan(v)))
+    p = _points(spark, sf).where(F.forall(F.array("x", "y", "z"), lambda v: v.isNotNull() & ~F.isnan(v)))
     w = mesh.knn_weights(p, "point_id", ["x", "y", "z"], cell=2.0, volume=1.0, k=4)
     return w.select("point_id", r6("w").alias("w"))
 
@@ -529,10 +529,10 @@ SELECT place, bin FROM (SELECT bin, row_number() OVER (ORDER BY p DESC) - 1 AS p
     "amps_fixed_tapers": f"""WITH h AS (SELECT CAST(floor((epoch(ts) - 1704067200) / 3600) AS BIGINT) AS k, count(*) AS v FROM events GROUP BY 1),
 s AS (SELECT t.k, coalesce(h.v, 0) AS v FROM (SELECT unnest(range(720)) AS k) t LEFT JOIN h ON h.k = t.k),
 x AS (SELECT k, v - avg(v) OVER () AS v FROM s),
-q AS (SELECT b, sum(v * cos(2 * pi() * b * k / 1440)) AS re, -sum(v * sin(2 * pi() * b * k / 1440)) AS im FROM x CROSS JOIN (SELECT unnest(range(-4, 130)) AS b) GROUP BY b),
+q AS (SELECT b, sum(v * cos(2 * pi() * b * k / 1440)) AS re, -sum(v * sin(2 * pi() * b * k / 1440)) AS im FROM x CROSS JOIN (SELECT unnest(range(-4, 725)) AS b) GROUP BY b),
 p AS (SELECT f.f, j.j, 6.0 * (16 - (j.j - 1) * (j.j - 1)) / (4 * 15 * 5) * 2 / 721 * (pow(a.re - c.re, 2) + pow(a.im - c.im, 2)) / 4 AS w
-  FROM (SELECT unnest(range(1, 61)) AS f) f CROSS JOIN (SELECT unnest(range(1, 5)) AS j) j JOIN q a ON a.b = 2 * f.f - j.j JOIN q c ON c.b = 2 * f.f + j.j)
-SELECT f AS bin, {_X.format("2 * sum(w) / 720")} AS power FROM p GROUP BY f""",
+  FROM (SELECT unnest(range(0, 361)) AS f) f CROSS JOIN (SELECT unnest(range(1, 5)) AS j) j JOIN q a ON a.b = 2 * f.f - j.j JOIN q c ON c.b = 2 * f.f + j.j)
+SELECT f AS bin, {_X.format("CASE WHEN f IN (0, 360) THEN 1 ELSE 2 END * sum(w) / 720")} AS power FROM p GROUP BY f""",
     "spod_fixed_trace": f"""WITH {_E}, n AS (SELECT max(k) + 1 AS n FROM E), x AS (SELECT row_id, k, value - avg(value) OVER (PARTITION BY row_id) AS v FROM E),
 q AS (SELECT row_id, b, any_value(n) AS n, sum(v * cos(pi() * b * k / n)) AS re, -sum(v * sin(pi() * b * k / n)) AS im FROM x CROSS JOIN n CROSS JOIN (SELECT unnest(range(-2, 70)) AS b) GROUP BY row_id, b),
 p AS (SELECT f.f, a.n, 6.0 * (4 - (j.j - 1) * (j.j - 1)) / (2 * 7 * 3) * 2 / (a.n + 1) * (pow(a.re - c.re, 2) + pow(a.im - c.im, 2)) / 4 / (2 * a.n) AS w
@@ -545,7 +545,7 @@ SELECT f AS bin, {_X.format("sum(w) * 2 * CASE WHEN f = 0 OR 2 * f = any_value(n
     "mesh_face_geometry": "SELECT unnest(range(240)) AS fid, CAST(0.0625 AS DOUBLE) AS area",
     "mesh_cell_geometry": "SELECT cid, 0.125 + 0.25 * (cid % 4) + CAST(0 AS DOUBLE) AS x, 0.125 + 0.25 * (cid // 4 % 4) + CAST(0 AS DOUBLE) AS y, 0.125 + 0.25 * (cid // 16) + CAST(0 AS DOUBLE) AS z, CAST(0.015625 AS DOUBLE) AS volume FROM (SELECT unnest(range(64)) AS cid)",
     "mesh_topology": "SELECT unnest(range(27)) AS cid, CAST(32 AS BIGINT) AS n, CAST(6 AS BIGINT) AS n_faces",
-    "knn_weights": f"""WITH {_P}, c AS (SELECT * FROM p WHERE loader = 'csv' AND x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z)),
+    "knn_weights": f"""WITH {_P}, c AS (SELECT * FROM p WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z)),
 d AS (SELECT a.point_id, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d, b.point_id AS other FROM c a JOIN c b ON b.x BETWEEN a.x - 2 AND a.x + 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, other) AS rn FROM d WHERE d <= 2),
 m AS (SELECT point_id, pow(avg(d), 3) AS m FROM r WHERE rn <= 4 GROUP BY point_id), w AS (SELECT point_id, m / sum(m) OVER () AS w FROM m)
