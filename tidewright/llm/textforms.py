@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.session import cut
+
 #: Letters of other scripts that look like the Latin letter below them.
 CYRILLIC = ("аеорсухіјѕһԁԛԝАВЕЅІЈКМНОРСТХҮԌԚԜ", "aeopcyxijshdqwABESIJKMHOPCTXYGQW")
 GREEK = ("οΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳͿϹ", "oABEZHIKMNOPTYXcjJC")
@@ -199,7 +201,7 @@ def same_looks(documents: DataFrame) -> DataFrame:
     form are paired, and only those pairs are expanded to documents, so copies of one text are never
     compared with each other and the work follows the result.
     """
-    d = digests(documents).distinct()
+    d = cut(digests(documents).distinct())  # texts are read and put into form once
     classes = d.groupBy("form", "own").agg(F.count("*").alias("_n"))
     several = classes.groupBy("form").agg(F.count("*").alias("_k")).where("_k > 1").select("form")
     c = classes.join(several, "form", "left_semi").select("form", "own")
