@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tidewright.session import cut
 
-SAMPLE, LEAF, MOST = 20_000, 1500, 12_000
+SAMPLE, LEAF, MOST = 20_000, 1500, 40_000
 
 
 class Blocks:
