@@ -377,6 +377,20 @@ def test_knn_weights(spark):
     assert np.allclose([w[i] for i in range(80)], ref)
 
 
+def test_knn_weights_of_isolated_points_and_copies(spark):
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.uniform(size=(60, 3)), [[50.0, 0, 0]], [[-300.0, 7, 0]], [[0.5, 0.5, 0.5]] * 6, [[90.0, 90, 0]] * 2])
+    p = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, x double, y double, z double")
+    d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), axis=1)[:, :4]
+    for within in (None, 2.0):
+        near = d if within is None else np.where(d <= within, d, np.nan)
+        mean = np.nanmean(near, axis=1) ** 3
+        w = {r["id"]: r["w"] for r in mesh.knn_weights(p, "id", ["x", "y", "z"], cell=2.0, volume=1.0, k=4, within=within).collect()}
+        assert np.allclose([w[i] for i in range(len(x))], np.sqrt(mean) / np.sqrt(mean).max())
+    raw = mesh.PointWeights(p, "id", ["x", "y", "z"], k=4).raw
+    assert raw.orderBy(F.desc("w")).first()["id"] == 61  # the most isolated point weighs most
+
+
 def test_hull_and_point_weights(spark):
     from tidewright.functions.hull import hull_points, hull_volume
 

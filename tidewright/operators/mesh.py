@@ -5,10 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewright.functions.hull import hull_points, hull_volume
+from tidewright.session import cut
 
 
 def _cross(a: list[Column], b: list[Column]) -> list[Column]:
@@ -23,11 +23,6 @@ def _field(name: str):
     return lambda p: p[name]
 
 
-def _moved(i: int, d: int):
-    """A cell's index moved along coordinate i."""
-    return lambda s: F.concat(F.slice("cell", 1, i), F.array(F.element_at("cell", i + 1) + s), F.slice("cell", i + 2, d))
-
-
 def face_geometry(points: DataFrame, faces: DataFrame) -> DataFrame:
     """Centre and area vector of each face: fid, cx, cy, cz, sx, sy, sz.
 
@@ -92,31 +87,42 @@ def box_mesh(spark, n: int, size: float = 1.0) -> dict[str, DataFrame]:
     return {"points": points, "faces": faces, "owner": owner, "neighbour": neighbour}
 
 
-def knn_weights(points: DataFrame, key: str, columns: list[str], cell: float, volume: float, normalize: bool = True, k: int | None = None) -> DataFrame:
+def _mean_distance(places: DataFrame, k: int, within: float | None) -> DataFrame:
+    """place and dist: the mean distance of the k nearest points, of which each place holds ``copies``."""
+    from tidewright.llm.neighbours import knn  # only here, so that the other operators do without that subpackage
+
+    near = knn(places.select("place", "vec"), max(1, k - 1)).select("place", F.explode("near").alias("n"))
+    # Of a place's own copies and of those of its k - 1 nearest places, the k nearest points.
+    other = near.select("place", F.col("n.id").alias("_id"), F.sqrt("n.d2").alias("d")).join(places.select(F.col("place").alias("_id"), "copies"), "_id").select("place", "d", "copies")
+    every = places.select("place", F.lit(0.0).alias("d"), "copies").union(other)
+    dists = F.flatten(F.collect_list(F.array_repeat("d", F.least("copies", F.lit(k)).cast("int"))))
+    one = every.groupBy("place").agg(F.slice(F.array_sort(dists), 1, k).alias("d"))
+    if within is not None:
+        one = one.withColumn("d", F.filter("d", lambda v: v <= within))
+    return one.select("place", (F.aggregate("d", F.lit(0.0), lambda s, v: s + v) / F.size("d")).alias("dist"))
+
+
+def knn_weights(points: DataFrame, key: str, columns: list[str], cell: float | None, volume: float, normalize: bool = True, k: int | None = None, within: float | None = None) -> DataFrame:
     """Weight of each point from the mean distance to its k nearest points, itself among them (distance 0).
 
-    Neighbours are looked for within ``cell`` in every coordinate: points meet in grid cells of that width
-    (each point is sent to the cells around its own), never all with all. Points with fewer than k points
-    in reach use those. ``volume`` is that of the hull, over which the weights are spread. k defaults to 8
-    with three coordinates that vary, else 4; the exponent is the number of coordinates.
+    The neighbours are exact at any distance and density; points of equal coordinates are one place of the
+    search. Only with fewer than k points in all are there fewer neighbours. ``within`` leaves out, of the k
+    nearest, those farther away; ``cell`` has no effect, it is accepted for earlier callers. Points with a
+    coordinate that is null or not finite have no weight. ``volume`` is that of the hull, over which the
+    weights are spread. k defaults to 8 with three coordinates that vary, else 4; the exponent is the number
+    of coordinates.
     """
     d = len(columns)
     if k is None:
         flat = points.agg(*((F.max(c) - F.min(c)).alias(c) for c in columns)).first()
         k = 8 if sum((flat[c] or 0) > 0 for c in columns) == 3 else 4
-    p = points.select(F.col(key).alias("id"), *(F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)))
-    own = p.select("*", F.array(*(F.floor(F.col(f"v{i}") / cell) for i in range(d))).alias("cell"))
-    around = own
-    for i in range(d):
-        around = around.withColumn("cell", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), _moved(i, d))))
-    a = own.select(F.col("id").alias("a"), "cell", *(F.col(f"v{i}").alias(f"a{i}") for i in range(d)))
-    pairs = a.join(around.withColumnRenamed("id", "b"), "cell")
-    dist = F.sqrt(sum(((F.col(f"a{i}") - F.col(f"v{i}")) ** 2 for i in range(d)), F.lit(0.0)))
-    near = pairs.select("a", "b", dist.alias("dist")).where(F.col("dist") <= cell)
-    rn = F.row_number().over(W.partitionBy("a").orderBy("dist", "b"))
-    mean = near.withColumn("rn", rn).where(F.col("rn") <= k).groupBy("a").agg(F.pow(F.avg("dist"), d).alias("d"))
+    p = points.select(F.col(key).alias("id"), F.array(*(F.col(c).cast("double") + F.lit(0.0) for c in columns)).alias("vec"))  # no negative zero
+    p = cut(p.where(F.forall("vec", lambda v: v.isNotNull() & (F.abs(v) < float("inf")))))
+    places = cut(p.groupBy("vec").agg(F.count("*").alias("copies")).withColumn("place", F.monotonically_increasing_id()))
+    dist = places.join(_mean_distance(places, k, within), "place").select("vec", F.pow("dist", F.lit(float(d))).alias("d"))
+    mean = cut(p.join(dist, "vec").select("id", "d"))
     total = mean.agg(F.sum("d").alias("total"))
-    w = mean.crossJoin(F.broadcast(total)).select(F.col("a").alias(key), (F.lit(float(volume)) * F.col("d") / F.col("total")).alias("w"))
+    w = mean.crossJoin(F.broadcast(total)).select(F.col("id").alias(key), (F.lit(float(volume)) * F.col("d") / F.col("total")).alias("w"))
     if not normalize:
         return w
     most = w.agg(F.max(F.sqrt("w")).alias("most"))
@@ -146,10 +152,10 @@ def hull_size(points: DataFrame, columns: list[str]) -> float:
 class PointWeights:
     """Weights of a point cloud: the k nearest neighbours' mean distance, spread over the hull's volume.
 
-    ``cell`` bounds how far neighbours are looked for (see :func:`knn_weights`).
+    Neighbours are exact at any distance; ``cell`` has no effect (see :func:`knn_weights`).
     """
 
-    def __init__(self, points: DataFrame, key: str, columns: list[str], cell: float, normalize: bool = True, k: int | None = None):
+    def __init__(self, points: DataFrame, key: str, columns: list[str], cell: float | None = None, normalize: bool = True, k: int | None = None):
         self.points, self.key, self.columns, self.cell, self.normalize, self.k = points, key, columns, cell, normalize, k
         self.volume = hull_size(points, columns)
 

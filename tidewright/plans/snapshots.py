@@ -388,8 +388,9 @@ def mesh_topology(spark, sf):
 
 
 def knn_weights(spark, sf):
+    """Weights from the 4 nearest points; as its SQL defines, those farther than 2 do not count."""
     p = _points(spark, sf).where(F.forall(F.array("x", "y", "z"), lambda v: v.isNotNull() & ~F.isnan(v)))
-    w = mesh.knn_weights(p, "point_id", ["x", "y", "z"], cell=2.0, volume=1.0, k=4)
+    w = mesh.knn_weights(p, "point_id", ["x", "y", "z"], cell=2.0, volume=1.0, k=4, within=2.0)
     return w.select("point_id", r6("w").alias("w"))
 
 
