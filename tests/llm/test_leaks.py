@@ -59,3 +59,14 @@ def test_empty_tables(spark):
     assert leaks.leaked(d, i).count() == 0 and leaks.leaked(d, i.limit(0)).count() == 0 and leaks.leaked(d, i.limit(0), sent=-1).count() == 0
     full = spark.createDataFrame([(5, ITEM)], "doc_id bigint, text string")
     assert [tuple(r) for r in leaks.leaked(full, i).collect()] == [(5, 1)]
+
+
+def test_case_counts_in_no_script(spark):
+    russian = "вся система канала в море показана на нашем потоке при новом ветре кабеля"
+    greek = "η ροή του αέρα μέσα στο κανάλι και η πίεση κάτω από τον βυθό χάνονται νύχτα"
+    armenian = "համակարգը ցույց է տալիս հոսքը ջրանցքում երբ ճնշումը նվազում է օդի հետ ուղղակի"
+    items = {1: russian, 2: greek, 3: armenian, 4: russian.upper()}
+    docs = {1: f"Heading: {russian.upper()} in an English text", 2: greek.upper(), 3: armenian.title(), 4: russian.title(), 5: greek.title(), 6: russian}
+    want = {(1, 1), (1, 4), (4, 1), (4, 4), (6, 1), (6, 4), (2, 2), (5, 2), (3, 3)}
+    assert rows_of(spark, docs, items) == want
+    assert rows_of(spark, docs, items, sent=0) == want

@@ -16,6 +16,7 @@ pieces of the documents are joined with them by a shuffle. Either way gives the
 
 Defined results
 ---------------
+* words count regardless of case in every script: letters that look alike in either case are one letter;
 * null texts and items of fewer than ``words`` words give no rows, nor do rows with null ids;
 * documents and items of one id and equal text count once; an empty table gives an empty result;
 * texts of any length are processed whole; further columns do not take part.
@@ -32,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.textforms import consistent, skeleton
+from tidewright.llm.textforms import ARMENIAN, CYRILLIC, GREEK, LATIN, consistent, skeleton
 
 WORDS, K, SENT = 12, 24, 2_000_000
 #: In a stream: no boundary before this letter, a sure one, or one that a line break leaves open.
@@ -40,10 +41,19 @@ NONE, SURE, OPEN = 0, 1, 2
 _STATE: dict = {}
 
 
+def _lower() -> dict[str, str]:
+    """Small letters of which either case looks like a Latin letter, as that letter: в by its capital В is b.
+
+    The skeleton knows each case by itself, so without this В and в would be two letters after casefold.
+    """
+    pairs = ((a.casefold(), b.casefold()) for own, latin in (CYRILLIC, GREEK, ARMENIAN, LATIN) for a, b in zip(own, latin, strict=True))
+    return dict(pairs)
+
+
 def _codes() -> np.ndarray:
     """Per code point of the basic plane: 0 between words, 1 shows nothing by itself, else its letter."""
     if "codes" not in _STATE:
-        t = np.zeros(65537, np.uint32)
+        t, lower = np.zeros(65537, np.uint32), _lower()
         for c in range(65536):
             ch = chr(c)
             kind = unicodedata.category(ch)
@@ -51,7 +61,7 @@ def _codes() -> np.ndarray:
                 t[c] = 1
             elif ch.isalnum():
                 base = unicodedata.normalize("NFKD", ch)[0]
-                t[c] = ord(base) if base.isalnum() else c
+                t[c] = ord(lower.get(base, base)) if base.isalnum() else c
         t[65536] = 2  # beyond the basic plane: looked up one by one
         _STATE["codes"] = t
     return _STATE["codes"]
