@@ -277,3 +277,27 @@ def test_rank_over_blocks(spark):
     got = ranked(d, ["k"], ["v"], "b").collect()
     assert all(r["rank"] == r["v"] // 3 for r in got)
     assert dt.date.today()
+
+
+def test_rows_without_an_id_all_stay(spark, dialects):
+    lines = [(i, 1, 1, 2, "0", n, raw, 0) for n, (i, raw) in enumerate([(None, "a"), (None, "a,1,2"), (None, "b,1,x"), (4, "a"), (4, "a")])]
+    got = [(r["line_id"], r["reason"]) for r in rejects.load_lines(spark.createDataFrame(lines, LINES), dialects).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, [(None, "column_count"), (None, None), (None, "invalid_value"), (4, "column_count")]))
+    # Readings of two slots, both without an id, both count; a grid without a series gives nothing.
+    g = spark.createDataFrame([(1, 1, "foam", "p", 0.0, 1.0, 3), (None, 1, "foam", "p", 0.0, 1.0, 3), (None, 2, "foam", "p", 0.0, 1.0, 3)], GRID)
+    r = spark.createDataFrame([(None, 1, "0", 1.0, 0, 0.0), (None, 1, "2", 3.0, 0, 0.0)], READ)
+    assert {tuple(x) for x in regular.empty_slots(r, g).collect()} == {(1, 1)}
+    # Impossible samples without an id, beside an id that no float holds.
+    big = 2**60 + 1
+    rows = [(None, 1, "psp", 1, 7.0, None, 0), (None, 1, "psp", 2, 8.0, None, 0), (big, 1, "psp", 3, 9.0, None, 0), *((k, 1, "psp", 3 + k, 0.5 + 0.01 * (k % 3), None, 0) for k in range(1, 40)), (big + 2, 1, "psp", 90, 0.9, None, 0), (None, 1, "psp", 91, 0.1, None, 0)]
+    d = spark.createDataFrame(rows, SAMPLES)
+    assert sorted(map(repr, map(tuple, spikes.faulty(d).collect()))) == sorted(map(repr, [(None, "impossible"), (None, "impossible"), (big, "impossible"), (big + 2, "spike"), (None, "spike")]))
+    ids = [x["sample_id"] for x in spikes.profile_outliers(d).collect()]
+    assert len(ids) == 41 and ids.count(None) == 1 and big + 2 in ids
+    # Files: distinct ones all stay, copies go, and each record is bundled once.
+    files = [(None, "1 1\n2 2\n"), (None, "3 3\n"), (None, "1 1\n2 2\n"), (5, "1 1.0\n2 2\n"), (None, ""), (None, "3 3\n4 4\n"), (None, "4 4\n6 6\n")]
+    f = spark.createDataFrame([(i, 1, "foam", 0, "0.1", "p", "a", 1, body, 0) for i, body in files], FILES)
+    assert [x[0] for x in compact.redundant_files(f).collect()] == [None] * 4
+    made = compact.bundles(f).persist()
+    out = [x for b in made.collect() for x in bytes(b["body"]).decode().splitlines() if not x.startswith("#")]
+    assert sorted(out) == ["1 1.0", "2 2", "3 3", "4 4", "6 6"] and compact.verify(made).where("not intact").count() == 0

@@ -8,7 +8,8 @@ time, because only there a file can repeat another.
 Defined results
 ---------------
 * a file without records (null, empty, only comments or blank lines) adds none;
-* rows of one file_id count once; null keys form a key of their own; a write time that is no number is
+* rows of one file_id count once; files without one count one by one, behind all others, and show a null
+  or no id where they are named; null keys form a key of their own; a write time that is no number is
   compared as text;
 * a line that is no record (not a point number and a value) is compared as text and copied;
 * an empty table gives an empty result; further columns do not take part.
@@ -45,10 +46,23 @@ def number_key(line: Column) -> Column:
     return F.when((F.size(bits) == 2) & point.isNotNull() & value.isNotNull(), as_numbers).otherwise(F.trim(line))
 
 
+def _nameless(files: DataFrame) -> bool:
+    return files.where("file_id is null").limit(1).count() > 0
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """The files once each, with ``known``: whether file_id is their own; files without one get numbers behind all others."""
+    found = once(files, "file_id").withColumn("known", F.col("file_id").isNotNull())
+    if not _nameless(files):
+        return found
+    top = files.agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0]
+    return cut(found.withColumn("file_id", F.coalesce("file_id", F.lit(top + 1) + F.monotonically_increasing_id())))
+
+
 def described(files: DataFrame) -> DataFrame:
-    """One row per file: its key and the set of its records."""
+    """One row per numbered file: its key and the set of its records."""
     moment = F.coalesce((F.col("write_time").try_cast("double") + F.lit(0.0)).cast("string"), F.concat(F.lit("="), F.col("write_time")))
-    return once(files, "file_id").select(
+    return files.select(
         "file_id", "case_id", "processor", "field_name", moment.alias("moment"), F.array_sort(F.array_distinct(F.transform(records(F.col("body")), number_key))).alias("recs")
     )
 
@@ -60,7 +74,16 @@ def redundant_files(files: DataFrame) -> DataFrame:
     up through its rarest record only: whoever holds the whole set holds that record too, so the join meets
     few files, and the set is then compared in full.
     """
-    d = cut(described(files))
+    made = numbered(files)
+    gone = _redundant(made)
+    if _nameless(files):
+        gone = gone.join(made.select("file_id", "known"), "file_id").select(F.when(F.col("known"), F.col("file_id")).alias("file_id"))
+    return gone
+
+
+def _redundant(made: DataFrame) -> DataFrame:
+    """The same by the numbers of :func:`numbered`."""
+    d = cut(described(made))
     empty = d.where(F.size("recs") == 0).select("file_id")
     full = d.where(F.size("recs") > 0).withColumn("sig", F.sha2(F.concat_ws("\n", "recs"), 256))
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(c) for c in KEY]
@@ -104,7 +127,7 @@ def _join(pdf: pd.DataFrame) -> pd.DataFrame:
     for r in pdf.itertuples(index=False):
         data = r.kept_body.encode()
         count = data.count(b"\n")
-        out.append(f"# member file_id={r.file_id} processor={r.processor} time={r.write_time} field={r.field_name} records={count} bytes={len(data)} crc32={zlib.crc32(data)}\n".encode() + data)
+        out.append(f"# member file_id={r.file_id if r.known else ''} processor={r.processor} time={r.write_time} field={r.field_name} records={count} bytes={len(data)} crc32={zlib.crc32(data)}\n".encode() + data)
         n += count
     body = b"".join(out)
     case = pdf["case_id"].iloc[0]
@@ -119,10 +142,10 @@ def bundles(files: DataFrame, target: int = TARGET) -> DataFrame:
     they stand. A case's files are spread over ceil(bytes / target) bundles by the hash of their id, so a
     case of any size is written by as many tasks as it has bundles.
     """
-    gone = redundant_files(files)
-    kept = once(files, "file_id").join(gone, "file_id", "left_anti")
+    made = numbered(files)
+    kept = made.join(_redundant(made), "file_id", "left_anti")
     moment = F.coalesce((F.col("write_time").try_cast("double") + F.lit(0.0)).cast("string"), F.concat(F.lit("="), F.col("write_time")))
-    kept = kept.select("file_id", "case_id", F.col("processor").cast("string").alias("processor"), "field_name", "write_time", moment.alias("moment"), records(F.col("body")).alias("lines"))
+    kept = kept.select("file_id", "known", "case_id", F.col("processor").cast("string").alias("processor"), "field_name", "write_time", moment.alias("moment"), records(F.col("body")).alias("lines"))
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"k_{c}") for c in KEY]
     # of the records that stand more than once in a key (in two files or twice in one), the places to drop
     rows = kept.select("file_id", *keys, F.posexplode("lines").alias("pos", "line")).withColumn("rec", number_key(F.col("line"))).drop("line")

@@ -11,8 +11,9 @@ Defined results
   a slot that the grid lacks belong to none;
 * unusable readings (null, NaN; time that is no decimal number; unknown or null series) take no part;
 * a cell without a reading of its own is ``filled`` if an interval reaches into it, else ``missing``;
-* readings of one time are averaged; repeated rows count once; grids without slots give no rows; a grid
-  whose step is null, zero or negative has no cells and gives no rows.
+* readings of one time are averaged; repeated rows count once, readings without an id one by one; grids
+  without slots or without a series give no rows; a grid whose step is null, zero or negative has no cells
+  and gives no rows.
 """
 
 from __future__ import annotations

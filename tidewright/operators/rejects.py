@@ -8,7 +8,7 @@ Defined results
 ---------------
 * null and blank lines, and lines that start with one of ``HEADERS``, are no rows and come out nowhere;
 * a line whose dialect is unknown or null fails with ``no_dialect``;
-* repeated rows (same id) count once; an empty table gives an empty result;
+* repeated rows (same id) count once, rows without an id one by one; an empty table gives an empty result;
 * further columns of the input do not take part; very long lines are handled as any other.
 """
 
@@ -23,6 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.session import once
+
 #: How a header or comment line starts.
 HEADERS = ("#", "TITLE", "VARIABLES", "ZONE")
 #: A decimal number of ASCII digits, and what a field may hold besides.
@@ -188,7 +190,7 @@ def load_lines(lines: DataFrame, dialect: DataFrame, only_failed: bool = False)
     rows = lines.select("line_id", "file_id", "case_id", "line_no", "write_time", "dialect_id", "raw_line").where(
         F.col("raw_line").isNotNull() & F.col("raw_line").rlike(r"\S") & ~F.col("raw_line").rlike(f"^({start})")
     )
-    return rows.mapInArrow(parse(known, only_failed), SCHEMA).dropDuplicates(["line_id"])
+    return rows.mapInArrow(parse(known, only_failed), SCHEMA).transform(once, "line_id")
 
 
 def failed_lines(lines: DataFrame, dialect: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ Defined results
 ---------------
 * null readings are left out; values that are not finite or leave [low, high] are impossible and take no
   part in the rest; a scatter of 0 (or a source without readings) gives no spikes and no stuck runs;
-* repeated rows count once; a null source_id is a source of its own; rows with a null order come first;
+* repeated rows count once, readings without an id one by one (with a null sample_id); a null source_id is a source of its own; rows with a null order come first;
 * further columns do not take part; an empty table gives an empty result.
 """
 
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -26,10 +26,14 @@ from tidewright.session import cut, once, parts, ranked
 
 SIDE, RUN, FACTOR, SCALE = 10, 8, 8.0, 1.4826
 BLOCK = 8192
-#: Stands for a null source_id.
+#: Stands for a null source_id or sample_id: with nulls, whole numbers would become floats in pandas.
 NO_SOURCE = -(2**63)
 
 
+def _id() -> Column:
+    return F.nullif("sample_id", F.lit(NO_SOURCE))
+
+
 def levels(x: np.ndarray, side: int = SIDE) -> np.ndarray:
     """Median of each value with its ``side`` neighbours on either side, fewer at the ends."""
     n, w = len(x), 2 * side + 1
@@ -85,7 +89,7 @@ def deviations(samples: DataFrame, side: int = SIDE, run: int = RUN, block: int
     halo = max(side, run - 1)
     # Positions are counted in stretches of t_idx, which is unique within a source, so a stretch is bounded.
     x = samples.withColumn("stretch", F.floor(F.coalesce("t_idx", F.lit(-1)) / block))
-    x = ranked(x, ["source"], ["t_idx", "sample_id"], "stretch", "pos").select("sample_id", "source", "value", "pos")
+    x = ranked(x, ["source"], ["t_idx", "sample_id", "value"], "stretch", "pos").select("sample_id", "source", "value", "pos")
     b = F.floor(F.col("pos") / block)
     at = F.pmod("pos", F.lit(block))
     places = F.array_compact(F.array(F.struct(b.alias("block"), F.lit(True).alias("own")), F.when((at < halo) & (b > 0), F.struct((b - 1).alias("block"), F.lit(False).alias("own"))), F.when(at >= block - halo, F.struct((b + 1).alias("block"), F.lit(False).alias("own")))))
@@ -118,14 +122,14 @@ def exact_median(df: DataFrame, key: str, value: str) -> DataFrame:
 def faulty(samples: DataFrame, low: float = 0.0, high: float = 1.0, factor: float = FACTOR) -> DataFrame:
     """sample_id and reason (impossible, spike, stuck) of the faulty readings; a spike in a run is ``spike``."""
     value = F.when(F.col("loader") == "psp", F.col("weight")).when(F.col("loader") == "csv", F.col("isvalid")).otherwise(F.coalesce("weight", "isvalid"))
-    x = once(samples, "sample_id").select("sample_id", F.coalesce("source_id", F.lit(NO_SOURCE)).alias("source"), "t_idx", value.alias("value")).where(F.col("value").isNotNull())
+    x = once(samples, "sample_id").select(F.coalesce("sample_id", F.lit(NO_SOURCE)).alias("sample_id"), F.coalesce("source_id", F.lit(NO_SOURCE)).alias("source"), "t_idx", value.alias("value")).where(F.col("value").isNotNull())
     wild = F.isnan("value") | (F.col("value") < low) | (F.col("value") > high)
     impossible = x.where(wild).select("sample_id", F.lit("impossible").alias("reason"))
     d = cut(deviations(x.where(~wild)))
     scatter = exact_median(d, "source", "dev").select("source", (F.col("median") * SCALE).alias("scatter")).where("scatter > 0")
     spike = F.col("dev") > factor * F.col("scatter")
     found = d.join(scatter, "source").where(spike | F.col("stuck"))
-    return impossible.union(found.select("sample_id", F.when(spike, "spike").otherwise("stuck").alias("reason")))
+    return impossible.union(found.select("sample_id", F.when(spike, "spike").otherwise("stuck").alias("reason"))).withColumn("sample_id", _id())
 
 
 def robust_pca(m: np.ndarray, steps: int = 200, tol: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +163,7 @@ def profile_outliers(samples: DataFrame, width: int = 24, rows: int = 64, factor
     robust scatter of the matrix's residual.
     """
     value = F.when(F.col("loader") == "psp", F.col("weight")).when(F.col("loader") == "csv", F.col("isvalid")).otherwise(F.coalesce("weight", "isvalid"))
-    x = once(samples, "sample_id").select("sample_id", F.coalesce("source_id", F.lit(NO_SOURCE)).alias("source"), F.coalesce("t_idx", F.lit(0)).alias("t"), value.alias("value"))
+    x = once(samples, "sample_id").select(F.coalesce("sample_id", F.lit(NO_SOURCE)).alias("sample_id"), F.coalesce("source_id", F.lit(NO_SOURCE)).alias("source"), F.coalesce("t_idx", F.lit(0)).alias("t"), value.alias("value"))
     x = x.where(F.col("value").isNotNull() & ~F.isnan("value") & F.col("value").between(low, high)).withColumn("block", F.floor(F.col("t") / (width * rows)))
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
@@ -175,4 +179,4 @@ def profile_outliers(samples: DataFrame, width: int = 24, rows: int = 64, factor
         s = sparse.reshape(-1)[at]
         return pd.DataFrame({"sample_id": p["sample_id"], "source_id": p["source"], "normal": (base + centre).reshape(-1)[at], "sparse": s, "spike": (np.abs(s) > 0) & (rest > factor * max(scale, 1e-12))})
 
-    return x.groupBy("source", "block").applyInPandas(one, "sample_id bigint, source_id bigint, normal double, sparse double, spike boolean")
+    return x.groupBy("source", "block").applyInPandas(one, "sample_id bigint, source_id bigint, normal double, sparse double, spike boolean").withColumn("sample_id", _id())

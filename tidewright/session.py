@@ -78,8 +78,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def once(df: DataFrame, key: str) -> DataFrame:
-    """Rows of one id count once; repeated rows hold equal values, so any of them will do."""
-    return df.dropDuplicates([key])
+    """Rows of one id count once; repeated rows hold equal values, so any of them will do.
+
+    A row without an id repeats none: every such row stays.
+    """
+    own = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    return df.withColumn("_own", own).dropDuplicates([key, "_own"]).drop("_own")
 
 
 def parts(df: DataFrame, factor: int = 1) -> int:
