@@ -301,3 +301,17 @@ def test_rows_without_an_id_all_stay(spark, dialects):
     made = compact.bundles(f).persist()
     out = [x for b in made.collect() for x in bytes(b["body"]).decode().splitlines() if not x.startswith("#")]
     assert sorted(out) == ["1 1.0", "2 2", "3 3", "4 4", "6 6"] and compact.verify(made).where("not intact").count() == 0
+
+
+def test_profiles_of_readings_that_share_a_place(spark):
+    noise = np.random.default_rng(3).normal(size=480) * 0.01
+    value = lambda t: 0.4 + 0.1 * np.sin(2 * np.pi * (t % 24) / 24) + noise[t]
+    rows = [(t, 1, "psp", t, float(value(t)), None, 0) for t in range(480)]
+    # Readings on places that have one: a spike before and a spike behind it, a usual value, and null times.
+    more = [(-1, 1, "psp", 50, 0.95, None, 0), (1000, 1, "psp", 77, 0.02, None, 0), (1001, 1, "psp", 90, float(value(90)) + 0.001, None, 0), (1002, 1, "psp", None, 0.97, None, 0), (1003, 1, "psp", None, float(value(0)), None, 0)]
+    every = {r[0]: r[4] for r in (*rows, *more)}
+    for data in (rows + more, more + rows):
+        out = {x["sample_id"]: x for x in spikes.profile_outliers(spark.createDataFrame(data, SAMPLES).coalesce(1)).collect()}
+        assert set(out) == set(every)
+        assert {i for i in (-1, 50, 77, 90, 1000, 1001, 1002) if out[i]["spike"]} == {-1, 1000, 1002}
+        assert all(abs(x["normal"] + x["sparse"] - every[i]) < 1e-5 for i, x in out.items())

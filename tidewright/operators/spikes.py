@@ -159,7 +159,8 @@ def profile_outliers(samples: DataFrame, width: int = 24, rows: int = 64, factor
 
     A profile is ``width`` consecutive values of t_idx, a matrix ``rows`` profiles of one source, so that a
     task's matrix is bounded whatever the source's size. Places without a possible reading take the
-    matrix's median and are not reported. A sparse part is a spike if it exceeds ``factor`` times the
+    matrix's median and are not reported. Readings of one t_idx (a null one is 0) share a place: it takes the
+    middle one of them, and each is reported by its own distance from the normal part. A sparse part is a spike if it exceeds ``factor`` times the
     robust scatter of the matrix's residual.
     """
     value = F.when(F.col("loader") == "psp", F.col("weight")).when(F.col("loader") == "csv", F.col("isvalid")).otherwise(F.coalesce("weight", "isvalid"))
@@ -170,13 +171,15 @@ def profile_outliers(samples: DataFrame, width: int = 24, rows: int = 64, factor
         at = (p["t"].to_numpy() - int(p["block"].iloc[0]) * width * rows).astype(int)
         v = p["value"].to_numpy()
         flat = np.full(width * rows, np.median(v))
-        flat[at] = v
+        order = np.lexsort((v, at))
+        used, first, count = np.unique(at[order], return_index=True, return_counts=True)
+        flat[used] = v[order][first + (count - 1) // 2]
         m = flat.reshape(rows, width)[: at.max() // width + 1]
         centre = np.median(m)
         base, sparse = robust_pca(m - centre)
-        rest = np.abs((m - centre - base).reshape(-1)[at])
+        rest = np.abs(v - (centre + base.reshape(-1)[at]))
         scale = SCALE * np.median(rest)
-        s = sparse.reshape(-1)[at]
+        s = sparse.reshape(-1)[at] + (v - flat[at])
         return pd.DataFrame({"sample_id": p["sample_id"], "source_id": p["source"], "normal": (base + centre).reshape(-1)[at], "sparse": s, "spike": (np.abs(s) > 0) & (rest > factor * max(scale, 1e-12))})
 
     return x.groupBy("source", "block").applyInPandas(one, "sample_id bigint, source_id bigint, normal double, sparse double, spike boolean").withColumn("sample_id", _id())
