@@ -417,3 +417,18 @@ def test_spod_helpers(spark):
     assert {r["row_id"]: r["w"] for r in spectral.tiled_weights(w, x).collect()} == {0: 1.0, 1: 2.0, 2: 1.0, 3: 2.0}
     with pytest.raises(ValueError):
         spectral.tiled_weights(w, Matrix.from_numpy(spark, np.ones((3, 3))))
+
+
+def test_hours_hold_every_event(spark, tmp_path):
+    import datetime as dt
+
+    from tidewright.plans import snapshots
+
+    at = [dt.datetime(2023, 12, 31, 22, 30), dt.datetime(2024, 1, 1, 0, 5), dt.datetime(2024, 2, 2, 3, 0), dt.datetime(2024, 2, 2, 3, 59), None]
+    spark.createDataFrame([(t,) for t in at], "ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
+    v = snapshots._hours(spark, str(tmp_path)).df.first()["re"]
+    assert len(v) == 2 + 32 * 24 + 4 and sum(v) == 4 and v[0] == v[2] == 1 and v[-1] == 2
+    d = spark.createDataFrame([(0, 1, 2.0), (0, 5, 3.0), (0, None, 4.0)], "row_id long, t int, v double")
+    assert Matrix.from_long(d, "row_id", "t", "v", times=[1, 3, 5]).df.first()["re"] == [2.0, 0.0, 3.0]
+    with pytest.raises(Exception, match="not listed"):
+        Matrix.from_long(d, "row_id", "t", "v", times=[1, 3]).df.collect()

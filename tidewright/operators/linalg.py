@@ -41,13 +41,15 @@ class Matrix:
         self._gram: np.ndarray | None = None
 
     @classmethod
-    def from_long(cls, df: DataFrame, row: str, time: str, value: str, times: list | None = None, fill: float | None = 0.0) -> Matrix:
+    def from_long(cls, df: DataFrame, row: str, time: str, value: str, times: list | range | None = None, fill: float | None = 0.0) -> Matrix:
         """From one row per (point, time); places without a value are ``fill``, or an error if that is None.
 
         The times are few (columns of the matrix) and are listed first, so that each row finds its place by
-        position and no sort is needed.
+        position and no sort is needed. Rows without a time take no part; a time that ``times`` lacks is an
+        error when the matrix is computed.
         """
-        if times is None:
+        listed = times is not None
+        if not listed:
             found = df.select(time).where(F.col(time).isNotNull()).distinct().orderBy(time).limit(MOST + 1).collect()
             times = [r[0] for r in found]
         if not times:
@@ -56,7 +58,12 @@ class Matrix:
             raise ValueError(f"more than {MOST} times")
         spark = df.sparkSession
         at = spark.createDataFrame(list(enumerate(times)), f"_k int, {time} {dict(df.dtypes)[time]}")
-        x = df.select(F.col(row).alias("row_id"), F.col(time), F.col(value).cast("double").alias("_v")).join(F.broadcast(at), time)
+        x = df.select(F.col(row).alias("row_id"), F.col(time), F.col(value).cast("double").alias("_v"))
+        if listed:
+            unknown = F.raise_error(F.concat(F.lit("a time that is not listed: "), F.col(time).cast("string")))
+            x = x.where(F.col(time).isNotNull()).join(F.broadcast(at), time, "left").withColumn("_k", F.when(F.col("_k").isNull(), unknown.cast("int")).otherwise(F.col("_k")))
+        else:
+            x = x.join(F.broadcast(at), time)
         one = x.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("_k", "_v"))).alias("_m"))
         if fill is None:
             short = one.where(F.size("_m") != len(times)).limit(1).count()

@@ -42,9 +42,11 @@ def event_matrix(spark: SparkSession, sf: str) -> Matrix:
 
 
 def _hours(spark: SparkSession, sf: str) -> Matrix:
+    """Events per hour: the 720 hours from 2024-01-01, and all hours up to the events before or after them."""
     h = F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - F.lit(1704067200)) / 3600)
     x = table(spark, sf, "events").groupBy(h.alias("hour")).agg(F.count("*").alias("v")).withColumn("row_id", F.lit(0))
-    return Matrix.from_long(x, "row_id", "hour", "v", times=list(range(720)))
+    span = x.agg(F.least(F.min("hour"), F.lit(0)).alias("first"), F.greatest(F.max("hour"), F.lit(719)).alias("last")).first()
+    return Matrix.from_long(x, "row_id", "hour", "v", times=range(span["first"], span["last"] + 1))
 
 
 def snapshot_series(spark, sf):
