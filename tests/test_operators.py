@@ -109,6 +109,32 @@ def test_svd(spark, shape):
     assert np.allclose(np.abs(rows.V.T @ s.V[:, :4]), np.eye(4), atol=1e-6)
 
 
+def test_svd_modes_agree(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 12)) * 10.0 ** -np.arange(12)
+    m = Matrix.from_numpy(spark, x).map_rows(lambda v: v, 12, False)
+    m = Matrix(m.df.repartition(9), 12)
+    ref = np.linalg.svd(x, compute_uv=False)
+    exact = SVD(m, mode="qr")
+    assert np.allclose(exact.s_full / ref, 1, atol=1e-6) and exact.x.rows == 60  # also the values that a Gram matrix loses
+    assert np.allclose(SVD(m, rank=3, mode="iterate").s, ref[:3]) and np.allclose(SVD(m, rank=3).s, ref[:3])
+    z = Matrix.from_numpy(spark, x + 1j * x[::-1])
+    assert np.allclose(SVD(z, rank=4, mode="qr").s, SVD(z, rank=4).s) and np.allclose(SVD(z, rank=2, mode="iterate").s, SVD(z, rank=2).s)
+    with pytest.raises(ValueError):
+        SVD(m, mode="iterate")
+    assert m.gram_times(np.eye(12)).shape == (12, 12) and np.allclose(m.gram(), x.T @ x)
+
+
+def test_matrix_from_gappy_rows(spark):
+    d = spark.createDataFrame([("a", 1, 2.0), ("a", 3, None), ("b", 2, 5.0), ("b", None, 9.0), (None, 3, 1.0)], "r string, t int, v double")
+    m = Matrix.from_long(d, "r", "t", "v", fill=-1.0)
+    rows = {r["row_id"]: list(r["re"]) for r in m.df.collect()}
+    assert rows == {"a": [2.0, -1.0, -1.0], "b": [-1.0, 5.0, -1.0], None: [-1.0, -1.0, 1.0]}
+    assert m.gram().shape == (3, 3) and m.rows == 3
+    with pytest.raises(Exception, match="several values"):
+        Matrix.from_long(d.union(d), "r", "t", "v").gram()
+
+
 def test_dmd_finds_known_frequencies(spark, waves):
     m = Matrix.from_numpy(spark, waves)
     dt = 20 / 120
@@ -146,7 +172,7 @@ def test_dmd_options_against_numpy(spark, waves):
     nx, ny = t.tlsq_error
     assert nx.numpy().shape == x.shape and 0 < np.linalg.norm(ny.numpy()) < 0.2 * np.linalg.norm(y)
     fb = DMD(m, 1.0, rank=4, forward_backward={"steps": 100})
-    assert len(fb.fb_log["rho"]) <= 100 and np.allclose(np.abs(fb.eigvals), 1, atol=1e-2)
+    assert len(fb.fb_log) <= 101 and np.allclose(np.abs(fb.eigvals), 1, atol=1e-2)
     e = DMD([Matrix.from_numpy(spark, noisy[:, :60]), Matrix.from_numpy(spark, noisy[:, 60:])], 1.0, rank=4)
     assert len(e.amplitude) == 2 and e.reconstruction[1].numpy().shape == (60, 60) and len(e.top_modes(3)) == 3
 
@@ -371,7 +397,7 @@ def test_knn_weights(spark):
     rng = np.random.default_rng(0)
     x = rng.uniform(size=(80, 2))
     p = spark.createDataFrame([(i, float(a), float(b), 0.0) for i, (a, b) in enumerate(x)], "id int, x double, y double, z double")
-    w = {r["id"]: r["w"] for r in mesh.knn_weights(p, "id", ["x", "y", "z"], cell=0.5, volume=1.0).collect()}
+    w = {r["id"]: r["w"] for r in mesh.knn_weights(p, "id", ["x", "y", "z"], volume=1.0).collect()}
     d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), axis=1)[:, :4].mean(axis=1) ** 3
     ref = np.sqrt(d / d.sum()) / np.sqrt(d / d.sum()).max()
     assert np.allclose([w[i] for i in range(80)], ref)
@@ -382,15 +408,28 @@ def test_knn_weights_of_isolated_points_and_copies(spark):
     x = np.concatenate([rng.uniform(size=(60, 3)), [[50.0, 0, 0]], [[-300.0, 7, 0]], [[0.5, 0.5, 0.5]] * 6, [[90.0, 90, 0]] * 2])
     p = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, x double, y double, z double")
     d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), axis=1)[:, :4]
-    for within in (None, 2.0):
-        near = d if within is None else np.where(d <= within, d, np.nan)
-        mean = np.nanmean(near, axis=1) ** 3
-        w = {r["id"]: r["w"] for r in mesh.knn_weights(p, "id", ["x", "y", "z"], cell=2.0, volume=1.0, k=4, within=within).collect()}
-        assert np.allclose([w[i] for i in range(len(x))], np.sqrt(mean) / np.sqrt(mean).max())
+    mean = d.mean(axis=1) ** 3
+    w = {r["id"]: r["w"] for r in mesh.knn_weights(p, "id", ["x", "y", "z"], volume=1.0, k=4).collect()}
+    assert np.allclose([w[i] for i in range(len(x))], np.sqrt(mean) / np.sqrt(mean).max())
     raw = mesh.PointWeights(p, "id", ["x", "y", "z"], k=4).raw
     assert raw.orderBy(F.desc("w")).first()["id"] == 61  # the most isolated point weighs most
 
 
+def test_exact_neighbours_in_parts(spark):
+    from tidewright.operators.nearest import exact_knn
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(900, 3)), rng.normal(size=(600, 3)) * 0.01 + 2])
+    p = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "place bigint, vec array<double>")
+    d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d2, np.inf)
+    ref = np.argsort(d2, axis=1, kind="stable")[:, :4]
+    for options in ({}, {"leaf": 300, "most": 60}, {"sample": 50, "leaf": 10}):
+        got = {r["place"]: [n["id"] for n in r["near"]] for r in exact_knn(p, 4, **options).collect()}
+        assert all(got[i] == ref[i].tolist() for i in range(len(x)))
+    assert exact_knn(p.limit(0), 4).count() == 0 and [len(r["near"]) for r in exact_knn(p.limit(2), 4).collect()] == [1, 1]
+
+
 def test_hull_and_point_weights(spark):
     from tidewright.functions.hull import hull_points, hull_volume
 
@@ -404,7 +443,7 @@ def test_hull_and_point_weights(spark):
     assert hull_volume(np.array([[1.0], [4.0]])) == 3.0 and hull_volume(cube[:2]) == 0.0
     pts = np.concatenate([cube, rng.uniform(size=(60, 3)) * [1, 2, 3]])
     d = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(pts)], "id int, x double, y double, z double").repartition(3)
-    w = mesh.PointWeights(d, "id", ["x", "y", "z"], cell=3.5)
+    w = mesh.PointWeights(d, "id", ["x", "y", "z"])
     assert abs(w.volume - 6) < 1e-9 and abs(w.raw.agg(F.sum("w")).first()[0] - 6) < 1e-9
     assert abs(w.weights.agg(F.max("w")).first()[0] - 1) < 1e-12 and w.max_sqrt > 0
     assert mesh.hull_size(d.withColumn("z", F.lit(0.0)), ["x", "y", "z"]) == pytest.approx(2.0)

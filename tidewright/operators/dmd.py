@@ -58,7 +58,8 @@ class Core:
             u, _, vh = np.linalg.svd(yp @ xp.conj().T)
             self.operator = u @ vh
         elif forward_backward:
-            self.log, self.operator = dense.consistent_operator(xp, yp, **(forward_backward if isinstance(forward_backward, dict) else {}))
+            found = dense.consistent_operator(xp, yp, **(forward_backward if isinstance(forward_backward, dict) else {}))
+            self.log, self.operator = found.history, found.operator
         else:
             self.operator = (yp @ self.V) * inv
         self.eigvals, self.eigvecs = np.linalg.eig(self.operator.astype(complex))
@@ -135,7 +136,7 @@ class DMD:
         integral = np.mean([self._mode_norms() * np.abs(d).sum(axis=1) for d in self._dynamics()], axis=0)
         cols = (self.eigvals.real, self.eigvals.imag, self.frequency, self.growth_rate, amp, integral)
         rows = [(k, *map(float, v)) for k, v in enumerate(zip(*cols, strict=True))]
-        return self.x.df.sparkSession.createDataFrame(rows, "k int, re double, im double, frequency double, growth_rate double, amplitude double, integral double")
+        return self.x.spark.createDataFrame(rows, "k int, re double, im double, frequency double, growth_rate double, amplitude double, integral double")
 
     def top_modes(self, n: int = 10, integral: bool = False, f_min: float = -np.inf, f_max: float = np.inf) -> np.ndarray:
         """Indices of the n modes with f_min <= f < f_max of largest amplitude or integral contribution."""
@@ -171,7 +172,7 @@ class DMD:
 
     def _column(self, x: np.ndarray) -> Matrix:
         ids = [r[0] for r in self.x.df.select("row_id").orderBy("row_id").collect()]
-        spark = self.x.df.sparkSession
+        spark = self.x.spark
         kind = f"row_id {dict(self.x.df.dtypes)['row_id']}, re array<double>" + (", im array<double>" if np.iscomplexobj(x) else "")
         rows = [(i, [float(v.real)], *([[float(v.imag)]] if np.iscomplexobj(x) else [])) for i, v in zip(ids, x, strict=True)]
         return Matrix(spark.createDataFrame(rows, kind), 1)

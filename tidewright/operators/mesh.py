@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions.hull import hull_points, hull_volume
+from tidewright.operators.nearest import exact_knn
 from tidewright.session import cut
 
 
@@ -87,30 +88,24 @@ def box_mesh(spark, n: int, size: float = 1.0) -> dict[str, DataFrame]:
     return {"points": points, "faces": faces, "owner": owner, "neighbour": neighbour}
 
 
-def _mean_distance(places: DataFrame, k: int, within: float | None) -> DataFrame:
+def _mean_distance(places: DataFrame, k: int) -> DataFrame:
     """place and dist: the mean distance of the k nearest points, of which each place holds ``copies``."""
-    from tidewright.llm.neighbours import knn  # only here, so that the other operators do without that subpackage
-
-    near = knn(places.select("place", "vec"), max(1, k - 1)).select("place", F.explode("near").alias("n"))
+    near = exact_knn(places.select("place", "vec"), max(1, k - 1)).select("place", F.explode("near").alias("n"))
     # Of a place's own copies and of those of its k - 1 nearest places, the k nearest points.
     other = near.select("place", F.col("n.id").alias("_id"), F.sqrt("n.d2").alias("d")).join(places.select(F.col("place").alias("_id"), "copies"), "_id").select("place", "d", "copies")
     every = places.select("place", F.lit(0.0).alias("d"), "copies").union(other)
     dists = F.flatten(F.collect_list(F.array_repeat("d", F.least("copies", F.lit(k)).cast("int"))))
     one = every.groupBy("place").agg(F.slice(F.array_sort(dists), 1, k).alias("d"))
-    if within is not None:
-        one = one.withColumn("d", F.filter("d", lambda v: v <= within))
     return one.select("place", (F.aggregate("d", F.lit(0.0), lambda s, v: s + v) / F.size("d")).alias("dist"))
 
 
-def knn_weights(points: DataFrame, key: str, columns: list[str], cell: float | None, volume: float, normalize: bool = True, k: int | None = None, within: float | None = None) -> DataFrame:
+def knn_weights(points: DataFrame, key: str, columns: list[str], volume: float, normalize: bool = True, k: int | None = None) -> DataFrame:
     """Weight of each point from the mean distance to its k nearest points, itself among them (distance 0).
 
     The neighbours are exact at any distance and density; points of equal coordinates are one place of the
-    search. Only with fewer than k points in all are there fewer neighbours. ``within`` leaves out, of the k
-    nearest, those farther away; ``cell`` has no effect, it is accepted for earlier callers. Points with a
-    coordinate that is null or not finite have no weight. ``volume`` is that of the hull, over which the
-    weights are spread. k defaults to 8 with three coordinates that vary, else 4; the exponent is the number
-    of coordinates.
+    search. Only with fewer than k points in all are there fewer neighbours. Points with a coordinate that is
+    null or not finite have no weight. ``volume`` is that of the hull, over which the weights are spread. k
+    defaults to 8 with three coordinates that vary, else 4; the exponent is the number of coordinates.
     """
     d = len(columns)
     if k is None:
@@ -119,14 +114,12 @@ def knn_weights(points: DataFrame, key: str, columns: list[str], cell: float | N
     p = points.select(F.col(key).alias("id"), F.array(*(F.col(c).cast("double") + F.lit(0.0) for c in columns)).alias("vec"))  # no negative zero
     p = cut(p.where(F.forall("vec", lambda v: v.isNotNull() & (F.abs(v) < float("inf")))))
     places = cut(p.groupBy("vec").agg(F.count("*").alias("copies")).withColumn("place", F.monotonically_increasing_id()))
-    dist = places.join(_mean_distance(places, k, within), "place").select("vec", F.pow("dist", F.lit(float(d))).alias("d"))
-    mean = cut(p.join(dist, "vec").select("id", "d"))
-    total = mean.agg(F.sum("d").alias("total"))
-    w = mean.crossJoin(F.broadcast(total)).select(F.col("id").alias(key), (F.lit(float(volume)) * F.col("d") / F.col("total")).alias("w"))
-    if not normalize:
-        return w
-    most = w.agg(F.max(F.sqrt("w")).alias("most"))
-    return w.crossJoin(F.broadcast(most)).select(key, (F.sqrt("w") / F.col("most")).alias("w"))
+    dist = places.join(_mean_distance(places, k), "place").select("vec", "copies", F.pow("dist", F.lit(float(d))).alias("d"))
+    dist = cut(dist)
+    total, most = dist.agg(F.sum(F.col("d") * F.col("copies")), F.max("d")).first() or (None, None)
+    w = p.join(dist, "vec").select(F.col("id").alias(key), (F.lit(float(volume)) * F.col("d") / F.lit(total)).alias("w"))
+    # The largest root belongs to the largest distance.
+    return w if not normalize else w.select(key, (F.sqrt("w") / F.sqrt(F.lit(float(volume)) * F.lit(most) / F.lit(total))).alias("w"))
 
 
 def hull_size(points: DataFrame, columns: list[str]) -> float:
@@ -150,23 +143,20 @@ def hull_size(points: DataFrame, columns: list[str]) -> float:
 
 
 class PointWeights:
-    """Weights of a point cloud: the k nearest neighbours' mean distance, spread over the hull's volume.
-
-    Neighbours are exact at any distance; ``cell`` has no effect (see :func:`knn_weights`).
-    """
+    """Weights of a point cloud: the k nearest neighbours' mean distance, spread over the hull's volume."""
 
-    def __init__(self, points: DataFrame, key: str, columns: list[str], cell: float | None = None, normalize: bool = True, k: int | None = None):
-        self.points, self.key, self.columns, self.cell, self.normalize, self.k = points, key, columns, cell, normalize, k
+    def __init__(self, points: DataFrame, key: str, columns: list[str], normalize: bool = True, k: int | None = None):
+        self.points, self.key, self.columns, self.normalize, self.k = points, key, columns, normalize, k
         self.volume = hull_size(points, columns)
 
     @property
     def raw(self) -> DataFrame:
         """key and w = alpha * d; they add up to the hull's volume."""
-        return knn_weights(self.points, self.key, self.columns, self.cell, self.volume, False, self.k)
+        return knn_weights(self.points, self.key, self.columns, self.volume, False, self.k)
 
     @property
     def weights(self) -> DataFrame:
-        return knn_weights(self.points, self.key, self.columns, self.cell, self.volume, self.normalize, self.k)
+        return knn_weights(self.points, self.key, self.columns, self.volume, self.normalize, self.k)
 
     @property
     def max_sqrt(self) -> float:

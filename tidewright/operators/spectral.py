@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.functions import dense
-from tidewright.operators.linalg import SVD, Matrix, minus
+from tidewright.operators.linalg import SVD, Local, Matrix, minus
 
 
 class DFT:
@@ -79,7 +79,7 @@ class DFT:
     def spectrum(self) -> DataFrame:
         """bin, frequency, amplitude, density."""
         rows = [(k + 1, float(f), float(a), float(d)) for k, (f, a, d) in enumerate(zip(self.frequency, self.amplitude, self.spectral_density, strict=True))]
-        return self.x.df.sparkSession.createDataFrame(rows, "bin int, frequency double, amplitude double, density double")
+        return self.x.spark.createDataFrame(rows, "bin int, frequency double, amplitude double, density double")
 
     def partial_reconstruction(self, mode_indices: set[int], include_mean: bool = False) -> Matrix:
         """The rows from the given modes (mode i is bin i + 1); the window is divided out."""
@@ -116,7 +116,7 @@ class PDFT:
     def __init__(self, x: Matrix, dt: float, rank: int | None = None, nfft: int | None = None, window: str = "boxcar"):
         self.x = x
         self.svd = SVD(x, rank)
-        self.inner = DFT(Matrix.from_numpy(x.df.sparkSession, self.svd.coefficients), dt, nfft, window)
+        self.inner = DFT(Local(self.svd.coefficients, x.spark), dt, nfft, window)
         self.frequency = self.inner.frequency
         self.back = self.svd.V * dense.safe_inverse(self.svd.s_full)[: self.svd.rank]
 
@@ -354,7 +354,7 @@ class AMSPOD:
     def spectrum(self) -> DataFrame:
         """bin, frequency, n_tapers and the leading eigenvalues as an array."""
         rows = [(k, float(f), int(n), [float(v) for v in e if v == v]) for k, (f, n, e) in enumerate(zip(self.frequency, self.n_tapers, self.eigvals, strict=True))]
-        return self.x.df.sparkSession.createDataFrame(rows, "bin int, frequency double, n_tapers int, eigvals array<double>")
+        return self.x.spark.createDataFrame(rows, "bin int, frequency double, n_tapers int, eigvals array<double>")
 
     def top_modes(self, n: int = 10, eig_idx: int | str = 0, f_min: float = -np.inf, f_max: float = np.inf) -> np.ndarray:
         e = self.eigvals
@@ -425,7 +425,7 @@ class PAMSPOD(AMSPOD):
         self.svd = SVD(w, rank)
         self.back = self.svd.V * dense.safe_inverse(self.svd.s_full)[: self.svd.rank]
         self.data = w
-        super().__init__(Matrix.from_numpy(x.df.sparkSession, self.svd.coefficients), dt, weight=None, **options)
+        super().__init__(Local(self.svd.coefficients, x.spark), dt, weight=None, **options)
 
     def modes(self, f_idx: list[int]) -> Matrix:
         return self._lift(super().modes(f_idx).numpy())

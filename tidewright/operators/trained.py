@@ -193,7 +193,7 @@ class LinearModel:
             raise ValueError("trajectories must agree in shape and type and have at least two states")
         self.dt = dt
         x, y = (np.concatenate([d[:, s] for d in self.dm], axis=1) for s in (slice(None, -1), slice(1, None)))
-        self.A = dense.consistent_operator(x, y)[1] if init_forward_backward else y @ np.linalg.pinv(x)
+        self.A = dense.consistent_operator(x, y).operator if init_forward_backward else y @ np.linalg.pinv(x)
         if rank is not None and rank < len(self.A):
             w, v = np.linalg.eig(self.A)
             keep = np.argsort(-np.abs(w), kind="stable")[:rank]

@@ -390,10 +390,9 @@ def mesh_topology(spark, sf):
 
 
 def knn_weights(spark, sf):
-    """Weights from the 4 nearest points; as its SQL defines, those farther than 2 do not count."""
+    """Weights from the 4 nearest points, the point itself among them."""
     p = _points(spark, sf).where(F.forall(F.array("x", "y", "z"), lambda v: v.isNotNull() & ~F.isnan(v)))
-    w = mesh.knn_weights(p, "point_id", ["x", "y", "z"], cell=2.0, volume=1.0, k=4, within=2.0)
-    return w.select("point_id", r6("w").alias("w"))
+    return mesh.knn_weights(p, "point_id", ["x", "y", "z"], volume=1.0, k=4).select("point_id", r6("w").alias("w"))
 
 
 def max_normalized_weights(spark, sf):
@@ -549,8 +548,8 @@ SELECT f AS bin, {_X.format("sum(w) * 2 * CASE WHEN f = 0 OR 2 * f = any_value(n
     "mesh_cell_geometry": "SELECT cid, 0.125 + 0.25 * (cid % 4) + CAST(0 AS DOUBLE) AS x, 0.125 + 0.25 * (cid // 4 % 4) + CAST(0 AS DOUBLE) AS y, 0.125 + 0.25 * (cid // 16) + CAST(0 AS DOUBLE) AS z, CAST(0.015625 AS DOUBLE) AS volume FROM (SELECT unnest(range(64)) AS cid)",
     "mesh_topology": "SELECT unnest(range(27)) AS cid, CAST(32 AS BIGINT) AS n, CAST(6 AS BIGINT) AS n_faces",
     "knn_weights": f"""WITH {_P}, c AS (SELECT * FROM p WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z)),
-d AS (SELECT a.point_id, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d, b.point_id AS other FROM c a JOIN c b ON b.x BETWEEN a.x - 2 AND a.x + 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, other) AS rn FROM d WHERE d <= 2),
+d AS (SELECT a.point_id, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d, b.point_id AS other FROM c a CROSS JOIN c b),
+r AS (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY d, other) AS rn FROM d),
 m AS (SELECT point_id, pow(avg(d), 3) AS m FROM r WHERE rn <= 4 GROUP BY point_id), w AS (SELECT point_id, m / sum(m) OVER () AS w FROM m)
 SELECT point_id, {_X.format("sqrt(w) / max(sqrt(w)) OVER ()")} AS w FROM w""",
     "max_normalized_weights": f"""WITH s AS (SELECT sample_id, any_value(case_id) AS case_id, any_value(weight) AS weight FROM mask_samples WHERE weight IS NOT NULL AND NOT isnan(weight) AND weight BETWEEN 0 AND 1 GROUP BY sample_id)
