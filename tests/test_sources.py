@@ -258,24 +258,22 @@ def test_psp_and_scube(spark, tmp_path):
 
 
 READER = '''
-import json, struct, sys
+import json, pathlib, sys
 import numpy as np
-out = sys.stdout.buffer
-def head(h, data=b""):
-    b = json.dumps(h).encode()
-    out.write(struct.pack("!Q", len(b)) + b + data); out.flush()
-head({"status": "ok", "kind": "json", "value": {"protocol": 1}})
-for line in sys.stdin:
-    r = json.loads(line)
-    if r["operation"] == "zone_names": head({"status": "ok", "kind": "json", "value": ["a", "b"]})
-    elif r["operation"] == "field_names": head({"status": "ok", "kind": "json", "value": ["X", "Y", "Z", "cp"]})
-    elif r["operation"] == "field":
-        v = np.arange(3.0) + len(r["field"])
-        head({"status": "ok", "kind": "array", "dtype": "<f8", "shape": [3], "nbytes": v.nbytes}, v.tobytes())
-    elif r["operation"] == "short": head({"status": "ok", "kind": "array", "dtype": "<f8", "shape": [3], "nbytes": 8})
-    elif r["operation"] == "die": sys.stderr.write("gone\\n"); sys.stderr.flush(); sys.exit(3)
-    elif r["operation"] == "close": head({"status": "ok", "kind": "json", "value": None}); break
-    else: head({"status": "error", "error_type": "ValueError", "message": "what?"})
+folder = pathlib.Path(sys.argv[-1])
+print("noise on the standard output")
+for k, task in enumerate(json.loads((folder / "job.json").read_text())):
+    if "broken" in task["path"]:
+        sys.exit("cannot read " + task["path"])
+    if "silent" in task["path"]:
+        continue
+    index = {"names": {z: ["X", "Y", "cp"] for z in ("a", "b") if task["zone"] in (None, z)}, "arrays": {}}
+    for z in index["names"]:
+        for f in task["fields"]:
+            name = f"{k}-{z}-{f}.npy"
+            np.save(folder / name, np.array([2.0, 3.0, 4.0]))
+            index["arrays"].setdefault(z, {})[f] = name
+    (folder / f"{k}.json").write_text(json.dumps(index))
 '''
 
 
@@ -283,14 +281,15 @@ def test_tecplot(spark, tmp_path):
     program = tmp_path / "reader.py"
     program.write_text(READER)
     command = [sys.executable, str(program)]
-    with tecplot.ExternalReader(command) as r:
-        assert r.request("zone_names") == ["a", "b"] and r.request("field", field="cp").tolist() == [2, 3, 4]
-        for bad in ("other", "short"):
-            with pytest.raises(tecplot.ReaderError):
-                r.request(bad)
-        with pytest.raises(tecplot.ReaderError, match="gone"):
-            r.request("die")
-            r.request("zone_names")
+    first, second = tecplot.convert(command, ["x", "y"], ["cp"])
+    assert list(first["names"]) == ["a", "b"] and first["data"]["a"]["cp"].tolist() == [2, 3, 4] and second["data"].keys() == {"a", "b"}
+    assert tecplot.convert(command, ["x"])[0]["data"] == {} and list(tecplot.convert(command, ["x"], ["X"], "b")[0]["data"]) == ["b"]
+    with pytest.raises(tecplot.ReaderError, match="cannot read broken"):
+        tecplot.convert(command, ["x", "broken"])
+    with pytest.raises(tecplot.ReaderError, match="no result"):
+        tecplot.convert(command, ["silent"])
+    with pytest.raises(tecplot.ReaderError, match="more than"):
+        tecplot.convert([sys.executable, "-c", "import time; time.sleep(60)"], ["x"], seconds=0.5)
     with pytest.raises(FileNotFoundError):
         tecplot.resolve_reader("no-such-program")
     text = 'TITLE = "a"\nVARIABLES = "X", "Y", "cp"\nZONE T="ls", I=2, F=POINT\n0 0 1.5\n1 0 2.5\nZONE T="te", I=1, F=POINT\n0 1 3.5\n'
@@ -306,30 +305,48 @@ def test_tecplot(spark, tmp_path):
 
 
 def test_tecplot_worker(tmp_path):
-    import io
     import json
 
     from tidewright.sources import tecplot_worker as w
 
-    class Fake(w.Files):
-        def open(self, path):
-            block = type("Block", (), {"Points": np.arange(6.0).reshape(2, 3), "PointData": {"cp": np.array([1.0, 2.0])}})
-            return {"ls": block}
-
-    w.Files, old = Fake, w.Files
-    try:
-        out = io.BytesIO()
-        asked = [{"operation": "zone_names"}, {"operation": "field_names", "zone": "ls"}, {"operation": "field", "zone": "ls", "field": "cp"}, {"operation": "field", "zone": "no", "field": "cp"}]
-        w.main([json.dumps(a | {"file_path": "f"}) for a in asked] + ['{"operation": "close"}'], out)
-    finally:
-        w.Files = old
-    data, heads = out.getvalue(), []
-    while data:
-        n = struct.unpack("!Q", data[:8])[0]
-        heads.append(json.loads(data[8 : 8 + n]))
-        data = data[8 + n + heads[-1].get("nbytes", 0) :]
-    assert [h.get("value") for h in heads[:3]] == [{"protocol": 1}, ["ls"], ["X", "Y", "Z", "cp"]]
-    assert heads[3]["shape"] == [2] and heads[4]["error_type"] == "KeyError" and heads[5]["kind"] == "json"
+    class Leaf:
+        def __init__(self, n):
+            self.n = n
+
+        def GetNumberOfPoints(self):
+            return self.n
+
+    class Tree:
+        def __init__(self, *parts):
+            self.parts = parts
+
+        def GetNumberOfBlocks(self):
+            return len(self.parts)
+
+        def HasMetaData(self, i):
+            return self.parts[i][0] is not None
+
+        def GetMetaData(self, i):
+            return type("Info", (), {"Get": lambda _, key: self.parts[i][0]})()
+
+        def NAME(self):
+            return "name"
+
+        def GetBlock(self, i):
+            return self.parts[i][1]
+
+    nested = Tree(("file", Tree((" ls ", Leaf(2)), ("te", Leaf(1)), ("empty", Leaf(0)))), (None, None))
+    assert [(n, b.n) for n, b in w.leaves(nested)] == [("ls", 2), ("te", 1)]
+    block = type("Block", (), {"Points": np.arange(6.0).reshape(2, 3), "PointData": {"cp": np.array([1.0, 2.0])}})
+    read = lambda path: {"ls": block}
+    (tmp_path / "job.json").write_text(json.dumps([{"path": "f", "zone": None, "fields": ["y", "cp"]}, {"path": "g", "zone": "ls", "fields": []}]))
+    w.convert(str(tmp_path), read)
+    index = json.loads((tmp_path / "0.json").read_text())
+    assert index["names"] == {"ls": ["X", "Y", "Z", "cp"]} and np.load(tmp_path / index["arrays"]["ls"]["y"]).tolist() == [1.0, 4.0]
+    assert json.loads((tmp_path / "1.json").read_text())["arrays"] == {}
+    (tmp_path / "job.json").write_text(json.dumps([{"path": "f", "zone": "no", "fields": []}]))
+    with pytest.raises(KeyError):
+        w.convert(str(tmp_path), read)
 
 
 def test_sources_are_listed():

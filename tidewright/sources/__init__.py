@@ -4,7 +4,7 @@ from importlib import import_module
 
 _WHERE = {
     "DavisSource": "csvs", "SurfaceSource": "csvs", "FoamSource": "foam", "FoamMesh": "foam", "VtkSource": "vtk", "Store": "store", "write_xdmf": "store", "foam_to_store": "store", "copy_mesh": "store",
-    "ImageSource": "images", "TauConfig": "tau", "TauSource": "tau", "TauSurfaceSource": "tau", "PspSource": "zoned", "SCubeSource": "zoned", "TecplotSource": "tecplot", "ExternalReader": "tecplot", "register": "datasource",
+    "ImageSource": "images", "TauConfig": "tau", "TauSource": "tau", "TauSurfaceSource": "tau", "PspSource": "zoned", "SCubeSource": "zoned", "TecplotSource": "tecplot", "register": "datasource",
 }
 
 

@@ -1,8 +1,7 @@
-"""Tecplot snapshots: ASCII point files directly, other files through an external reader process.
+"""Tecplot snapshots: ASCII point files directly, other files through an external program.
 
-The external reader is a program that takes one JSON request per line on its standard input and answers on
-its standard output with frames: eight bytes (big-endian) with the length of a JSON header, the header, and
-for arrays the raw numbers. One process serves one reader object; requests are made one at a time.
+The program is run once for a batch of files. Both sides share a job folder: it holds the list of files and of
+what is wanted of each, and afterwards the arrays as ``.npy`` files with an index (see ``tecplot_worker``).
 """
 
 from __future__ import annotations
@@ -10,12 +9,9 @@ from __future__ import annotations
 import json
 import os
 import re
-import select
 import shutil
-import struct
 import subprocess
-import threading
-from collections import deque
+import tempfile
 from pathlib import Path
 
 import numpy as np
@@ -25,11 +21,13 @@ from pyspark.sql import functions as F
 
 from tidewright.sources.base import Source, numeric
 
-HEADER_LIMIT, START_SECONDS = 1 << 20, 30.0
+WORKER = Path(__file__).with_name("tecplot_worker.py")
+#: Files that one run of the program reads.
+BATCH = 16
 
 
 class ReaderError(RuntimeError):
-    """The external reader failed or broke the protocol."""
+    """The program failed or left no result."""
 
 
 def resolve_reader(program: str | None = None) -> str:
@@ -40,96 +38,30 @@ def resolve_reader(program: str | None = None) -> str:
     return found
 
 
-class ExternalReader:
-    """A reader process and its framed answers."""
+def convert(command: list[str], files: list[str], fields: list[str] | None = None, zone: str | None = None, seconds: float = 900.0) -> list[dict]:
+    """Of each file: ``names`` (zone -> variables) and, if ``fields`` are given, ``data`` (zone -> variable -> array).
 
-    def __init__(self, command: list[str]):
-        self._lock, self._notes, self.closed = threading.Lock(), deque(maxlen=50), False
-        self._process = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE, bufsize=0)
-        self._drain = threading.Thread(target=self._read_notes, daemon=True)
-        self._drain.start()
+    ``command`` gets the job folder as its last argument. The folder lives beside the task, for as long as the
+    program runs; arrays are in memory when this returns.
+    """
+    with tempfile.TemporaryDirectory(prefix="tidewright-tecplot-") as folder:
+        job = [{"path": f, "zone": zone, "fields": fields or []} for f in files]
+        (Path(folder) / "job.json").write_text(json.dumps(job))
         try:
-            if self._answer(START_SECONDS) != {"protocol": 1}:
-                raise ReaderError("the reader speaks another protocol")
-        except Exception:
-            self.close(force=True)
-            raise
-
-    def _read_notes(self) -> None:
-        for line in iter(self._process.stderr.readline, b""):
-            self._notes.append(line.decode(errors="replace").rstrip())
-
-    def _fail(self, what: str) -> ReaderError:
-        return ReaderError("\n".join([what, *self._notes]))
-
-    def _exact(self, n: int, seconds: float | None) -> bytes:
-        out = bytearray()
-        fd = self._process.stdout.fileno()
-        while len(out) < n:
-            if seconds is not None and not select.select([fd], [], [], seconds)[0]:
-                raise self._fail("the reader does not answer")
-            part = os.read(fd, min(n - len(out), 1 << 20))
-            if not part:
-                raise self._fail("the reader ended before its answer did")
-            out += part
-        return bytes(out)
-
-    def _answer(self, seconds: float | None = None):
-        n = struct.unpack("!Q", self._exact(8, seconds))[0]
-        if n > HEADER_LIMIT:
-            raise self._fail(f"an answer's header of {n} bytes is too long")
-        try:
-            head = json.loads(self._exact(n, seconds))
-        except ValueError as e:
-            raise self._fail("an answer's header is no JSON") from e
-        if head.get("status") != "ok":
-            raise self._fail(f"{head.get('error_type', 'Error')}: {head.get('message', 'unknown')}")
-        if head.get("kind") == "json":
-            return head.get("value")
-        try:
-            kind, shape, size = np.dtype(head["dtype"]), tuple(int(v) for v in head["shape"]), int(head["nbytes"])
-        except (KeyError, TypeError, ValueError) as e:
-            raise self._fail("an array's header is incomplete") from e
-        if any(v < 0 for v in shape) or int(np.prod(shape, dtype=np.int64)) * kind.itemsize != size:
-            raise self._fail("an array's shape and size disagree")
-        return np.frombuffer(self._exact(size, seconds), kind).reshape(shape)
-
-    def request(self, operation: str, **parameters):
-        with self._lock:
-            if self.closed or self._process.poll() is not None:
-                raise self._fail("the reader is not running")
-            try:
-                self._process.stdin.write(json.dumps({"operation": operation, **parameters}).encode() + b"\n")
-            except BrokenPipeError as e:
-                raise self._fail("the reader does not take requests") from e
-            return self._answer()
-
-    def close(self, force: bool = False) -> None:
-        if self.closed:
-            return
-        if not force and self._process.poll() is None:
-            try:
-                self.request("close")
-            except (ReaderError, OSError):
-                force = True
-        self.closed = True
-        self._process.stdin.close()
-        if force and self._process.poll() is None:
-            self._process.terminate()
-        try:
-            self._process.wait(timeout=5)
-        except subprocess.TimeoutExpired:
-            self._process.kill()
-            self._process.wait()
-        self._drain.join(timeout=1)
-        self._process.stdout.close()
-        self._process.stderr.close()
-
-    def __enter__(self) -> ExternalReader:
-        return self
-
-    def __exit__(self, *_exc) -> None:
-        self.close()
+            done = subprocess.run([*command, folder], stdin=subprocess.DEVNULL, capture_output=True, timeout=seconds, check=False)
+        except subprocess.TimeoutExpired as e:
+            raise ReaderError(f"the reader took more than {seconds:g} s") from e
+        if done.returncode:
+            raise ReaderError(f"the reader ended with {done.returncode}: {done.stderr.decode(errors='replace')[-2000:]}")
+        out = []
+        for k, name in enumerate(files):
+            index = Path(folder) / f"{k}.json"
+            if not index.exists():
+                raise ReaderError(f"the reader left no result for {name}")
+            found = json.loads(index.read_text())
+            data = {z: {f: np.load(Path(folder) / a) for f, a in arrays.items()} for z, arrays in found["arrays"].items()}
+            out.append({"names": found["names"], "data": data})
+        return out
 
 
 def parse_ascii(text: str) -> dict[str, dict[str, np.ndarray]]:
@@ -145,8 +77,8 @@ def parse_ascii(text: str) -> dict[str, dict[str, np.ndarray]]:
 
 
 class TecplotSource(Source):
-    """Files <base>i=<iteration>...t=<time><suffix>. ASCII files are parsed by the executors; with ``reader`` the
-    files go through the external program, which each task starts for itself."""
+    """Files <base>i=<iteration>...t=<time><suffix>. ASCII files are parsed by the executors; with ``reader`` (for
+    example ``[resolve_reader(), str(WORKER)]``) each task hands its files to the external program."""
 
     def __init__(self, spark: SparkSession, path: str, base_name: str = "", suffix: str = ".plt", reader: list[str] | None = None):
         super().__init__(spark)
@@ -163,8 +95,7 @@ class TecplotSource(Source):
     def _zones(self) -> dict[str, list[str]]:
         f = self.file_names[self.write_times[0]]
         if self.reader:
-            with ExternalReader(self.reader) as r:
-                return {z: r.request("field_names", file_path=f, zone=z) for z in r.request("zone_names", file_path=f)}
+            return convert(self.reader, [f])[0]["names"]
         return {z: list(v) for z, v in parse_ascii(Path(f).read_text()).items()}
 
     @property
@@ -183,14 +114,14 @@ class TecplotSource(Source):
 
         def run(batches):
             for b in batches:
-                for t, path in zip(b["time"], b["path"], strict=True):
+                paths = b["path"].tolist()
+                for n in range(0, len(paths), BATCH):
+                    own = paths[n : n + BATCH]
                     if command:
-                        with ExternalReader(command) as r:
-                            zones = [zone] if zone else r.request("zone_names", file_path=path)
-                            data = {z: {f: r.request("field", file_path=path, zone=z, field=f) for f in fields} for z in zones}
+                        parsed = [r["data"] for r in convert(command, own, fields, zone)]
                     else:
-                        data = {z: v for z, v in parse_ascii(Path(path).read_text()).items() if zone in (None, z)}
-                    for z, v in data.items():
+                        parsed = [{z: v for z, v in parse_ascii(Path(p).read_text()).items() if zone in (None, z)} for p in own]
+                    for t, z, v in ((t, z, v) for t, zones in zip(b["time"].tolist()[n : n + BATCH], parsed, strict=True) for z, v in zones.items()):
                         x = np.stack([v[f] for f in fields], axis=1)
                         yield pd.DataFrame({"time": t, "zone": z, "point_id": np.arange(len(x)), "v": list(x)})
 
