@@ -10,7 +10,7 @@ Defined results
 * a reading belongs to the nearest slot; of two equally near slots to the earlier one; readings nearest to
   a slot that the grid lacks belong to none;
 * unusable readings (null, NaN; time that is no decimal number; unknown or null series) take no part;
-* a cell without a reading of its own is ``filled`` if an interval reaches into it, else ``missing``;
+* a cell in which no interval begins is ``filled`` if an interval reaches into it, else ``missing``;
 * readings of one time are averaged; repeated rows count once, readings without an id one by one; grids
   without slots or without a series give no rows; a grid whose step is null, zero or negative has no cells
   and gives no rows.
@@ -103,10 +103,11 @@ def regular(readings: DataFrame, grids: DataFrame, hold: float = 2.0, block: int
         F.coalesce("n_readings", F.lit(0)).cast("bigint").alias("n_readings"),
         F.when(total > 0, area / total).otherwise(F.col("own_mean")).alias("value"),
         F.least(total / F.col("delta_t"), F.lit(1.0)).alias("coverage"),
-        F.when(F.col("n_readings") > 0, "read").when(total > 0, "filled").otherwise("missing").alias("status"),
+        # An interval that begins at the very end of its cell covers none of it, but is the cell's own.
+        F.when(F.col("own_span") >= 0, "read").when(total > 0, "filled").otherwise("missing").alias("status"),
     )
 
 
 def empty_slots(readings: DataFrame, grids: DataFrame) -> DataFrame:
-    """series_id and slot of the cells in which no usable reading's interval begins."""
-    return regular(readings, grids).where("n_readings = 0").select("series_id", "slot")
+    """series_id and slot of the cells that are filled from elsewhere or missing: no usable reading's interval begins in them."""
+    return regular(readings, grids).where(F.col("status").isin("filled", "missing")).select("series_id", "slot")

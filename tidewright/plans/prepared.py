@@ -42,8 +42,9 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    """Low-rank normal behaviour and sparse part of every possible reading."""
-    return spikes.profile_outliers(table(spark, sf, "mask_samples"))
+    """Per source what is normal for it, and how many readings are not."""
+    x = spikes.source_profiles(table(spark, sf, "mask_samples"))
+    return x.withColumn("scatter", F.round("scatter", 9) + F.lit(0.0))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p2_found, p2_bundles, p4_found, p4_regular, p5_found, p5_profiles)}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -22,6 +23,7 @@ def session(cores: int | str = "*", shuffle: int = 8, memory: str = "8g") -> Spa
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -51,7 +53,11 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the cluster's ``spark.checkpoint.dir``. Only a session without one, on one machine,
     gets a folder of its own; anywhere else that is an error.
     """
-    spark = df.sparkSession
+    _checkpoints(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _checkpoints(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -60,7 +66,34 @@ def cut(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             where = tempfile.mkdtemp(prefix="tidewright-checkpoint-")
         sc.setCheckpointDir(where)
-    return df.checkpoint(eager=True)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the checkpoint files of a ``cut`` that nothing refers to any more; only for results superseded by another
+    ``cut``, and only where they can be told for certain."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return
+    file = plan.rdd().getCheckpointFile()
+    if file.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def folder_for(path: str) -> Path:
+    """A shared folder that all executors have mounted; other file systems are refused rather than misread."""
+    scheme, _, rest = path.rpartition(":")
+    if scheme not in ("", "file"):
+        raise ValueError(f"{path}: only folders that the executors have mounted can be written file by file")
+    return Path("/" + rest.lstrip("/")) if scheme else Path(path)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one that the cluster shares (``spark.checkpoint.dir``)."""
+    _checkpoints(spark)
+    out = folder_for(spark.sparkContext.getCheckpointDir()) / f"{name}-{uuid.uuid4().hex}"
+    out.mkdir(parents=True)
+    return str(out)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
