@@ -159,3 +159,32 @@ def test_clusters_of_nothing(spark):
     assert peaks.clusters(d, 0.3).count() == 0
     one = frame(spark, np.ones((5, 3)))
     assert {(r["member"], r["cluster_id"], r["size"]) for r in peaks.clusters(one, 0.3).collect()} == {(i, 0, 5) for i in range(5)}
+
+
+def test_search_within_a_bucket():
+    from tidewright.functions.nearest import Splits, nearest, search
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(2500, 3)), rng.normal(size=(1500, 3)) * 1e-3 + 1])
+    ids = rng.permutation(len(x))
+    q = np.concatenate([x[::7], rng.uniform(-3, 3, size=(50, 3))])
+    iq = np.concatenate([ids[::7], np.arange(50) + len(x)])
+    want = nearest(q, iq, x, ids, 5)
+    for index in (neighbours.CrossPolytopes(x, len(x), 128, 8), Splits(x, 128)):
+        assert all(np.array_equal(a, b) for a, b in zip(search(index, q, iq, x, ids, 5), want, strict=True))
+    most = rng.uniform(0, 0.02, len(q))
+    want = nearest(q, iq, x, ids, 5, most)
+    assert all(np.array_equal(a, b) for a, b in zip(search(neighbours.CrossPolytopes(x, len(x), 128, 8), q, iq, x, ids, 5, most), want, strict=True))
+
+
+def test_many_rows_of_a_task_are_split_again():
+    rng = np.random.default_rng(6)
+    b = np.concatenate([rng.uniform(size=(5000, 3)) * 6, rng.normal(size=(600, 3)) * 0.02 + 3])
+    a = b[::9] + 0.01
+    found = {}
+    for kind, i, what in peaks.relate(a, b, 0.3):
+        pairs = [(x, y) for x in i for y in what[0]] if kind == "ball" else zip(i, what[0], strict=True)
+        for x, y in pairs:
+            found[int(x), int(y)] = found.get((int(x), int(y)), 0) + 1
+    near = ((a[:, None] - b[None]) ** 2).sum(axis=2) <= 0.09
+    assert set(found.values()) == {1} and set(found) == set(zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True))

@@ -11,6 +11,11 @@ the ball that can hold anything nearer, and the margins between the signed axes
 that ball can touch (the lift stretches distances by at most 2 / scale). Exactly these are probed, and the
 lists are merged: the result is the true one, whatever the hashes, and its cost follows the margins.
 
+The buckets are joined by ``operators.nearest``: those with many rows are hashed again by the task that holds
+them, on all of their rows, so that the work per vector does not grow with them, and those with more rows than a
+task should hold are cut into parts. A pseudo-rotation acts on few coordinates here, so its images of the signed
+axes are formed once per node and a vector is compared with those that are in use.
+
 Defined results
 ---------------
 * vectors with a null, NaN or infinite component and null ids take no part; rows of one id count once;
@@ -22,15 +27,13 @@ Defined results
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewright.operators.nearest import LEAF, SAMPLE, exact_knn
 from tidewright.session import cut
 
-SAMPLE, LEAF = 60_000, 1200
-
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform along the last axis, orthonormal."""
@@ -132,84 +135,9 @@ class CrossPolytopes:
         return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int))
 
 
-def nearest(a: np.ndarray, ia: np.ndarray, b: np.ndarray, ib: np.ndarray, k: int, most: np.ndarray | None = None, cells: int = 1_500_000):
-    """Per row of ``a`` its k nearest rows of ``b`` with another id, nearer first, smaller id first: row, id, squared distance."""
-    out = []
-    step = max(1, cells // max(len(b), 1))
-    for lo in range(0, len(a), step):
-        p = a[lo : lo + step]
-        d2 = np.zeros((len(p), len(b)))
-        for c in range(a.shape[1]):
-            d = p[:, c][:, None] - b[:, c][None]
-            d2 += d * d
-        d2[ia[lo : lo + step][:, None] == ib[None]] = np.inf
-        bound = np.partition(d2, k - 1, axis=1)[:, k - 1] if len(b) > k else np.full(len(p), np.inf)
-        if most is not None:
-            bound = np.minimum(bound, most[lo : lo + step])
-        i, j = np.nonzero((d2 <= bound[:, None]) & (d2 < np.inf))
-        v = d2[i, j]
-        order = np.lexsort((ib[j], v, i))
-        i, j, v = i[order], j[order], v[order]
-        rank = np.arange(len(i)) - np.searchsorted(i, i, "left")
-        keep = rank < k
-        out.append((lo + i[keep], ib[j[keep]], v[keep]))
-    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-
-
-def _lists(n: int, row: np.ndarray, ids: np.ndarray, d2: np.ndarray) -> list[list[dict]]:
-    """The found rows as one list of (d2, id) per query."""
-    cuts = np.searchsorted(row, np.arange(n + 1))
-    pairs = list(zip(d2.tolist(), ids.tolist(), strict=True))
-    return [[{"d2": d, "id": i} for d, i in pairs[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-
-
-def knn(places: DataFrame, k: int = 5, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
+def knn(places: DataFrame, k: int = 5, sample: int = SAMPLE, leaf: int = LEAF, **options: int) -> DataFrame:
     """place and near: its k nearest other places as (d2, id), nearest first. ``places``: place, vec; distinct vectors."""
-    places = cut(places.select("place", "vec"))
-    n = places.count()
-    near_type = "array<struct<d2:double,id:bigint>>"
-    if n == 0:
-        return places.select("place", F.lit(None).cast(near_type).alias("near")).limit(0)
-    fit = places.orderBy(F.xxhash64("place"), "place").limit(sample).select("vec").toPandas()
-    vectors = lambda p: np.stack(p["vec"].to_numpy()).astype(np.float64)
-    index = places.sparkSession.sparkContext.broadcast(CrossPolytopes(vectors(fit), n, leaf, max(8, k + 1)))
-
-    def assign(batches):
-        for p in batches:
-            if len(p):
-                yield p.assign(bucket=index.value.bucket(vectors(p)))
-
-    put = cut(places.mapInPandas(assign, "place bigint, vec array<double>, bucket bigint"))
-
-    def home(p: pd.DataFrame) -> pd.DataFrame:
-        x, ids = vectors(p), p["place"].to_numpy()
-        row, found, d2 = nearest(x, ids, x, ids, k)
-        count = np.bincount(row, minlength=len(p))
-        bound = np.full(len(p), np.inf)
-        last = np.cumsum(count) - 1
-        full = count == k
-        bound[full] = np.sqrt(d2[last[full]])
-        r, b = index.value.probes(x, bound)
-        away = b != p["bucket"].iloc[0]
-        r, b = r[away], b[away]
-        order = np.argsort(r, kind="stable")
-        r, b = r[order], b[order]
-        cuts = np.searchsorted(r, np.arange(len(p) + 1))
-        return pd.DataFrame({"place": ids, "vec": p["vec"], "most": bound**2, "near": _lists(len(p), row, found, d2), "probes": [b[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]})
-
-    own = cut(put.groupBy("bucket").applyInPandas(home, f"place bigint, vec array<double>, most double, near {near_type}, probes array<bigint>"))
-    asked = own.select(F.explode("probes").alias("bucket"), "place", "vec", "most")
-
-    def probe(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if len(q) == 0 or len(p) == 0:
-            return pd.DataFrame({"place": np.zeros(0, np.int64), "near": pd.Series([], dtype=object)})
-        most = q["most"].to_numpy()
-        row, found, d2 = nearest(vectors(q), q["place"].to_numpy(), vectors(p), p["place"].to_numpy(), k, np.where(np.isinf(most), most, most * (1 + 1e-12)))
-        return pd.DataFrame({"place": q["place"], "near": _lists(len(q), row, found, d2)})
-
-    more = asked.groupBy("bucket").cogroup(put.groupBy("bucket")).applyInPandas(probe, f"place bigint, near {near_type}").where(F.size("near") > 0)
-    both = own.select("place", "near").union(more)
-    return both.groupBy("place").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+    return exact_knn(places, k, CrossPolytopes, sample, leaf, **options)
 
 
 def neighbour_lists(members: DataFrame, k: int = 5, **options: int) -> DataFrame:

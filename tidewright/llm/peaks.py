@@ -14,6 +14,9 @@ task holds an unbounded block. Distances are direct differences in double precis
 Where the vectors within reach of each other form sets that are all similar to each other, each set has one
 peak, its smallest id. Elsewhere a set connected by similarity may have several peaks; ``clusters`` then
 joins those whose members are similar across the border, so that its clusters are exactly the connected sets.
+Which labels need that is told by a mark (the exclusive or of hashed ids) of the vectors that each one is similar
+to: where it is that of the whole label for all of its members, the label has no border, and only the others
+are compared once more.
 
 Defined results
 ---------------
@@ -32,9 +35,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewright.session import cut
+from tidewright.session import cut, drop
 
 SAMPLE, LEAF, MOST = 20_000, 1500, 40_000
+#: Rows of a task beyond which it splits them further for itself.
+LOCAL = 4_096
 
 
 class Blocks:
@@ -161,7 +166,30 @@ def balls(x: np.ndarray, radius: float) -> tuple[list[tuple[np.ndarray, np.ndarr
 
 def relate(a: np.ndarray, b: np.ndarray, radius: float):
     """How ``a`` and ``b`` are similar: (rows of a, ball) where all of a ball is within ``radius`` of the rows, and
-    (i, j, squared distance) for the pairs found otherwise. Each similar pair is in exactly one of these."""
+    (i, j, squared distance) for the pairs found otherwise. Each similar pair is in exactly one of these.
+
+    Many rows are split by a tree of their own first, so that the work per row does not grow with them.
+    """
+    if len(a) == 0 or len(b) == 0:
+        return
+    if len(b) > LOCAL:
+        tree = Blocks(b, len(b), radius)
+        if tree.n > 1:
+            rows, leaf, home = tree.reach(b, radius)
+            members = _by_leaf(rows[home], leaf[home], tree.n)
+            for i, j in zip(_by_leaf(*tree.reach(a, radius)[:2], tree.n), members, strict=True):
+                for kind, at, what in _relate(a[i], b[j], radius):
+                    yield kind, i[at], (j[what[0]], *what[1:])
+            return
+    yield from _relate(a, b, radius)
+
+
+def _by_leaf(rows: np.ndarray, leaf: np.ndarray, n: int) -> list[np.ndarray]:
+    order = np.argsort(leaf, kind="stable")
+    return np.split(rows[order], np.searchsorted(leaf[order], np.arange(1, n)))
+
+
+def _relate(a: np.ndarray, b: np.ndarray, radius: float):
     if len(a) == 0 or len(b) == 0:
         return
     groups, single = balls(b, radius)
@@ -178,6 +206,15 @@ def relate(a: np.ndarray, b: np.ndarray, radius: float):
         yield "pairs", i, (single[j], d2)
 
 
+def hashed(ids: np.ndarray) -> np.ndarray:
+    """Well-mixed 64-bit numbers of ids."""
+    with np.errstate(over="ignore"):
+        h = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        return (h ^ (h >> np.uint64(31))).view(np.int64)
+
+
 def _vectors(p: pd.DataFrame) -> np.ndarray:
     return np.stack(p["vec"].to_numpy()).astype(np.float64) if len(p) else np.zeros((0, 1))
 
@@ -200,19 +237,16 @@ def placed(rows: DataFrame, tree, radius: float, most: int, sizes: dict[int, int
             out = {"at": r, "block": block, "i": np.zeros(len(r), int), "j": np.zeros(len(r), int), "left": home, "right": np.ones(len(r), bool)}
             if parts.value:
                 split = np.array([parts.value.get(int(b), 1) for b in block])
-                big = np.flatnonzero(split > 1)
-                if len(big):
-                    more = []
+                big = split > 1
+                if big.any():
                     key = p["place"].to_numpy()
-                    for q in big:
-                        s = int(split[q])
-                        own = int(key[r[q]] * 2654435761 % 2**32 % s)
-                        more += [(r[q], block[q], i, own, False, True) for i in range(s)]
-                        if home[q]:
-                            more += [(r[q], block[q], own, j, True, False) for j in range(s)]
-                    keep = split == 1
-                    extra = dict(zip(out, map(np.array, zip(*more, strict=True)), strict=True))
-                    out = {k: np.concatenate([v[keep], extra[k].astype(v.dtype)]) for k, v in out.items()}
+                    out["own"] = (hashed(key[r]).view(np.uint64) % split.astype(np.uint64)).astype(int)
+                    every = np.repeat(np.flatnonzero(big), split[big])
+                    turn = np.arange(len(every)) - np.repeat(np.cumsum(split[big]) - split[big], split[big])
+                    asks = home[every]
+                    right = {k: v[every] for k, v in out.items()} | {"i": turn, "j": out["own"][every], "left": np.zeros(len(every), bool)}
+                    left = {k: v[every[asks]] for k, v in out.items()} | {"i": out["own"][every[asks]], "j": turn[asks], "left": np.ones(asks.sum(), bool), "right": np.zeros(asks.sum(), bool)}
+                    out = {k: np.concatenate([v[~big], right[k], left[k]]) for k, v in out.items() if k != "own"}
             at = out.pop("at")
             yield p.iloc[at].reset_index(drop=True).assign(**out)
 
@@ -221,11 +255,12 @@ def placed(rows: DataFrame, tree, radius: float, most: int, sizes: dict[int, int
 
 
 def peaks(places: DataFrame, radius: float, sample: int = SAMPLE, leaf: int = LEAF, most: int = MOST, tree: Blocks | None = None, sizes: dict[int, int] | None = None) -> DataFrame:
-    """place, weight, density, root mean square distance to the neighbours, and the denser place it points to (null
-    for peaks)."""
+    """place, weight, density, root mean square distance to the neighbours, mark of the places within ``radius``, its own
+    mark, and the denser place it points to (null for peaks)."""
     n = places.count()
     if n == 0:
-        return places.select("place", "weight", F.lit(0).cast("bigint").alias("density"), F.lit(0.0).alias("spread"), F.lit(None).cast("bigint").alias("to")).limit(0)
+        none = F.lit(None).cast("bigint")
+        return places.select("place", "weight", none.alias("density"), F.lit(0.0).alias("spread"), none.alias("mark"), none.alias("own"), none.alias("to")).limit(0)
     tree = tree or tree_of(places, n, radius, sample, leaf)
     sizes = part_counts(places, tree, radius, most) if sizes is None else sizes
 
@@ -233,23 +268,26 @@ def peaks(places: DataFrame, radius: float, sample: int = SAMPLE, leaf: int = LE
         p = p.sort_values("place")
         a, b = p[p["left"]], p[p["right"]]
         w, x, y = b["weight"].to_numpy(), _vectors(a), _vectors(b)
-        total, far = np.zeros(len(a)), np.zeros(len(a))
+        total, far, mark, h = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a), np.int64), hashed(b["place"].to_numpy())
         for kind, i, what in relate(x, y, radius):
             if kind == "ball":
                 members, centre, _ = what
                 v, own = y[members] - centre, w[members]
                 u = x[i] - centre
                 total[i] += own.sum()
+                mark[i] ^= np.bitwise_xor.reduce(h[members])
                 far[i] += own.sum() * (u * u).sum(axis=1) - 2 * u @ (own @ v) + own @ (v * v).sum(axis=1)
             else:
                 j, d2 = what
                 total += np.bincount(i, w[j], len(a))
+                np.bitwise_xor.at(mark, i, h[j])
                 far += np.bincount(i, w[j] * d2, len(a))
-        return pd.DataFrame({"place": a["place"].to_numpy(), "n": np.rint(total).astype(np.int64), "far": np.maximum(far, 0.0)})
+        ids = a["place"].to_numpy()
+        return pd.DataFrame({"place": ids, "n": np.rint(total).astype(np.int64), "far": np.maximum(far, 0.0), "mark": mark, "own": hashed(ids)})
 
-    first = placed(places, tree, radius, most, sizes).groupBy("block", "i", "j").applyInPandas(density, "place bigint, n bigint, far double")
-    dense = first.groupBy("place").agg((F.sum("n") - 1).alias("density"), F.sum("far").alias("far"))
-    known = cut(places.join(dense, "place").select("place", "weight", "density", "far", "vec"))
+    first = placed(places, tree, radius, most, sizes).groupBy("block", "i", "j").applyInPandas(density, "place bigint, n bigint, far double, mark bigint, own bigint")
+    dense = first.groupBy("place").agg((F.sum("n") - 1).alias("density"), F.sum("far").alias("far"), F.bit_xor("mark").alias("mark"), F.first("own").alias("own"))
+    known = cut(places.join(dense, "place").select("place", "weight", "density", "far", "mark", "own", "vec"))
 
     def denser(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("place")
@@ -282,7 +320,7 @@ def peaks(places: DataFrame, radius: float, sample: int = SAMPLE, leaf: int = LE
     second = placed(crowd.select("place", "density", "vec"), tree, radius, most, sizes).groupBy("block", "i", "j").applyInPandas(denser, "place bigint, d2 double, to bigint")
     to = second.groupBy("place").agg(F.min(F.struct("d2", "to"))["to"].alias("to"))
     spread = F.when(F.col("density") > 0, F.sqrt(F.col("far") / F.col("density"))).otherwise(0.0)
-    return known.select("place", "weight", "density", spread.alias("spread")).join(to, "place", "left")
+    return known.select("place", "weight", "density", spread.alias("spread"), "mark", "own").join(to, "place", "left")
 
 
 def tree_of(places: DataFrame, n: int, radius: float, sample: int, leaf: int) -> Blocks:
@@ -330,7 +368,7 @@ def bridges(rooted: DataFrame, tree: Blocks, radius: float, most: int, sizes: di
 def connected(edges: DataFrame) -> DataFrame:
     """a and the smallest id of its connected set, for edges (a, b) given both ways."""
     edges = cut(edges)
-    label = cut(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")))
+    label = last = cut(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")))
     while True:
         near = edges.join(label.select(F.col("a").alias("b"), F.col("to").alias("n")), "b").groupBy("a").agg(F.min("n").alias("n"))
         nxt = label.join(near, "a").select("a", F.least("to", "n").alias("n"), "to")
@@ -339,18 +377,20 @@ def connected(edges: DataFrame) -> DataFrame:
         nxt = cut(nxt.join(jump, "n", "left").select("a", F.least("n", "m").alias("new"), "to"))
         if nxt.where("new <> to").limit(1).count() == 0:
             return nxt.select("a", "to")
-        label = nxt.select("a", F.col("new").alias("to"))
+        drop(last)
+        last, label = nxt, nxt.select("a", F.col("new").alias("to"))
 
 
 def follow(pointers: DataFrame) -> DataFrame:
     """place and the peak at the end of its pointers; each round doubles the way that a pointer spans."""
-    cur = cut(pointers.where("to is not null").select("place", "to"))
+    cur = last = cut(pointers.where("to is not null").select("place", "to"))
     while True:
         nxt = cur.join(cur.select(F.col("place").alias("to"), F.col("to").alias("further")), "to", "left")
         nxt = cut(nxt.select("place", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")))
         if nxt.where("moved").limit(1).count() == 0:
             return nxt.select("place", "to")
-        cur = nxt.select("place", "to")
+        drop(last)
+        last, cur = nxt, nxt.select("place", "to")
 
 
 def clean(rows: DataFrame, key: str, vec: Column, dims: int) -> DataFrame:
@@ -368,13 +408,16 @@ def clusters(members: DataFrame, radius: float, least: int = 4, sample: int = SA
     tree = tree_of(places, max(n, 1), radius, sample, leaf) if n else None
     sizes = part_counts(places, tree, radius, most) if n else {}
     p = cut(peaks(places, radius, most=most, tree=tree, sizes=sizes))
-    root = cut(p.join(follow(p).withColumnRenamed("to", "root"), "place", "left").select("place", "weight", "density", "spread", F.coalesce("root", "place").alias("root")))
+    root = cut(p.join(follow(p).withColumnRenamed("to", "root"), "place", "left").select("place", "weight", "density", "spread", "mark", "own", F.coalesce("root", "place").alias("root")))
     if n:
-        crowd = root.where(F.col("density") >= F.col("weight")).select("place", "root").join(places.select("place", "vec"), "place")
-        border = cut(bridges(crowd, tree, radius, most, sizes))
-        if border.limit(1).count():
-            joined = connected(border).select(F.col("a").alias("root"), F.col("to").alias("_to"))
-            root = root.join(joined, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to")
+        marks = root.groupBy("root").agg(F.bit_xor("own").alias("whole"), F.min("mark").alias("low"), F.max("mark").alias("high"))
+        torn = cut(marks.where("low <> whole or high <> whole").select("root"))
+        if torn.limit(1).count():
+            crowd = root.join(torn, "root").where(F.col("density") >= F.col("weight")).select("place", "root").join(places.select("place", "vec"), "place")
+            border = cut(bridges(crowd, tree, radius, most, sizes))
+            if border.limit(1).count():
+                joined = connected(border).select(F.col("a").alias("root"), F.col("to").alias("_to"))
+                root = root.join(joined, "root", "left").withColumn("root", F.coalesce("_to", "root")).drop("_to")
     size = root.groupBy("root").agg(F.sum("weight").alias("size"), F.min("place").alias("cluster_id")).where(F.col("size") >= least)
     of = root.join(size, "root").select("place", "cluster_id", "size", "density", "spread")
     # A place's members are its copies: those held once are the place itself, others are looked up by their vector.
@@ -385,7 +428,8 @@ def clusters(members: DataFrame, radius: float, least: int = 4, sample: int = SA
 
 
 def typical(found: DataFrame, n: int = 3) -> DataFrame:
-    """Per cluster its size and its ``n`` most typical members: densest, then nearest to their neighbours."""
-    rn = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.desc("density"), "spread", "member"))
+    """Per cluster its size and its ``n`` most typical members: densest, then nearest to their neighbours (to nine
+    digits), then of smallest id. A window that keeps only the first rows of a cluster needs no cluster in one task."""
+    rn = F.row_number().over(W.partitionBy("cluster_id").orderBy(F.desc("density"), F.round("spread", 9), "member"))
     top = found.withColumn("rn", rn).where(F.col("rn") <= n)
     return top.groupBy("cluster_id").agg(F.first("size").alias("size"), F.transform(F.array_sort(F.collect_list(F.struct("rn", "member"))), lambda x: x["member"]).alias("typical"))

@@ -79,6 +79,22 @@ near AS (
   SELECT 'vertex', a.id, b.id FROM v a JOIN v b ON abs(a.x - b.x) <= 0.3 AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 0.09),
 lab AS (SELECT kind, id AS member_id, min(other) AS cluster_id, count(*) AS n FROM near GROUP BY kind, id)
 SELECT kind, member_id, cluster_id FROM lab WHERE n >= 4
+""",
+    "p3_clusters": """
+WITH s AS (
+  SELECT state_id AS id, any_value(state_vec) AS v FROM cnm_states
+  WHERE state_vec IS NOT NULL AND len(state_vec) = 16 AND len(list_filter(state_vec, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  GROUP BY state_id),
+v AS (
+  SELECT point_id AS id, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z FROM mesh_vertices
+  WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT isnan(x) AND NOT isnan(y) AND NOT isnan(z) GROUP BY point_id),
+near AS (
+  SELECT 'state' AS kind, a.id, b.id AS other, pow(list_distance(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])), 2) AS d2 FROM s a JOIN s b ON list_distance(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) <= 1.5
+  UNION ALL
+  SELECT 'vertex', a.id, b.id, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) FROM v a JOIN v b ON abs(a.x - b.x) <= 0.3 AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 0.09),
+lab AS (SELECT kind, id, min(other) AS cluster_id, count(*) AS n, round(sqrt(sum(d2) / (count(*) - 1)), 9) AS spread FROM near GROUP BY kind, id HAVING count(*) >= 4),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind, cluster_id ORDER BY n DESC, spread, id) AS rn FROM lab)
+SELECT kind, cluster_id, count(*) AS size, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rn) FILTER (rn <= 3) AS typical FROM r GROUP BY kind, cluster_id
 """,
     "p6_found": """
 WITH v AS (
