@@ -45,6 +45,35 @@ def test_equal_form_if_and_only_if_equal_skeleton():
     assert len({next(iter(v)) for v in by.values()}) == len(by)
 
 
+@pytest.fixture
+def table(spark):
+    t.use(t.confusables(spark))
+    yield
+    t._STATE.clear()
+
+
+@pytest.mark.parametrize(
+    ("word", "plain"),
+    [("ρаper", "paper"), ("νest", "vest"), ("sуνtem", "syvtem"), ("ᴠalve", "valve"), ("flοω", "flοω"), ("ⲣump", "pump"), ("Ꮩalve", "Valve"), ("rород", "город"), ("pаѕѕaɡе", "passage"), ("ѵalve", "valve"), ("αxial", "axial"), ("ролеu", "ролеu")],
+)
+def test_public_table_folds_words(table, word, plain):
+    assert t.consistent(word) == t.consistent(plain)
+    if not plain.isascii():
+        return
+    assert t.consistent(word) == plain
+
+
+def test_public_table_leaves_formulas_and_other_scripts(table):
+    for x in ("σ", "ρV", "αβγ", "Δp и ρ", "σοφός ο νόμος", "город у моря", "ροή του αέρα", "Straße", "naïve", "համակարգը", "速度", "kσ"):
+        assert t.consistent(x) == t.skeleton(x) or t.consistent(x) == unicodedata.normalize("NFC", x)
+        assert t.consistent(t.consistent(x)) == t.consistent(x)
+    assert t.consistent("Ελληνικά: ροή του αέρα, σοφος ο νόμος") == "Ελληνικά: ροή του αέρα, σοφος ο νόμος"
+    assert t.consistent("l") != t.consistent("I") and t.consistent("paper") != t.consistent("Paper")
+    for (a, b) in (*SAME, *[(x, x) for pair in OTHER for x in pair]):
+        assert t.consistent(a) == t.consistent(b)
+    assert all(t.consistent(a) != t.consistent(b) for a, b in OTHER)
+
+
 def test_pairs(spark):
     rows = [(1, "valve А", 0), (2, "valve A", 0), (3, "valve A", 0), (4, "valve A", 0), (5, "valve B", 0), (6, None, 0), (7, "", 0), (8, "​", 0), (None, "valve A​", 0), (2, "valve A", 0)]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, own int")

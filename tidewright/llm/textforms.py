@@ -1,12 +1,16 @@
 """One consistent form of characters for texts that look the same.
 
-Two steps. The *skeleton* of a text drops what shows nothing, makes one space of all kinds of spaces, undoes
-compatibility forms that look like their plain letter, and puts every look-alike letter in its Latin
-spelling; texts look the same if and only if their skeletons are equal. The *consistent form* is spelled
-from the skeleton alone: the script sets of a word's letters are intersected, and where the result lacks
-Latin the letters are put back in the script that fits all of them. A word that fits several scripts (a
-whole-script confusable) takes the script of most of its text's unshared letters. So equal skeletons give
-equal forms, and mixed-script words get the one spelling that is possible throughout.
+Three steps. The *skeleton* of a text drops what shows nothing, makes one space of all kinds of spaces, undoes
+compatibility forms that look like their plain letter, and puts every letter that is drawn like a Latin one
+in its Latin spelling. In the *folded* text, words whose letters still share no script are looked at again with
+their script sets augmented by the public table of confusables (UTS 39, as the ICU library beside Spark holds
+it): where a script then fits all letters of the word, its letters of other scripts, and small capitals and
+the like, are put in that script. A single Greek letter or a short formula is no such word. Texts look the same
+if and only if their folded texts are equal. The *consistent form* is spelled from the folded text alone: the
+script sets of a word's letters are intersected, and where the result lacks Latin the letters are put back in
+the script that fits all of them. A word that fits several scripts (a whole-script confusable) takes the script
+of most of its text's unshared letters. So equal folded texts give equal forms, and mixed-script words get the
+one spelling that is possible throughout.
 
 Case, accents, digits, words, line breaks and the number of spaces are kept.
 
@@ -25,7 +29,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.session import cut
@@ -41,14 +45,52 @@ SIGNS = {"∑": "Σ", "∏": "Π", "∆": "Δ", "∙": "·", "‐": "-", "−":
 KINDS = ("<wide>", "<narrow>", "<compat>", "<font>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
 #: Characters besides those of category Cf that show nothing (ranges, inclusive).
 NOTHING = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0000, 0xE0FFF))
+#: Letters of a word below which the public table is not applied to it.
+WORD = 4
 BREAKS = "\u0085  \u000b\u000c"
 
 _STATE: dict = {}
 
 
+def confusables(spark: SparkSession) -> str:
+    """The public table's skeletons of all cased letters, one ``letter skeleton`` per line; its size is that of the table."""
+    letters = [chr(c) for c in range(0x20000) if unicodedata.category(chr(c)) in ("Lu", "Ll") and not unicodedata.decomposition(chr(c))]
+    made = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(letters)).split("\n")
+    return "\n".join(f"{a} {b}" for a, b in zip(letters, made, strict=True))
+
+
+def use(table: str) -> None:
+    """Take the skeletons of :func:`confusables` in this process; without them only the fixed values below count."""
+    if _STATE.get("table") == table:
+        return
+    _STATE.clear()
+    t = _tables()
+    classes: dict[tuple, dict[int, list[str]]] = {}
+    for line in table.split("\n"):
+        letter, like = line.split(" ", 1)
+        # Two ASCII letters share a skeleton only as small l and capital i: case tells them apart.
+        key = (like, letter.isupper() if like == "l" else None)
+        classes.setdefault(key, {}).setdefault(_script(letter, t), []).append(letter)
+    twins: dict[str, dict[int, str]] = {}
+    for members in classes.values():
+        if sum(map(len, members.values())) < 2:
+            continue
+        best = {bit: min(own, key=lambda c: (not c.isascii(), c)) for bit, own in members.items() if bit}
+        for bit, own in members.items():
+            for c in own:
+                # A letter that the fixed values spell as a Latin one stands in skeletons in that spelling only.
+                spelled = t["like"].get(ord(c), c)
+                twins.setdefault(spelled, {}).update({k: v for k, v in best.items() if v != spelled and k != _script(spelled, t)})
+                if bit == 1 and spelled == c and not c.isascii() and best[1].isascii():
+                    twins[c][1] = best[1]
+    # Where a word may have to be folded: letters of other scripts than Latin, and Latin ones beside ASCII that have a twin.
+    odd = "".join(sorted(re.escape(c) for c in twins if not c.isascii()))
+    t.update(table=table, twins=twins, strange=re.compile(f"[{odd}\u0370-\u058f]"), folded={})
+
+
 def _tables() -> dict:
     """Built by rule once per Python process."""
-    if _STATE:
+    if "to" in _STATE:
         return _STATE
     to: dict[int, str | None] = {}
     for c in range(0x80, 0x30000):
@@ -80,22 +122,34 @@ def _tables() -> dict:
     return _STATE
 
 
+#: Bits of the scripts; further scripts of cased letters follow as they are met. All bits stand for a mark.
+SCRIPTS, ANY = {"LATIN": 1, "CYRILLIC": 2, "GREEK": 4, "ARMENIAN": 8}, (1 << 40) - 1
+
+
+def _script(letter: str, t: dict) -> int:
+    """The bit of a letter's own script."""
+    name = unicodedata.name(letter, "").split(" ")[0]
+    known = t.setdefault("known", dict(SCRIPTS))
+    if name not in known and unicodedata.category(letter) in ("Lu", "Ll"):
+        known[name] = 1 << len(known)
+    return known.get(name, 0)
+
+
 def _bits(ch: str, t: dict) -> int:
-    """The scripts a skeleton letter can be spelled in: 1 Latin, 2 Cyrillic, 4 Greek, 8 Armenian, 0 another; 15 for marks."""
+    """The scripts a skeleton letter can be spelled in, 0 for a letter without case, all for marks."""
     b = t["bits"].get(ch)
     if b is None:
         base = unicodedata.normalize("NFD", ch)[0]
         if base in t["scripts"]:
             b = t["scripts"][base]
         else:
-            name = unicodedata.name(base, "")
-            b = 15 if unicodedata.category(base)[0] == "M" else next((k for s, k in (("LATIN", 1), ("CYRILLIC", 2), ("GREEK", 4), ("ARMENIAN", 8)) if name.startswith(s)), 0)
+            b = ANY if unicodedata.category(base)[0] == "M" else _script(base, t)
         t["bits"][ch] = b
     return b
 
 
 def skeleton(text: str) -> str:
-    """The form in which two texts are equal if and only if they look the same."""
+    """The text without what shows nothing, and with letters drawn like Latin ones in Latin spelling."""
     t = _tables()
     if t["control"].search(text):
         text = text.replace("\r\n", "\n").replace("\r", "\n").translate({k: v for k, v in t["to"].items() if k < 128})
@@ -117,12 +171,53 @@ def skeleton(text: str) -> str:
     return unicodedata.normalize("NFC", t["odd"].sub(one, text))
 
 
+def _fold(w: str, t: dict) -> str:
+    """A word of a skeleton with its confusable letters in the one script that fits all of its letters."""
+    s = t["folded"].get(w)
+    if s is None:
+        s, letters = w, [c for c in unicodedata.normalize("NFD", w) if unicodedata.category(c)[0] == "L"]
+        plain, wide = ANY, ANY
+        for c in letters:
+            plain &= _bits(c, t)
+            wide &= _bits(c, t) | sum(t["twins"].get(c, ()))
+        small = any(1 in t["twins"].get(c, ()) and _script(c, t) == 1 for c in letters)  # small capitals and the like
+        if len(letters) >= WORD and wide and (not plain or small):
+            fits = plain or wide
+            target = fits & -fits
+            strange = lambda c: target in t["twins"].get(c, ()) and (not _bits(c, t) & target or (target == 1 and _script(c, t) == 1))
+            if 2 * sum(map(strange, letters)) <= len(letters):
+                s = unicodedata.normalize("NFC", "".join(t["twins"][c][target] if strange(c) else c for c in unicodedata.normalize("NFD", w)))
+        if len(t["folded"]) > 200_000:
+            t["folded"].clear()
+        t["folded"][w] = s
+    return s
+
+
+def folded(text: str) -> str:
+    """The form in which two texts are equal if and only if they look the same."""
+    s, t = skeleton(text), _tables()
+    if s.isascii() or not t.get("strange"):
+        return s
+    out, last, n = [], 0, len(s)
+    for m in t["strange"].finditer(s):
+        a, b = m.span()
+        if a < last:
+            continue
+        while a > last and s[a - 1].isalpha():
+            a -= 1
+        while b < n and s[b].isalpha():
+            b += 1
+        out += [s[last:a], _fold(s[a:b], t)]
+        last = b
+    return "".join([*out, s[last:]])
+
+
 def _spell(w: str, main: int, t: dict) -> str:
     """A word of a skeleton in the script that fits all of its letters, in ``main`` if that is one of several."""
     key = (w, main)
     s = t["spelled"].get(key)
     if s is None:
-        b = 15
+        b = ANY
         for ch in w:
             b &= _bits(ch, t)
         if len(w) < 3 and main != 4:
@@ -140,10 +235,10 @@ PLAIN = "nrtdlmu"
 
 
 def consistent(text: str | None) -> str | None:
-    """The consistent form: the skeleton, with every word in one script that fits all of its letters."""
+    """The consistent form: the folded text, with every word in one script that fits all of its letters."""
     if text is None:
         return None
-    s = skeleton(text)
+    s = folded(text)
     if s.isascii():
         return s
     t = _tables()
@@ -174,8 +269,11 @@ def consistent(text: str | None) -> str | None:
 
 def forms(documents: DataFrame) -> DataFrame:
     """doc_id and the consistent form of its text; one pass without a shuffle."""
+    spark = documents.sparkSession
+    table = spark.sparkContext.broadcast(confusables(spark))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use(table.value)
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": [consistent(x) for x in b["text"]]})
 
@@ -184,8 +282,11 @@ def forms(documents: DataFrame) -> DataFrame:
 
 def digests(documents: DataFrame) -> DataFrame:
     """doc_id, 128-bit digest of the consistent form, and of the text itself; null texts are left out."""
+    spark = documents.sparkSession
+    table = spark.sparkContext.broadcast(confusables(spark))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        use(table.value)
         h = lambda s: hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         for b in batches:
             out = [(d, h(x), h(consistent(x))) for d, x in zip(b["doc_id"], b["text"], strict=True)]
