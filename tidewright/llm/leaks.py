@@ -1,19 +1,22 @@
 """Evaluation texts inside training documents: which document holds which item, fully or partly.
 
 Size-partitioned MinHash containment search. A document is far larger than an item, and an item may be held
-only by a part of ``words`` consecutive words, so signatures of whole texts would hardly ever agree. Both
-sides are therefore cut into overlapping pieces of one size, ``piece`` consecutive shingles, and each piece
-is described by its MinHash. Pieces of equal size are one size class, in which the containment threshold is
-1: a document that holds ``words`` words of an item also holds a whole piece of it, whose MinHash is then
-equal on both sides. No link is lost, whatever the sizes; candidates are verified by exact containment.
-
-Shingles are ``K`` consecutive letters or digits of the text without what lies between its words, so that
-case, punctuation, layout and divided words don't disturb them. Between words the verification tells apart
+only by a part of ``words`` consecutive words, so signatures of whole texts would hardly ever agree. The unit
+is therefore a window of ``words`` words of an item, and the windows are partitioned by their size in letters
+(``BOUNDS``). A partition has a piece of one size, not longer than its windows: the piece that begins a window
+is described by the MinHash of its shingles, and so is every piece of that size of the documents. Who holds a
+window holds its first piece, whose MinHash is then equal on both sides: within a partition containment is
+equality of MinHashes, no link is lost, and windows of unusual size only make work for their own partition.
+
+Documents are read once. Their MinHashes are tested against two bit maps of the items' (at most ``BITS`` each,
+whatever the number of items); what passes is shuffled with the letters around it and joined with the items'
+MinHashes, and each pair is verified by exact comparison of the letters and the words' boundaries. Windows
+that several items share are verified once. There is one way for any number of items.
+
+Shingles are of up to ``K`` consecutive letters or digits of the text without what lies between its words, so
+that case, punctuation, layout and divided words don't disturb them. Between words the verification tells apart
 sure boundaries and those that a line break leaves open.
 
-The items' MinHashes are sent to all executors only while they number at most ``SENT``; beyond that the
-pieces of the documents are joined with them by a shuffle. Either way gives the same rows.
-
 Defined results
 ---------------
 * words count regardless of case in every script: letters that look alike in either case are one letter;
@@ -33,9 +36,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.textforms import ARMENIAN, CYRILLIC, GREEK, LATIN, consistent, skeleton
-
-WORDS, K, SENT = 12, 24, 2_000_000
+from tidewright.llm.textforms import ARMENIAN, CYRILLIC, GREEK, LATIN, skeleton
+from tidewright.session import cut
+
+WORDS, K = 12, 24
+#: Smallest window of each partition, in letters; the last partition is open.
+BOUNDS = (1, 4, 8, 12, 16, 24, 36, 54, 80, 120, 180)
+#: Most bits of each map of the items' MinHashes, and bits per MinHash below that.
+BITS, SPARSE = 1 << 27, 1024
+#: What joins: partition, MinHash, and letters and boundaries around the shingle (one boundary more than letters).
+WHERE = "part int, hash bigint, at int, code binary, flags binary"
+#: No hash: the piece or shingle would leave its text.
+NEVER = np.uint64(2**64 - 1)
 #: In a stream: no boundary before this letter, a sure one, or one that a line break leaves open.
 NONE, SURE, OPEN = 0, 1, 2
 _STATE: dict = {}
@@ -115,7 +127,7 @@ def shingles(code: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
         out *= np.uint64(0xBF58476D1CE4E5B9)
         out ^= out >> np.uint64(32)
     for e in begin[1:]:
-        out[max(0, e - k + 1) : e] = np.uint64(2**64 - 1)
+        out[max(0, e - k + 1) : e] = NEVER
     return out
 
 
@@ -135,126 +147,175 @@ def minima(h: np.ndarray, w: int) -> np.ndarray:
     return m
 
 
-class Items:
-    """The items' streams and the MinHashes of their pieces."""
-
-    def __init__(self, ids: list[int], texts: list[str], words: int = WORDS):
-        self.ids, self.words, self.quick = ids, words, None
-        # Items are spelled in full lines; a word divided at a line's end is one word.
-        joined = [re.sub(r"(?<=\w)[-\xad]\s*\n\s*(?=\w)", "", skeleton(x)) for x in texts]
-        self.code, flags, self.begin = stream(joined)
-        self.flags = np.minimum(flags, SURE)
-        first = np.flatnonzero(self.flags)  # the first letter of every word
-        item = np.searchsorted(self.begin, first, "right") - 1
-        ends = np.append(first[1:], len(self.code))
-        whole = np.flatnonzero(item[: len(item) - words + 1] == item[words - 1 :]) if len(item) >= words else np.zeros(0, int)
-        sizes = ends[whole + words - 1] - first[whole]
-        #: A piece is not longer than the shortest run of ``words`` words, so that such a run holds a piece.
-        shortest = int(sizes.min()) if len(sizes) else words
-        self.k = max(1, min(K, shortest * 2 // 3))
-        self.w = shortest - self.k + 1
-        h = shingles(self.code, self.begin, self.k)
-        # A shingle counts if it is the MinHash of any piece that covers it.
-        covered = np.zeros(len(h), bool)
-        for i in np.unique(item[whole]) if len(whole) else ():
-            a, b = self.begin[i], self.begin[i + 1] - self.k + 1
-            for s in range(a, b - self.w + 1):
-                covered[s + int(np.argmin(h[s : s + self.w]))] = True
-        self.at = np.flatnonzero(covered)
-        self.hash = h[self.at]
-        order = np.argsort(self.hash, kind="stable")
-        self.at, self.hash = self.at[order], self.hash[order]
-
-    def held(self, code: np.ndarray, flags: np.ndarray, end: int, start: int, item: int, shift: int) -> bool:
-        """Whether the text code[start:end] holds ``words`` words of the item, laid on it at ``shift``."""
-        a, b = self.begin[item], self.begin[item + 1]
-        lo, hi = max(a, start - shift), min(b, end - shift)  # the part of the item that lies on the text
-        if hi <= lo:
-            return False
-        x, y = code[lo + shift : hi + shift], self.code[lo:hi]
-        f, g = flags[lo + shift : hi + shift], self.flags[lo:hi]
-        same = x == y
-        fits = (f == OPEN) | ((f == SURE) == (g == SURE))
-        link = same.copy()
-        link[1:] &= same[:-1] & fits[1:]  # continues from the letter before
-        words = np.flatnonzero(g)
-        if len(words) < self.words:
-            return False
-        stops = np.append(words[1:], hi - lo)
-        broken = np.cumsum(~link)
-        after = np.append(f, SURE if hi + shift >= end else flags[hi + shift])
-        for i in range(len(words) - self.words + 1):
-            s, e = words[i], stops[i + self.words - 1]
-            if e == hi - lo and hi < b and not self.flags[hi]:
-                break  # the last word is cut off
-            if same[s] and f[s] != NONE and broken[e - 1] == broken[s] and after[e] != NONE:
-                return True
-        return False
+def piece(part: int) -> tuple[int, int]:
+    """Letters of a shingle, and shingles of a piece, in a partition."""
+    k = max(1, min(K, BOUNDS[part] * 2 // 3))
+    return k, BOUNDS[part] - k + 1
+
+
+def _around(part: int, h: np.uint64, at: int, code: np.ndarray, flags: np.ndarray, begin: int, end: int, reach: int) -> tuple:
+    """The row of a shingle at ``at`` of the text code[begin:end], with ``reach`` letters on either side of it."""
+    lo, hi = max(begin, at - reach), min(end, at + reach)
+    after = flags[hi] if hi < end else SURE
+    return part, int(np.uint64(h).view(np.int64)), at - lo, code[lo:hi].tobytes(), np.append(flags[lo:hi], np.uint8(after)).tobytes()
+
+
+def windows(text: str, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An item's letters and boundaries, and of each window of ``words`` words its first letter, its size and its partition."""
+    # Items are spelled in full lines; a word divided at a line's end is one word.
+    code, flags, _ = stream([re.sub(r"(?<=\w)[-\xad]\s*\n\s*(?=\w)", "", skeleton(text))])
+    flags = np.minimum(flags, SURE)
+    first = np.flatnonzero(flags)
+    ends = np.append(first[1:], len(code))
+    n = max(0, len(first) - words + 1)
+    size = ends[words - 1 :][:n] - first[:n]
+    return code, flags, first[:n], size, np.searchsorted(BOUNDS, size, "right") - 1
+
+
+def item_rows(text: str, words: int = WORDS) -> list[tuple]:
+    """One row per MinHash of an item's windows."""
+    code, flags, first, size, parts = windows(text, words)
+    out = {}
+    for part in np.unique(parts):
+        k, w = piece(int(part))
+        h = shingles(code, np.array([0, len(code)]), k)
+        own = parts == part
+        for s in first[own]:
+            at = int(s) + int(np.argmin(h[s : s + w]))
+            out[int(part), at] = h[at]
+    most = int(size.max()) + 1 if len(size) else 0
+    return [_around(part, h, at, code, flags, 0, len(code), most) for (part, at), h in out.items()]
+
+
+class Marks:
+    """Two bit maps of MinHashes: what neither or only one of them knows is none of the items'."""
+
+    def __init__(self, bits: int, words: list[tuple[int, int, int]]):
+        self.shift = np.uint64(64 - (bits.bit_length() - 1))
+        self.maps = np.zeros((2, bits // 64), np.uint64)
+        for which, word, value in words:
+            self.maps[which, word] = np.int64(value).view(np.uint64)
+
+    @staticmethod
+    def places(h: np.ndarray, shift: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        return h >> shift, (h * np.uint64(0x9E3779B97F4A7C15)) >> shift
+
+    def hold(self, h: np.ndarray) -> np.ndarray:
+        """Which of the hashes may be an item's."""
+        ok = np.ones(len(h), bool)
+        at = np.arange(len(h))
+        with np.errstate(over="ignore"):
+            for m, place in zip(self.maps, (lambda x: x >> self.shift, lambda x: (x * np.uint64(0x9E3779B97F4A7C15)) >> self.shift), strict=True):
+                p = place(h[at])
+                good = (m[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+                ok[at[~good]] = False
+                at = at[good]
+        return ok
+
+
+def marks(hashes: DataFrame, bits: int = BITS) -> Marks:
+    """The bit maps of the column ``hash``: put together by the cluster in words of 64 bits, of which there are few."""
+    n = hashes.count()
+    bits = max(64, min(bits, 1 << max(16, (SPARSE * max(n, 1) - 1).bit_length())))
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shift = np.uint64(64 - (bits.bit_length() - 1))
+        for b in batches:
+            h = b["hash"].to_numpy().view(np.uint64)
+            with np.errstate(over="ignore"):
+                for which, p in enumerate(Marks.places(h, shift)):
+                    yield pd.DataFrame({"which": which, "word": (p >> np.uint64(6)).astype(np.int64), "bit": (np.uint64(1) << (p & np.uint64(63))).view(np.int64)})
+
+    made = hashes.select("hash").mapInPandas(words, "which int, word bigint, bit bigint").groupBy("which", "word").agg(F.bit_or("bit").alias("bit"))
+    return Marks(bits, [tuple(r) for r in made.collect()])
 
 
-def pieces(items: Items, texts: list[str]) -> tuple[np.ndarray, ...]:
-    """Streams of the texts, hashes of their shingles and, of each distinct piece's MinHash, the text and the hash."""
+def hits(texts: list[str], known: Marks, parts: dict[int, int]) -> list[tuple]:
+    """(position of the text, row) of every shingle of the texts that may be an item's. ``parts``: partition and reach."""
     code, flags, begin = stream(texts)
-    if len(code) < items.k:
-        return code, flags, begin, np.zeros(0, np.uint64), np.zeros(0, int), np.zeros(0, np.uint64)
-    h = shingles(code, begin, items.k)
-    m = minima(h, items.w)
-    if items.w > 1:  # a piece that would leave its text is none
-        for e in begin[1:]:
-            m[max(0, e - items.k - items.w + 2) : e] = np.uint64(2**64 - 1)
-    new = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])) & (m != np.uint64(2**64 - 1)))
-    return code, flags, begin, h, np.searchsorted(begin, new, "right") - 1, m[new]
-
-
-def matches(items: Items, texts: list[str]) -> list[tuple[int, int]]:
-    """(position of the text, item_id) of every text that holds an item."""
-    code, flags, begin, h, doc, low = pieces(items, texts)
-    if len(low) == 0 or len(items.hash) == 0:
-        return []
-    if items.quick is None:
-        items.quick = np.zeros(1 << 20, bool)
-        items.quick[items.hash >> np.uint64(44)] = True
-    low = low[items.quick[low >> np.uint64(44)]]
-    low = low[np.isin(low, items.hash)]
-    if len(low) == 0:
-        return []
-    # Where the shared MinHashes stand in the texts, and in the items; each such pair lays an item on a text.
-    p = np.flatnonzero(items.quick[h >> np.uint64(44)])
-    p = p[np.isin(h[p], low)]
-    lo, hi = np.searchsorted(items.hash, h[p], "left"), np.searchsorted(items.hash, h[p], "right")
-    n = hi - lo
-    q = items.at[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
-    p = np.repeat(p, n)
-    tries = np.unique(np.column_stack([np.searchsorted(begin, p, "right") - 1, np.searchsorted(items.begin, q, "right") - 1, p - q]), axis=0)
-    out = set()
-    for d, item, shift in tries.tolist():
-        if (d, item) not in out and items.held(code, flags, begin[d + 1], begin[d], item, shift):
-            out.add((d, item))
-    return [(d, items.ids[i]) for d, i in out]
-
-
-def leaked(documents: DataFrame, items: DataFrame, words: int = WORDS, sent: int = SENT) -> DataFrame:
-    """doc_id and item_id of every document that holds ``words`` consecutive words of an item.
-
-    While the items' MinHashes are few (checked), documents are read once and nothing but the result is
-    shuffled; else the documents' MinHashes are shuffled to the items', and candidates are verified.
-    """
-    spark = documents.sparkSession
+    out, hashes = [], {}
+    for part, reach in parts.items():
+        k, w = piece(part)
+        if len(code) < k + w - 1:
+            continue
+        if k not in hashes:
+            hashes[k] = shingles(code, begin, k)
+        h = hashes[k]
+        m = minima(h, w)
+        if w > 1:  # a piece that would leave its text is none
+            for e in begin[1:]:
+                m[max(0, e - k - w + 2) : e] = NEVER
+        low = m[np.concatenate(([True], m[1:] != m[:-1])) & (m != NEVER)]
+        low = np.unique(low[known.hold(low)])
+        if len(low) == 0:
+            continue
+        at = np.flatnonzero(known.hold(h))
+        at = at[np.isin(h[at], low)]
+        own = np.searchsorted(begin, at, "right") - 1
+        out += [(int(d), _around(part, h[p], int(p), code, flags, int(begin[d]), int(begin[d + 1]), reach)) for d, p in zip(own, at, strict=True)]
+    return out
+
+
+def agrees(doc: tuple[np.ndarray, np.ndarray, int], item: tuple[np.ndarray, np.ndarray, int], words: int = WORDS) -> bool:
+    """Whether the document's letters hold ``words`` words of the item's, both laid on each other at their shingle."""
+    (cd, fd, ad), (ci, fi, ai) = doc, item
+    shift = ad - ai
+    lo, hi = max(0, -shift), min(len(ci), len(cd) - shift)
+    if hi <= lo:
+        return False
+    y, g = ci[lo:hi], fi[lo : hi + 1]
+    f = fd[lo + shift : hi + shift + 1]
+    same = cd[lo + shift : hi + shift] == y
+    fits = (f[:-1] == OPEN) | ((f[:-1] == SURE) == (g[:-1] == SURE))
+    link = same.copy()
+    link[1:] &= same[:-1] & fits[1:]  # continues from the letter before
+    starts = np.flatnonzero(g[:-1])
+    stops = np.append(starts[1:], hi - lo)
+    broken = np.cumsum(~link)
+    for i in range(len(starts) - words + 1):
+        s, e = starts[i], stops[i + words - 1]
+        if g[e] == NONE:
+            break  # the last word is cut off
+        if same[s] and f[s] != NONE and broken[e - 1] == broken[s] and f[e] != NONE:
+            return True
+    return False
+
+
+def leaked(documents: DataFrame, items: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
+    """doc_id and item_id of every document that holds ``words`` consecutive words of an item."""
     docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     test = items.select("item_id", "text").where("item_id is not null and text is not null").dropDuplicates()
-    if test.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] <= sent:
-        rows = test.collect()
-        made = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows], words))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                texts, ids = b["text"].tolist(), b["doc_id"].tolist()
-                for lo, hi in _groups(texts):
-                    out = matches(made.value, texts[lo:hi])
-                    yield pd.DataFrame([(ids[lo + d], i) for d, i in out], columns=["doc_id", "item_id"])
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(i, *r) for i, x in zip(b["item_id"], b["text"], strict=True) for r in item_rows(x, words)]
+            yield pd.DataFrame(rows, columns=["item_id", "part", "hash", "at", "code", "flags"])
+
+    index = cut(test.mapInPandas(sign, f"item_id bigint, {WHERE}"))
+    # Of each partition the longest reach (letters are four bytes); there are as many rows as partitions.
+    reach = index.groupBy("part").agg(F.max(F.octet_length("code") / 4).cast("int").alias("reach"))
+    parts = {r["part"]: r["reach"] for r in reach.collect()}
+    known = docs.sparkSession.sparkContext.broadcast((marks(index, bits), parts))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts, ids = b["text"].tolist(), b["doc_id"].tolist()
+            for lo, hi in _groups(texts):
+                rows = [(ids[lo + d], *r) for d, r in hits(texts[lo:hi], *known.value)]
+                yield pd.DataFrame(rows, columns=["doc_id", "part", "hash", "at", "code", "flags"])
+
+    found = docs.mapInPandas(find, f"doc_id bigint, {WHERE}")
+    shared = index.groupBy("part", "hash", F.col("at").alias("i_at"), F.col("code").alias("i_code"), F.col("flags").alias("i_flags")).agg(F.collect_set("item_id").alias("items"))
 
-        return docs.mapInPandas(run, "doc_id bigint, item_id bigint").distinct()
-    return _joined(docs, test, words)
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        array = lambda code, flags, at: (np.frombuffer(code, np.uint32), np.frombuffer(flags, np.uint8), at)
+        for b in batches:
+            ok = [agrees(array(r.code, r.flags, r.at), array(r.i_code, r.i_flags, r.i_at), words) for r in b.itertuples(index=False)]
+            yield b.loc[np.array(ok, bool), ["doc_id", "items"]]
+
+    pairs = found.join(shared, ["part", "hash"]).select("doc_id", "items", "at", "code", "flags", "i_at", "i_code", "i_flags")
+    sure = pairs.mapInPandas(verify, "doc_id bigint, items array<bigint>")
+    return sure.select("doc_id", F.explode("items").alias("item_id")).distinct()
 
 
 def _groups(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
@@ -267,54 +328,3 @@ def _groups(texts: list[str], most: int = 2_000_000) -> Iterator[tuple[int, int]
             lo, n = i + 1, 0
     if lo < len(texts):
         yield lo, len(texts)
-
-
-def _joined(docs: DataFrame, test: DataFrame, words: int) -> DataFrame:
-    """The same with any number of items: all sides are cut to the piece that fits the smallest item window."""
-    least = lambda batches: (pd.DataFrame({"n": [_shortest(x, words) for x in b["text"]]}) for b in batches)
-    shortest = test.mapInPandas(least, "n int").agg(F.min("n")).first()[0]
-    if shortest is None:
-        return docs.select("doc_id", F.lit(0).cast("bigint").alias("item_id")).limit(0)
-    k = max(1, min(K, shortest * 2 // 3))
-    w = shortest - k + 1
-
-    class Size:
-        pass
-
-    size = Size()
-    size.k, size.w = k, w
-
-    def sign(column: str):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                texts, ids = b["text"].tolist(), b[column].to_numpy()
-                for lo, hi in _groups(texts):
-                    *_, d, low = pieces(size, texts[lo:hi])
-                    yield pd.DataFrame({column: ids[lo + d], "low": low.astype(np.int64)}).drop_duplicates()
-
-        return run
-
-    a = docs.mapInPandas(sign("doc_id"), "doc_id bigint, low bigint")
-    b = test.mapInPandas(sign("item_id"), "item_id bigint, low bigint")
-    pairs = a.join(b, "low").select("doc_id", "item_id").distinct()
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                if matches(Items([r.item_id], [r.item], words), [r.text]):
-                    out.append((r.doc_id, r.item_id))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id"])
-
-    texts = pairs.join(docs, "doc_id").join(test.select("item_id", F.col("text").alias("item")), "item_id")
-    return texts.select("doc_id", "item_id", "text", "item").mapInPandas(verify, "doc_id bigint, item_id bigint").distinct()
-
-
-def _shortest(text: str, words: int) -> int | None:
-    t = Items([0], [text], words)
-    return t.k + t.w - 1 if len(t.hash) else None
-
-
-def readable(text: str | None) -> str | None:
-    """The form in which reports show a text."""
-    return consistent(text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,23 @@ def p9_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p6_found, p7_packed, p7_usage, p8_found, p9_found, p9_forms)}
 
+
+def _looks(column: str) -> str:
+    """The skeleton of a text as SQL: one character for one, ligatures of f, and line ends; enough for the given texts."""
+    t = textforms._tables()
+    pairs = {c: v for c, v in t["to"].items() if v is not None and len(v) == 1 and not 0xD800 <= c < 0xE000 and c > 32}
+    pairs |= {ord(k): v for k, v in ((unicodedata.normalize("NFC", chr(c) + m), unicodedata.normalize("NFC", v + m)) for c, v in t["like"].items() for m in ("", "\u0300", "\u0301", "\u0306", "\u0308")) if len(k) == len(v) == 1}
+    gone = [c for c, v in t["to"].items() if v is None and c > 32 and not 0xD800 <= c < 0xE000]
+    old, new = "".join(map(chr, [*pairs, *gone])), "".join(pairs.values())
+    quoted = lambda x: x.replace("'", "''")
+    inner = f"replace({column}, chr(13) || chr(10), chr(10))"
+    for ligature in "\ufb00\ufb01\ufb02\ufb03\ufb04":
+        inner = f"replace({inner}, '{ligature}', '{unicodedata.normalize('NFKD', ligature)}')"
+    return f"nfc_normalize(translate({inner}, '{quoted(old)}', '{quoted(new)}'))"
+
+
+_LETTERS = r"regexp_replace(lower(strip_accents({})), '[^\p{{L}}\p{{N}}]', '', 'g')"
+
 SQL = {
     "p3_found": """
 WITH RECURSIVE s AS (
@@ -104,5 +123,15 @@ d AS (
   SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z), b.id) AS rn
   FROM v a JOIN v b ON a.id <> b.id)
 SELECT DISTINCT least(a, b) AS point_a, greatest(a, b) AS point_b FROM d WHERE rn <= 5
+""",
+    "p8_found": rf"""
+WITH d AS (SELECT doc_id, {_LETTERS.format(_looks("text"))} AS letters FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(strip_accents(regexp_replace({_looks("text")}, '([\p{{L}}\p{{N}}])-\s*\n\s*([\p{{L}}\p{{N}}])', '\1\2', 'g'))), '[\p{{L}}\p{{N}}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+v AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda k: array_to_string(w[k:k + 11], ''))) AS part FROM i WHERE len(w) >= 12)
+SELECT DISTINCT d.doc_id, v.item_id FROM d JOIN v ON contains(d.letters, v.part)
+""",
+    "p9_found": f"""
+WITH k AS (SELECT doc_id, text, {_looks("text")} AS looks FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)
+SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.looks = b.looks AND a.doc_id < b.doc_id AND a.text <> b.text
 """,
 }
