@@ -137,16 +137,6 @@ def _combine(a: np.ndarray, b: np.ndarray, shift: int, power: np.uint64) -> np.n
     return r
 
 
-def minima(h: np.ndarray, w: int) -> np.ndarray:
-    """The MinHash of each piece of ``w`` shingles that begins here."""
-    m, have = h.copy(), 1
-    while have < w:
-        step = min(have, w - have)
-        m[: len(m) - step] = np.minimum(m[: len(m) - step], m[step:])
-        have += step
-    return m
-
-
 def piece(part: int) -> tuple[int, int]:
     """Letters of a shingle, and shingles of a piece, in a partition."""
     k = max(1, min(K, BOUNDS[part] * 2 // 3))
@@ -230,29 +220,42 @@ def marks(hashes: DataFrame, bits: int = BITS) -> Marks:
     return Marks(bits, [tuple(r) for r in made.collect()])
 
 
+def runs_of_minima(h: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each number of shingles, in ascending order: the MinHash of the piece that begins at each place. Minima over
+    powers of two are formed once for all of them."""
+    m, have = h, 1
+    for w in sorted(sizes):
+        while have * 2 <= w:
+            m = np.minimum(m[:-have] if len(m) > have else m[:0], m[have:])
+            have *= 2
+        rest = w - have
+        yield w, np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
+
+
 def hits(texts: list[str], known: Marks, parts: dict[int, int]) -> list[tuple]:
     """(position of the text, row) of every shingle of the texts that may be an item's. ``parts``: partition and reach."""
     code, flags, begin = stream(texts)
-    out, hashes = [], {}
+    out, by_k = [], {}
     for part, reach in parts.items():
         k, w = piece(part)
-        if len(code) < k + w - 1:
-            continue
-        if k not in hashes:
-            hashes[k] = shingles(code, begin, k)
-        h = hashes[k]
-        m = minima(h, w)
-        if w > 1:  # a piece that would leave its text is none
-            for e in begin[1:]:
-                m[max(0, e - k - w + 2) : e] = NEVER
-        low = m[np.concatenate(([True], m[1:] != m[:-1])) & (m != NEVER)]
-        low = np.unique(low[known.hold(low)])
-        if len(low) == 0:
-            continue
-        at = np.flatnonzero(known.hold(h))
-        at = at[np.isin(h[at], low)]
-        own = np.searchsorted(begin, at, "right") - 1
-        out += [(int(d), _around(part, h[p], int(p), code, flags, int(begin[d]), int(begin[d + 1]), reach)) for d, p in zip(own, at, strict=True)]
+        by_k.setdefault(k, {})[w] = (part, reach)
+    for k, own in by_k.items():
+        h = shingles(code, begin, k)
+        for w, m in runs_of_minima(h, list(own)):
+            part, reach = own[w]
+            if len(m) == 0:
+                continue
+            start = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
+            found = np.flatnonzero(known.hold(m[start]))
+            if len(found) == 0:
+                continue
+            # A run of equal minima: every place in it and in its last piece where the shingle stands.
+            stop = np.append(start[1:], len(m)) + w - 1
+            ends = begin[np.searchsorted(begin, start[found], "right")]
+            at = {s + int(i) for s, e, end in zip(start[found].tolist(), stop[found].tolist(), ends.tolist(), strict=True) if m[s] != NEVER for i in np.flatnonzero(h[s : min(e, end)] == m[s])}
+            for p in sorted(at):
+                d = int(np.searchsorted(begin, p, "right")) - 1
+                out.append((d, _around(part, h[p], p, code, flags, int(begin[d]), int(begin[d + 1]), reach)))
     return out
 
 
