@@ -249,10 +249,10 @@ def hits(texts: list[str], known: Marks, parts: dict[int, int]) -> list[tuple]:
             found = np.flatnonzero(known.hold(m[start]))
             if len(found) == 0:
                 continue
-            # A run of equal minima: every place in it and in its last piece where the shingle stands.
+            # A run of equal minima: every place in it and in its last piece where the shingle stands. A piece may
+            # reach into the next text; the place then counts there.
             stop = np.append(start[1:], len(m)) + w - 1
-            ends = begin[np.searchsorted(begin, start[found], "right")]
-            at = {s + int(i) for s, e, end in zip(start[found].tolist(), stop[found].tolist(), ends.tolist(), strict=True) if m[s] != NEVER for i in np.flatnonzero(h[s : min(e, end)] == m[s])}
+            at = {s + int(i) for s, e in zip(start[found].tolist(), stop[found].tolist(), strict=True) if m[s] != NEVER for i in np.flatnonzero(h[s:e] == m[s])}
             for p in sorted(at):
                 d = int(np.searchsorted(begin, p, "right")) - 1
                 out.append((d, _around(part, h[p], p, code, flags, int(begin[d]), int(begin[d + 1]), reach)))
