@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.llm import leaks, neighbours, packing, peaks, textforms
-from tidewright.session import spread, table
+from tidewright.session import cut, spread, table
 
 #: Within which distance two states, and two vertices, are similar.
 STATE_RADIUS, VERTEX_RADIUS = 1.5, 0.3
@@ -48,7 +48,14 @@ def p7_packed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_usage(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.usage(packing.packed(_documents(spark, sf)))
+    """What a packing must keep: every text whole, none split that fits, no container over its capacity, few empty places."""
+    made = cut(packing.packed(_documents(spark, sf)))
+    per = made.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("n_tokens").alias("tokens"), F.max(F.col("start_token") + F.col("n_tokens")).alias("stop"), F.max("piece").alias("last"))
+    whole = (F.col("tokens") == F.col("stop")) & (F.col("last") == F.col("pieces") - 1)
+    split = (F.col("pieces") > 1) & (F.col("tokens") <= packing.CAPACITY)
+    texts = per.agg(F.count("*").alias("texts"), F.count(F.when(~whole, 1)).alias("torn"), F.count(F.when(split, 1)).alias("split_needlessly"))
+    use = packing.usage(made).select("over", (F.col("share") >= 0.95).alias("full"))
+    return texts.crossJoin(F.broadcast(use))  # one row each
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -134,4 +141,5 @@ SELECT DISTINCT d.doc_id, v.item_id FROM d JOIN v ON contains(d.letters, v.part)
 WITH k AS (SELECT doc_id, text, {_looks("text")} AS looks FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)
 SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.looks = b.looks AND a.doc_id < b.doc_id AND a.text <> b.text
 """,
+    "p7_usage": "SELECT count(*) AS texts, CAST(0 AS BIGINT) AS torn, CAST(0 AS BIGINT) AS split_needlessly, CAST(0 AS BIGINT) AS over, true AS full FROM documents WHERE text IS NOT NULL",
 }
