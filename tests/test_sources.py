@@ -90,7 +90,11 @@ def test_foam_decomposed_and_store(spark, tmp_path):
     st = store.foam_to_store(one, str(tmp_path / "store"), times=["0.5", "10"])
     assert st.write_times == ["0.5", "10"] and st.field_names["10"] == ["U", "p"]
     assert st.matrix("p").numpy().tolist() == [[1.0, 2.0], [2.0, 4.0]]
-    text = open(store.write_xdmf(st)).read()
+    path = store.write_xdmf(st, chunk=3)
+    text = open(path).read()
+    held = store.read_xdmf(path)
+    assert held["0.5", "U"].tolist() == [[1.0, 2.0, 3.0], [2.0, 4.0, 6.0]] and held["10", "p"].tolist() == [2.0, 4.0] and held["10", "Geometry"].shape == (12, 3)
+    assert held["0.5", "Topology"][:2].tolist() == [16, 6] and "HDF" not in text
     assert text.count("<Attribute") == 4 and 'AttributeType="Vector"' in text and 'Value="0.5"' in text
     st.write(spark.createDataFrame([("10", "p", k, 0, 9.0) for k in (0, 1)], "time string, field string, point_id bigint, comp int, value double"))
     assert st.matrix("p").numpy().tolist() == [[1.0, 9.0], [2.0, 9.0]]

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.functions.checks import str_or_list
 from tidewright.operators.linalg import Matrix
 
 
+def local_path(path: str) -> str:
+    """The path of a file as a scan reports it, without its scheme and escapes."""
+    return "/" + unquote(path.split(":", 1)[-1]).lstrip("/")
+
+
 def numeric(text: str) -> bool:
     """Whether a name is a time."""
     try:

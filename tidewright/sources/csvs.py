@@ -35,13 +35,16 @@ class _Delimited(Source):
         """time -> file."""
         raise NotImplementedError
 
+    def time_of(self, path: Column) -> Column:
+        """The time that a file's path spells."""
+        raise NotImplementedError
+
     def rows(self, times: list[str] | None = None) -> DataFrame:
         """time, point_id and all columns, of the given times."""
         files = self.files()
         wanted = {t: files[t] for t in (times or files)}
-        at = self.spark.createDataFrame([(t, Path(f).resolve().as_uri()) for t, f in wanted.items()], "time string, _file string")
-        text = self.spark.read.text(list(wanted.values()), wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "file:///").alias("_file"), "value")
-        lines = text.join(F.broadcast(at), "_file").select("time", F.posexplode(F.filter(F.slice(F.split("value", r"\r?\n"), self.skip + 1, 2**30), lambda x: F.trim(x) != "")).alias("point_id", "line"))
+        text = self.spark.read.text(list(wanted.values()), wholetext=True).select(self.time_of(F.col("_metadata.file_path")).alias("time"), "value")
+        lines = text.select("time", F.posexplode(F.filter(F.slice(F.split("value", r"\r?\n"), self.skip + 1, 2**30), lambda x: F.trim(x) != "")).alias("point_id", "line"))
         lines = lines.where(~F.col("line").startswith("#"))
         bits = lines.select("time", F.col("point_id").cast("bigint").alias("point_id"), F.split(F.trim("line"), self.sep).alias("_b"))
         return bits.select("time", "point_id", *(F.col("_b")[i].try_cast("double").alias(n) for i, n in enumerate(self.names)))
@@ -89,6 +92,10 @@ class DavisSource(_Delimited):
             names = next((re.findall(r'"([^"]*)"', line) for line in (f.readline() for _ in range(3)) if "VARIABLES" in line), [])
         super().__init__(spark, path, names, [n for n in ("x", "y") if n in names], [n for n in ("isValid",) if n in names])
 
+    def time_of(self, path: Column) -> Column:
+        name = F.element_at(F.split(path, "/"), -1)
+        return F.substring(name, len(self.prefix) + 1, F.length(name) - len(self.prefix) - len(self.suffix))
+
     def files(self) -> dict[str, str]:
         found = {p.name[len(self.prefix) : len(p.name) - len(self.suffix)]: str(p) for p in Path(self.path).glob(f"{self.prefix}*{self.suffix}")}
         return {t: f for t, f in found.items() if numeric(t)}
@@ -108,5 +115,8 @@ class SurfaceSource(_Delimited):
         areas = [n for n in ("area_x", "area_y", "area_z") if n in names]
         super().__init__(spark, path, names, [n for n in ("x", "y", "z") if n in names], areas)
 
+    def time_of(self, path: Column) -> Column:
+        return F.element_at(F.split(path, "/"), -2)
+
     def files(self) -> dict[str, str]:
         return {p.parent.name: str(p) for p in Path(self.path).glob(f"*/{self.file_name}") if numeric(p.parent.name)}

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions.checks import existing_path
 from tidewright.operators import mesh
-from tidewright.sources.base import Source, numeric
+from tidewright.sources.base import Source, local_path, numeric
 
 #: Numbers per point of the field classes, and the files of a mesh.
 COMPONENTS = {"volScalarField": 1, "volVectorField": 3, "volSymmTensorField": 6, "volTensorField": 9}
@@ -132,23 +132,22 @@ class FoamSource(Source):
         return self.case.field_names
 
     def snapshots(self, fields: list[str], times: list[str]) -> DataFrame:
-        files = {}
-        start = np.concatenate([[0], np.cumsum(self.cells)]).tolist()
-        for f in fields:
-            for t in times:
-                for p in range(self.case.processors):
-                    files[Path(self.case.file(f, t, p)).resolve().as_posix()] = (t, f, self.cells[p], int(start[p]))
-        listed = self.spark.sparkContext.broadcast(files)
+        cells, start = self.cells, np.concatenate([[0], np.cumsum(self.cells)]).tolist()
+        # A file's place in the case says what it holds; only the cells per processor are sent.
+        number = {int(Path(r).name[9:]): p for p, r in enumerate(self.case.roots)} if self.case.distributed else None
+        files = [self.case.file(f, t, p) for f in fields for t in times for p in range(self.case.processors)]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for path, content in zip(b["path"], b["content"], strict=True):
-                    t, f, n, first = listed.value["/" + path.split(":", 1)[-1].lstrip("/")]
-                    v = parse_field(bytes(content), n)
+                    *_, root, t, f = local_path(path).split("/")
+                    p = 0 if number is None else number[int(root[9:])]
+                    first = int(start[p])
+                    v = parse_field(bytes(content), cells[p])
                     k, c = v.shape
                     yield pd.DataFrame({"time": t, "field": f, "point_id": np.repeat(np.arange(k) + first, c), "comp": np.tile(np.arange(c), k), "value": v.ravel()})
 
-        data = self.spark.read.format("binaryFile").load(list(files)).select("path", "content")
+        data = self.spark.read.format("binaryFile").load(files).select("path", "content")
         return data.mapInPandas(run, "time string, field string, point_id bigint, comp int, value double")
 
     @property

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.sources.base import Source, numeric
+from tidewright.sources.base import Source, local_path, numeric
 
 
 def parse_pgm(data: bytes) -> np.ndarray:
@@ -95,14 +95,16 @@ class ImageSource(Source):
         """time, point_id, i, j, value; the times may also be given as the first argument."""
         times = field_name if time is None else time
         times = [times] if isinstance(times, str) else list(times)
-        files = {Path(self.files()[t]).resolve().as_posix(): t for t in times}
-        sent = self.spark.sparkContext.broadcast(files)
+        known = self.files()
+        files = [known[t] for t in times]
+        before, after = len(self.prefix), len(self.suffix)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for path, content in zip(b["path"], b["content"], strict=True):
                     v = parse_image(bytes(content))
                     i, j = np.indices(v.shape)
-                    yield pd.DataFrame({"time": sent.value["/" + path.split(":", 1)[-1].lstrip("/")], "point_id": np.arange(v.size), "i": i.ravel(), "j": j.ravel(), "value": v.ravel()})
+                    name = local_path(path).rsplit("/", 1)[-1]
+                    yield pd.DataFrame({"time": name[before : len(name) - after], "point_id": np.arange(v.size), "i": i.ravel(), "j": j.ravel(), "value": v.ravel()})
 
-        return self.spark.read.format("binaryFile").load(list(files)).select("path", "content").mapInPandas(run, "time string, point_id bigint, i int, j int, value double")
+        return self.spark.read.format("binaryFile").load(files).select("path", "content").mapInPandas(run, "time string, point_id bigint, i int, j int, value double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+import re
 from pathlib import Path
 
 import numpy as np
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.sources.base import Source
+from tidewright.sources.base import Source, local_path
 from tidewright.sources.netcdf import NetCdf
 
 #: Entries of the parameter file and names in the grid files.
@@ -92,13 +93,16 @@ class _Tau(Source):
     def _open(self, path: str | Path) -> NetCdf:
         return NetCdf(Path(path).read_bytes())
 
-    def _scan(self, files: dict[str, tuple], fn, kind: str) -> DataFrame:
-        sent = self.spark.sparkContext.broadcast({Path(f).resolve().as_posix(): v for f, v in files.items()})
+    def _scan(self, files: list[str], fn, kind: str) -> DataFrame:
+        """Rows that ``fn`` makes of each file and of the time and domain that its name spells."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for path, content in zip(b["path"], b["content"], strict=True):
-                    yield from fn(NetCdf(bytes(content)), *sent.value["/" + path.split(":", 1)[-1].lstrip("/").replace("%3D", "=")])
+                    name = local_path(path).rsplit("/", 1)[-1]
+                    domain = re.search(r"[._]domain_(\d+)", name)
+                    time = re.search(r"_t=(.*?)(?:\.domain_\d+)?$", name)
+                    yield from fn(NetCdf(bytes(content)), time and time[1], int(domain[1]) if domain else 0)
 
         # File names hold '=': they are given one by one, not as partition folders.
         return self.spark.read.format("binaryFile").load([str(Path(f).resolve()) for f in files]).select("path", "content").mapInPandas(run, kind)
@@ -140,12 +144,12 @@ class TauSource(_Tau):
     def snapshots(self, fields: list[str], times: list[str]) -> DataFrame:
         first = self._first_ids()
         domains = range(self.config["n_domains"]) if self.distributed else [None]
-        files = {self.file(t, d): (t, first[d or 0], fields) for t in times for d in domains}
+        files = [self.file(t, d) for t in times for d in domains]
 
-        def fn(d: NetCdf, t: str, start: int, names: list[str]):
-            for f in names:
+        def fn(d: NetCdf, t: str, domain: int):
+            for f in fields:
                 v = d[f].astype(np.float64)
-                yield pd.DataFrame({"time": t, "field": f, "point_id": np.arange(len(v)) + start, "comp": 0, "value": v})
+                yield pd.DataFrame({"time": t, "field": f, "point_id": np.arange(len(v)) + first[domain], "comp": 0, "value": v})
 
         return self._scan(files, fn, "time string, field string, point_id bigint, comp int, value double")
 
@@ -153,11 +157,11 @@ class TauSource(_Tau):
     def vertices(self) -> DataFrame:
         first, points = self._first_ids(), self._points
 
-        def fn(g: NetCdf, start: int):
+        def fn(g: NetCdf, _time: str | None, domain: int):
             p = points(g).astype(np.float64)
-            yield pd.DataFrame({"point_id": np.arange(len(p)) + start, "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
+            yield pd.DataFrame({"point_id": np.arange(len(p)) + first[domain], "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
 
-        return self._scan({f: (first[k],) for k, f in enumerate(self._grid_files())}, fn, "point_id bigint, x double, y double, z double")
+        return self._scan(self._grid_files(), fn, "point_id bigint, x double, y double, z double")
 
     @property
     def weights(self) -> DataFrame:
@@ -177,7 +181,7 @@ class TauSurfaceSource(_Tau):
     def elements(self) -> DataFrame:
         """marker and point of every corner of every surface element, triangles first."""
 
-        def fn(g: NetCdf):
+        def fn(g: NetCdf, _time: str | None, _domain: int):
             marker = g[MARKERS]
             start = 0
             for key in (TRIANGLES, QUADS):
@@ -189,7 +193,7 @@ class TauSurfaceSource(_Tau):
             if not start:
                 raise ValueError("the grid has no surface elements")
 
-        return self._scan({str(Path(self.para.path) / self.config["primary_grid"]): ()}, fn, "marker int, point_id bigint")
+        return self._scan([str(Path(self.para.path) / self.config["primary_grid"])], fn, "marker int, point_id bigint")
 
     @property
     def zone_names(self) -> list[str]:
@@ -211,23 +215,23 @@ class TauSurfaceSource(_Tau):
         return out
 
     def snapshots(self, fields: list[str], times: list[str], zone: str | None = None) -> DataFrame:
-        def fn(d: NetCdf, t: str, names: list[str]):
+        def fn(d: NetCdf, t: str, _domain: int):
             ids = d["global_id"].astype(np.int64)
-            for f in names:
+            for f in fields:
                 yield pd.DataFrame({"time": t, "field": f, "point_id": ids, "comp": 0, "value": d[f].astype(np.float64)})
 
-        x = self._scan({self.file(t): (t, fields) for t in times}, fn, "time string, field string, point_id bigint, comp int, value double")
+        x = self._scan([self.file(t) for t in times], fn, "time string, field string, point_id bigint, comp int, value double")
         return x if zone is None else x.join(self.zone_ids().where(F.col("zone") == zone).select("point_id"), "point_id", "left_semi")
 
     @property
     def vertices(self) -> DataFrame:
         """zone, point_id, x, y, z."""
 
-        def fn(g: NetCdf):
+        def fn(g: NetCdf, _time: str | None, _domain: int):
             p = np.stack([g[c] for c in COORDINATES], axis=1).astype(np.float64)
             yield pd.DataFrame({"point_id": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
 
-        points = self._scan({str(Path(self.para.path) / self.config["primary_grid"]): ()}, fn, "point_id bigint, x double, y double, z double")
+        points = self._scan([str(Path(self.para.path) / self.config["primary_grid"])], fn, "point_id bigint, x double, y double, z double")
         return self.zone_ids().join(points, "point_id")
 
     @property

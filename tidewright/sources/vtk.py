@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.sources.base import Source, numeric
+from tidewright.sources.base import Source, local_path, numeric
 
 #: Number types of the two formats.
 LEGACY = {"float": ">f4", "double": ">f8", "int": ">i4", "long": ">i8", "vtktypeint64": ">i8", "unsigned_char": ">u1", "short": ">i2"}
@@ -162,19 +162,21 @@ class VtkSource(Source):
         return {self.write_times[0]: list(self._first()[1])}
 
     def snapshots(self, fields: list[str], times: list[str]) -> DataFrame:
-        files = {Path(f).resolve().as_posix(): t for t, f in self.files().items() if t in times}
-        sent, reader = self.spark.sparkContext.broadcast(files), self.reader
+        files = [f for t, f in self.files().items() if t in times]
+        reader, before, after = self.reader, len(self.prefix), len(self.suffix)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for path, content in zip(b["path"], b["content"], strict=True):
-                    name = "/" + path.split(":", 1)[-1].lstrip("/")
+                    name = local_path(path)
+                    base = name.rsplit("/", 1)[-1]
+                    time = base[before : len(base) - after]
                     _, data = reader(name, bytes(content))
                     for f in fields:
                         k, c = data[f].shape
-                        yield pd.DataFrame({"time": sent.value[name], "field": f, "point_id": np.repeat(np.arange(k), c), "comp": np.tile(np.arange(c), k), "value": data[f].ravel()})
+                        yield pd.DataFrame({"time": time, "field": f, "point_id": np.repeat(np.arange(k), c), "comp": np.tile(np.arange(c), k), "value": data[f].ravel()})
 
-        return self.spark.read.format("binaryFile").load(list(files)).select("path", "content").mapInPandas(run, "time string, field string, point_id bigint, comp int, value double")
+        return self.spark.read.format("binaryFile").load(files).select("path", "content").mapInPandas(run, "time string, field string, point_id bigint, comp int, value double")
 
     @property
     def vertices(self) -> DataFrame:
