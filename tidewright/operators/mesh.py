@@ -122,6 +122,12 @@ def knn_weights(points: DataFrame, key: str, columns: list[str], volume: float,
     return w if not normalize else w.select(key, (F.sqrt("w") / F.sqrt(F.lit(float(volume)) * F.lit(most) / F.lit(total))).alias("w"))
 
 
+def max_normalized(rows: DataFrame, key: str, weight: str) -> DataFrame:
+    """``rows`` with ``w``: the weight divided by the largest of its key (null keys are one)."""
+    most = rows.groupBy(F.col(key).alias("_key")).agg(F.max(weight).alias("_most"))
+    return rows.join(most, F.col(key).eqNullSafe(F.col("_key"))).withColumn("w", F.col(weight) / F.col("_most")).drop("_key", "_most")
+
+
 def hull_size(points: DataFrame, columns: list[str]) -> float:
     """Length, area or volume of the points' convex hull over the coordinates that vary.
 

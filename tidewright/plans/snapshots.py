@@ -70,33 +70,29 @@ def series_shape(spark, sf):
     return files.groupBy("case_id", "processor", "field_name").agg(F.min(n).cast("bigint").alias("least"), F.max(n).cast("bigint").alias("most"))
 
 
-def _points(spark, sf):
-    return once(table(spark, sf, "mesh_vertices"), "point_id")
+def _points(spark, sf, where=None):
+    """Points once each. Repeats hold equal values, so a condition comes first and reaches the scan."""
+    x = table(spark, sf, "mesh_vertices").select("point_id", "loader", "x", "y", "z")
+    return once(x if where is None else x.where(where), "point_id")
 
 
 def mask_box(spark, sf):
-    return _points(spark, sf).where(select.mask_box(["x", "y", "z"], [1.0, 1.0, 1.0], [4.0, 5.0, 6.0])).select("point_id")
+    return _points(spark, sf, select.mask_box(["x", "y", "z"], [1.0, 1.0, 1.0], [4.0, 5.0, 6.0])).select("point_id")
 
 
 def mask_sphere(spark, sf):
-    return _points(spark, sf).where(select.mask_sphere(["x", "y", "z"], [3.0, 3.0, 3.0], 2.0)).select("point_id")
+    return _points(spark, sf, select.mask_sphere(["x", "y", "z"], [3.0, 3.0, 3.0], 2.0)).select("point_id")
 
 
 def time_window_select(spark, sf):
-    x = once(table(spark, sf, "solution_times"), "reading_id")
-    return select.time_range(x, "write_time", 0.05, 0.5).select("reading_id", "series_id", "write_time")
+    x = table(spark, sf, "solution_times").select("reading_id", "series_id", "write_time")
+    return once(select.time_range(x, "write_time", 0.05, 0.5), "reading_id")
 
 
 def zone_select(spark, sf):
     """Samples of one mask of one zone, by time index."""
-    x = once(table(spark, sf, "mask_samples"), "sample_id")
-    return x.where((F.col("zone_name") == "Zone0000") & (F.col("mask_name") == "Mask1")).select("sample_id", "source_id", "t_idx", "weight")
-
-
-def time_to_index(spark, sf):
-    """Index of a write time at 50 samples per unit, rounded half to even."""
-    x = once(table(spark, sf, "mask_samples"), "sample_id")
-    return x.where("loader = 'psp'").select("sample_id", F.rint(F.col("write_time").try_cast("double") * 50).cast("bigint").alias("k"))
+    x = table(spark, sf, "mask_samples").where((F.col("zone_name") == "Zone0000") & (F.col("mask_name") == "Mask1"))
+    return once(x.select("sample_id", "source_id", "t_idx", "weight"), "sample_id")
 
 
 def temporal_mean_std(spark, sf):
@@ -396,21 +392,9 @@ def knn_weights(spark, sf):
 
 
 def max_normalized_weights(spark, sf):
-    """Weights divided by the largest of their case."""
-    x = once(table(spark, sf, "mask_samples"), "sample_id").where("weight is not null and not isnan(weight) and weight between 0 and 1")
-    return x.select("sample_id", r6(F.col("weight") / F.max("weight").over(W.partitionBy("case_id"))).alias("w"))
-
-
-def s_cube_weights(spark, sf):
-    """Cell area from its refinement level: 2^-d (size0 / 2^level)^d with d = 2 and size0 = 4."""
-    p = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 8).alias("level"))
-    return p.select("p_partkey", (F.pow(F.lit(2.0), -2) * F.pow(F.lit(4.0) / F.pow(F.lit(2.0), "level"), 2)).alias("w"))
-
-
-def image_scale(spark, sf):
-    """Grey values of 16 bits to [0, 1]."""
-    p = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") * 7919 % 65536).alias("g"))
-    return p.select("p_partkey", r6(F.col("g") / 65535.0).alias("grey"))
+    """Weights divided by the largest of their case: an aggregation joined back, so no task orders a case."""
+    x = table(spark, sf, "mask_samples").where("weight is not null and not isnan(weight) and weight between 0 and 1")
+    return mesh.max_normalized(once(x.select("sample_id", "case_id", "weight"), "sample_id"), "case_id", "weight").select("sample_id", r6("w").alias("w"))
 
 
 def foam_surface_weights(spark, sf):
@@ -428,7 +412,7 @@ def davis_header(spark, sf):
     """Column names of the VARIABLES lines."""
     from tidewright.sources.csvs import davis_columns
 
-    x = once(table(spark, sf, "csv_lines"), "line_id").where(F.col("raw_line").startswith("VARIABLES"))
+    x = once(table(spark, sf, "csv_lines").where(F.col("raw_line").startswith("VARIABLES")).select("line_id", "raw_line"), "line_id")
     return x.select("line_id", F.concat_ws(",", davis_columns(F.col("raw_line"))).alias("names"))
 
 
@@ -436,19 +420,20 @@ def foam_header(spark, sf):
     """Column names of the second comment line of surface files."""
     from tidewright.sources.csvs import surface_columns
 
-    x = once(table(spark, sf, "csv_lines"), "line_id").where(F.col("raw_line").startswith("#") & (F.col("line_no") == 1) & F.col("dialect_id").isin(2, 3))
+    x = table(spark, sf, "csv_lines").where(F.col("raw_line").startswith("#") & (F.col("line_no") == 1) & F.col("dialect_id").isin(2, 3))
+    x = once(x.select("line_id", "raw_line"), "line_id")
     return x.select("line_id", F.concat_ws(",", surface_columns(F.col("raw_line"))).alias("names"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        snapshot_series, catalog_times, catalog_fields, series_shape, mask_box, mask_sphere, time_window_select, zone_select, time_to_index, temporal_mean_std, strided_grid, iqr_outliers, shift_pairs,
+        snapshot_series, catalog_times, catalog_fields, series_shape, mask_box, mask_sphere, time_window_select, zone_select, temporal_mean_std, strided_grid, iqr_outliers, shift_pairs,
         delay_embedding, sequence_pairs, trajectory_split, run_dedupe, transitions_o1, transitions_o2, gram_matrix, gram_lagged, gram_rows, svd_energy, svd_spectrum, svd_optimal_rank, svd_reconstruct,
         svd_left_gram, pod_round_trip, dft_amplitude, dft_hann_amplitude, dft_top_modes, dft_reconstruct, dft_mode_norms, pdft_reconstruct, amps_fixed_tapers, amps_adaptive, spod_spectrum, spod_fixed_trace,
         spod_top_modes, pamspod_spectrum, log_segment_top, dmd_spectrum, dmd_optimal_amplitudes, dmd_unitary_moduli, dmd_tlsq, dmd_forward_backward, dmd_ensemble, dmd_reconstruct, dmd_top_modes,
         hodmd_spectrum, mssa_reconstruct, mssa_denoised, pmssa_reconstruct, antidiagonal_mean, optdmd_training, linear_model, linear_control_model, kmeans_transitions, cnm_prediction, mesh_face_geometry,
-        mesh_cell_geometry, mesh_topology, knn_weights, max_normalized_weights, s_cube_weights, image_scale, foam_surface_weights, davis_header, foam_header,
+        mesh_cell_geometry, mesh_topology, knn_weights, max_normalized_weights, foam_surface_weights, davis_header, foam_header,
     )
 }
 
@@ -490,7 +475,6 @@ SELECT case_id, processor, field_name, min(n) AS least, max(n) AS most FROM n GR
     "mask_sphere": f"WITH {_P} SELECT point_id FROM p WHERE sqrt((x-3)*(x-3) + (y-3)*(y-3) + (z-3)*(z-3)) <= 2",
     "time_window_select": "SELECT reading_id, any_value(series_id) AS series_id, any_value(write_time) AS write_time FROM solution_times WHERE try_cast(write_time AS DOUBLE) >= 0.05 AND try_cast(write_time AS DOUBLE) < 0.5 GROUP BY reading_id",
     "zone_select": "SELECT sample_id, any_value(source_id) AS source_id, any_value(t_idx) AS t_idx, any_value(weight) AS weight FROM mask_samples WHERE zone_name = 'Zone0000' AND mask_name = 'Mask1' GROUP BY sample_id",
-    "time_to_index": "SELECT sample_id, CAST(round_even(any_value(try_cast(write_time AS DOUBLE)) * 50, 0) AS BIGINT) AS k FROM mask_samples WHERE loader = 'psp' GROUP BY sample_id",
     "temporal_mean_std": f"WITH {_L} SELECT row_id, {_X.format('avg(value)')} AS mean, {_X.format('stddev_samp(value)')} AS std FROM L GROUP BY row_id",
     "strided_grid": f"WITH {_L} SELECT * FROM L WHERE row_id % 5 = 0 AND k % 5 = 0",
     "iqr_outliers": f"""WITH {_L},
@@ -554,8 +538,6 @@ m AS (SELECT point_id, pow(avg(d), 3) AS m FROM r WHERE rn <= 4 GROUP BY point_i
 SELECT point_id, {_X.format("sqrt(w) / max(sqrt(w)) OVER ()")} AS w FROM w""",
     "max_normalized_weights": f"""WITH s AS (SELECT sample_id, any_value(case_id) AS case_id, any_value(weight) AS weight FROM mask_samples WHERE weight IS NOT NULL AND NOT isnan(weight) AND weight BETWEEN 0 AND 1 GROUP BY sample_id)
 SELECT sample_id, {_X.format("weight / max(weight) OVER (PARTITION BY case_id)")} AS w FROM s""",
-    "s_cube_weights": "SELECT p_partkey, CAST(0.25 * pow(4 / pow(2, p_size % 8), 2) AS DOUBLE) AS w FROM part",
-    "image_scale": f"SELECT p_partkey, {_X.format('(p_partkey * 7919 % 65536) / 65535')} AS grey FROM part",
     "davis_header": "SELECT line_id, array_to_string(regexp_extract_all(any_value(raw_line), '\"([^\"]*)\"', 1), ',') AS names FROM csv_lines WHERE raw_line LIKE 'VARIABLES%' GROUP BY line_id",
     "foam_header": "SELECT line_id, array_to_string(list_filter(string_split(replace(any_value(raw_line), '#', ''), ' '), lambda x: x <> ''), ',') AS names FROM csv_lines WHERE raw_line LIKE '#%' AND line_no = 1 AND dialect_id IN (2, 3) GROUP BY line_id",
 }

@@ -23,6 +23,8 @@ from tidewright.sources.base import Source
 from tidewright.sources.foam import COMPONENTS, FoamSource, header
 
 CONSTANTS = ("centers", "volumes", "vertices", "connectivity")
+#: Points of a field in one file of the store.
+FILE = 10_000_000
 #: XDMF attribute types by number of components.
 ATTRIBUTE = {1: "Scalar", 3: "Vector", 6: "Tensor6", 9: "Tensor"}
 
@@ -36,7 +38,7 @@ class Store(Source):
 
     def write(self, snapshots: DataFrame) -> None:
         """Write rows (time, field, point_id, comp, value); only the times and fields among them are replaced."""
-        rows = snapshots.select("time", "field", "point_id", "comp", "value")
+        rows = snapshots.select("time", "field", "point_id", "comp", "value").repartition("time", "field", F.floor(F.col("point_id") / FILE))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("time", "field").parquet(f"{self.path}/variable")
 
     def write_constant(self, name: str, rows: DataFrame) -> None:
@@ -167,13 +169,22 @@ def foam_to_store(source: FoamSource, path: str, fields: list[str] | None = None
     store.write_constant("volumes", cells.select("point_id", F.col("volume").alias("w")))
     store.write_constant("vertices", source.mesh.points())
     store.write_constant("connectivity", source.mesh.topology())
+    # Times with the same fields are written together.
+    alike: dict[tuple[str, ...], list[str]] = {}
+    names = source.field_names
     for t in [t for t in source.write_times if times is None or t in times]:
-        known = [f for f in source.field_names[t] if (fields is None or f in fields) and header(Path(source.case.file(f, t)).read_bytes()[:8192]).get("class") in COMPONENTS]
+        alike.setdefault(tuple(f for f in names[t] if (fields is None or f in fields) and _kind(source.case.file(f, t)) in COMPONENTS), []).append(t)
+    for known, own in alike.items():
         if known:
-            store.write(source.snapshots(known, [t]))
+            store.write(source.snapshots(list(known), own))
     return store
 
 
+def _kind(path: str) -> str | None:
+    with open(path, "rb") as f:
+        return header(f.read(8192)).get("class")
+
+
 def copy_mesh(spark: SparkSession, source: str, target: str) -> Store:
     """A new store with only the constants of another."""
     a, b = Store(spark, source), Store(spark, target)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.operators.select import temporal
@@ -23,6 +23,11 @@ def _h5py():
     return h5py
 
 
+def time_index(time: Column, frequency: float) -> Column:
+    """The image of a write time, rounded half to even; null where the text is no number."""
+    return F.rint(time.try_cast("double") * frequency).cast("bigint")
+
+
 class PspSource(Source):
     """Tables below ``path``: ``zones`` (zone, key, value, description), ``images`` (zone, t_idx, i, j, cp),
     ``coordinates`` (zone, i, j, x, y, z), ``masks`` (zone, mask, i, j, w). Zone and mask are arguments."""
@@ -103,11 +108,11 @@ class PspSource(Source):
         """Mean and sample standard deviation over time per pixel."""
         return temporal(self.images(zone, times, mask), ["i", "j"], "cp")
 
-    def aspect_ratio(self, zone: str) -> dict[str, float]:
-        """Extent along each axis relative to x."""
+    def aspect_ratio(self, zone: str) -> dict[str, float | None]:
+        """Extent along each axis relative to x; None where the zone has no extent along x."""
         c = self._table("coordinates").where(F.col("zone") == zone)
         r = c.agg(*((F.max(k) - F.min(k)).alias(k) for k in "xyz")).first()
-        return {k: r[k] / r["x"] for k in "xyz"}
+        return {k: r[k] / r["x"] if r["x"] else None for k in "xyz"}
 
     @property
     def vertices(self) -> DataFrame:
