@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,24 +114,31 @@ class CNM(ROM):
         int_larger_than(n_clusters, 1, "n_clusters")
         int_larger_than(model_order, 0, "model_order")
         self.dt, self.n_clusters, self.model_order, self.seed = dt, n_clusters, model_order, seed
-        rows = spark.createDataFrame([(i, [float(v) for v in col]) for i, col in enumerate(reduced.T)], "t_idx int, z array<double>")
-        fitted = KMeans(k=n_clusters, seed=seed, featuresCol="v", predictionCol="label").fit(rows.withColumn("v", array_to_vector("z")))
-        self.cluster_centers = np.array(fitted.clusterCenters())
-        labels = fitted.transform(rows.withColumn("v", array_to_vector("z"))).select("t_idx", "label")
+        # A reduced trajectory is a small array (one state per column of the data matrix), so nothing is distributed here.
+        self.spark = spark
+        self.cluster_centers, labels = dense.kmeans(np.ascontiguousarray(self.reduced.T, np.float64), n_clusters, seed)
         self.set_labels(labels)
 
-    def set_labels(self, labels: DataFrame) -> None:
-        """Take (t_idx, label) as the cluster sequence."""
+    def set_labels(self, labels: DataFrame | np.ndarray) -> None:
+        """Take the cluster sequence: labels in order of time, or a table (t_idx, label), whose tables are made by the cluster."""
+        if isinstance(labels, DataFrame):
+            self.sequence = without_repeats([r["label"] for r in labels.select("t_idx", "label").orderBy("t_idx").collect()])
+            self._ordered()
+            rows = transitions(labels.withColumn("_one", F.lit(0)), ["_one"], ["t_idx"], "label", self.model_order, self.dt).collect()
+            self.Q: dict[tuple, dict[int, float]] = {}
+            self.T: dict[tuple, float] = {}
+            for r in sorted(rows, key=lambda r: (list(r["history"]), r["next"])):
+                self.Q.setdefault(tuple(r["history"]), {})[r["next"]] = r["p"]
+                self.T[(*r["history"], r["next"])] = r["dt"]
+        else:
+            self.sequence = without_repeats([int(v) for v in labels])
+            self._ordered()
+            self.Q, self.T = dense.transition_tables(labels, self.model_order, self.dt)
         self.labels = labels
-        self.sequence = without_repeats([r["label"] for r in labels.orderBy("t_idx").collect()])
+
+    def _ordered(self) -> None:
         if self.model_order >= len(self.sequence):
             raise ValueError("the model order must be smaller than the number of visited clusters")
-        rows = transitions(labels.withColumn("_one", F.lit(0)), ["_one"], ["t_idx"], "label", self.model_order, self.dt).collect()
-        self.Q: dict[tuple, dict[int, float]] = {}
-        self.T: dict[tuple, float] = {}
-        for r in sorted(rows, key=lambda r: (list(r["history"]), r["next"])):
-            self.Q.setdefault(tuple(r["history"]), {})[r["next"]] = r["p"]
-            self.T[(*r["history"], r["next"])] = r["dt"]
 
     def closest_cluster(self, label: int) -> int:
         """The cluster whose centre is nearest to that of ``label``."""

@@ -15,10 +15,6 @@ from tidewright.operators.dmd import DMD, HODMD
 from tidewright.operators.linalg import SVD, Matrix, minus
 
 
-def rmse(label: np.ndarray, prediction: np.ndarray) -> float:
-    return float(np.linalg.norm(label - prediction) / np.sqrt(label.size))
-
-
 class OptDMD:
     """DMD whose eigenvalues and scaled modes minimise the reconstruction error (AdamW)."""
 
@@ -43,7 +39,9 @@ class OptDMD:
 
     def _coordinates(self) -> None:
         s, v = dense.gram_factors(self.x.gram())
-        keep = s > s[0] * 1e-9 if s[0] > 0 else s >= 0
+        # What a Gram matrix leaves below 1e-7 of the largest value is noise. The loss counts the rows of the data.
+        keep = (s > s[0] * 1e-7 if s[0] > 0 else s >= 0) & (np.arange(len(s)) < self.x.rows)
+        self.height = self.x.rows
         self.z = s[keep][:, None] * v[:, keep].conj().T
         self.back = v[:, keep] / np.where(s[keep] > 0, s[keep], 1)
 
@@ -62,8 +60,9 @@ class OptDMD:
     def _gradient(self, t: np.ndarray) -> tuple[float, list[np.ndarray]]:
         """Loss and its gradients with respect to the conjugates of the kept modes and eigenvalues."""
         e = self.forward(t) - self.z[:, t]
-        loss = np.linalg.norm(e) / np.sqrt(e.size)
-        scale = 1 / (max(loss, 1e-300) * e.size)
+        size = self.height * len(t)
+        loss = np.linalg.norm(e) / np.sqrt(size)
+        scale = 1 / (max(loss, 1e-300) * size)
         weight = np.where(self.pair, 2.0, 1.0) if not self.complex else np.ones(len(self.lam))
         p = self.lam[:, None] ** t[None]
         dp = t[None] * self.lam[:, None] ** np.maximum(t - 1, 0)[None]
@@ -71,6 +70,10 @@ class OptDMD:
         g_lam = np.einsum("mk,mt,kt->k", self.phi.conj(), e, dp.conj()) * weight * scale
         return float(loss), [g_phi, g_lam]
 
+    def loss(self, t: np.ndarray) -> float:
+        """Root mean square error over the times ``t`` and all rows of the data."""
+        return float(np.linalg.norm(self.z[:, t] - self.forward(t)) / np.sqrt(self.height * len(t)))
+
     def train(self, epochs: int = 1000, lr: float = 1e-3, batch_size: int | None = None, train_size: float = 0.75, val_size: float = 0.25, scheduler_options: dict | None = None, stopping_options: dict | None = None, loss_key: str = "val_loss", seed: int = 0) -> dict:
         n = self.z.shape[1]
         n_train = max(1, int(n * train_size / (train_size + val_size)))
@@ -89,8 +92,8 @@ class OptDMD:
                 losses.append(loss)
                 opt.step(grads)
             self.log["train_loss"].append(float(np.mean(losses)))
-            self.log["val_loss"].append(rmse(self.z[:, val], self.forward(val)) if len(val) else float("nan"))
-            self.log["full_loss"].append(rmse(self.z, self.forward(np.arange(n))))
+            self.log["val_loss"].append(self.loss(val) if len(val) else float("nan"))
+            self.log["full_loss"].append(self.loss(np.arange(n)))
             self.log["lr"].append(opt.lr)
             key = loss_key if len(val) or loss_key != "val_loss" else "train_loss"
             plateau.step(self.log[key][-1])
@@ -172,6 +175,7 @@ class HOOptDMD(OptDMD):
 
     def _coordinates(self) -> None:
         self.z, self.back = self.dmd_init.h, self.dmd_init.back
+        self.height = len(self.z)
 
     def _start_modes(self) -> np.ndarray:
         return self.dmd_init.delayed_modes

@@ -7,12 +7,12 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.plans import cases, prepared, snapshots
+from tidewright.plans import cases, decompositions, prepared, snapshots
 from tidewright.session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "svd_spectrum"
-MODULES = (snapshots, cases, prepared)
+MODULES = (snapshots, decompositions, cases, prepared)
 
 
 def shipped(own: dict[str, Query]) -> dict[str, Query]:

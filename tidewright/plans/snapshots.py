@@ -171,18 +171,9 @@ def svd_energy(spark, sf):
     return spark.createDataFrame([(round(float((s.s_full**2).sum()), 3) + 0.0, s.x.rows, s.x.n)], "energy double, n_rows bigint, n_cols bigint")
 
 
-def svd_spectrum(spark, sf):
-    return SVD(lineitem_matrix(spark, sf), rank=20).spectrum()
-
-
-def svd_optimal_rank(spark, sf):
-    s = SVD(lineitem_matrix(spark, sf))
-    return spark.createDataFrame([(s.opt_rank, s.rank, s.required_memory)], "opt_rank int, rank int, bytes bigint")
-
-
 def svd_reconstruct(spark, sf):
     """At full rank: the data."""
-    return _rounded(SVD(lineitem_matrix(spark, sf), rank=10**6).reconstruct())
+    return rounded_long(SVD(lineitem_matrix(spark, sf), rank=10**6).reconstruct())
 
 
 def svd_left_gram(spark, sf):
@@ -196,10 +187,10 @@ def pod_round_trip(spark, sf):
     x = event_matrix(spark, sf)
     e = rom.SVDEncoder(rank=5)
     e.train(x)
-    return _rounded(e.decode(e.encode(x)))
+    return rounded_long(e.decode(e.encode(x)))
 
 
-def _rounded(m: Matrix) -> DataFrame:
+def rounded_long(m: Matrix) -> DataFrame:
     return m.long().withColumn("value", r6("value"))
 
 
@@ -219,7 +210,7 @@ def dft_top_modes(spark, sf):
 
 
 def dft_reconstruct(spark, sf):
-    return _rounded(spectral.DFT(event_matrix(spark, sf), 1.0, window="hamming").reconstruction)
+    return rounded_long(spectral.DFT(event_matrix(spark, sf), 1.0, window="hamming").reconstruction)
 
 
 def dft_mode_norms(spark, sf):
@@ -229,7 +220,7 @@ def dft_mode_norms(spark, sf):
 
 
 def pdft_reconstruct(spark, sf):
-    return _rounded(spectral.PDFT(event_matrix(spark, sf), 1.0, rank=5).reconstruction)
+    return rounded_long(spectral.PDFT(event_matrix(spark, sf), 1.0, rank=5).reconstruction)
 
 
 def amps_fixed_tapers(spark, sf):
@@ -237,14 +228,6 @@ def amps_fixed_tapers(spark, sf):
     return a.select(F.col("bin").cast("bigint").alias("bin"), r6("power").alias("power"))
 
 
-def amps_adaptive(spark, sf):
-    return spectral.multitaper_power(event_matrix(spark, sf).df, 1.0, max_tapers=10, tolerance=1e-2)
-
-
-def spod_spectrum(spark, sf):
-    return spectral.AMSPOD(lineitem_matrix(spark, sf), 1.0, max_tapers=6, tolerance=1e-2).spectrum()
-
-
 def spod_fixed_trace(spark, sf):
     """Sum of the eigenvalues per bin with two tapers: the tapered power summed over the points."""
     s = spectral.AMSPOD(event_matrix(spark, sf), 1.0, adaptive=False, max_tapers=2, keep_n_modes=2)
@@ -252,74 +235,21 @@ def spod_fixed_trace(spark, sf):
     return spark.createDataFrame([(k, round(float(v), 6) + 0.0) for k, v in enumerate(t)], "bin bigint, total double")
 
 
-def spod_top_modes(spark, sf):
-    s = spectral.AMSPOD(lineitem_matrix(spark, sf), 1.0, adaptive=False, max_tapers=4)
-    return spark.createDataFrame([(i, int(k)) for i, k in enumerate(s.top_modes(5))], "segment int, bin int")
-
-
-def pamspod_spectrum(spark, sf):
-    return spectral.PAMSPOD(lineitem_matrix(spark, sf), 1.0, rank=12, adaptive=False, max_tapers=4).spectrum()
-
-
 def log_segment_top(spark, sf):
     f = np.array([0.0, 1, 2, 5, 10, 20])
     s = np.array([9.0, 1, 4, 3, 2, 6])
     return spark.createDataFrame([(i, int(k)) for i, k in enumerate(dense.log_segment_top(f, s, 2))], "segment bigint, idx bigint")
 
 
-def dmd_spectrum(spark, sf):
-    return DMD(lineitem_matrix(spark, sf), 1.0, rank=10).spectrum()
-
-
-def dmd_optimal_amplitudes(spark, sf):
-    return DMD(lineitem_matrix(spark, sf), 1.0, rank=10, optimal=True).spectrum()
-
-
 def dmd_unitary_moduli(spark, sf):
     """A unitary operator's eigenvalues have modulus 1."""
     d = DMD(lineitem_matrix(spark, sf), 1.0, rank=6, unitary=True)
     return spark.createDataFrame([(k, round(float(abs(v)), 6)) for k, v in enumerate(d.eigvals)], "k bigint, modulus double")
 
 
-def dmd_tlsq(spark, sf):
-    return DMD(lineitem_matrix(spark, sf), 1.0, rank=10, tlsq=True).spectrum()
-
-
-def dmd_forward_backward(spark, sf):
-    return DMD(lineitem_matrix(spark, sf), 1.0, rank=4, forward_backward={"steps": 200}).spectrum()
-
-
-def dmd_ensemble(spark, sf):
-    x = lineitem_matrix(spark, sf)
-    a = Matrix(x.df.select("row_id", F.slice("re", 1, 40).alias("re")), 40)
-    b = Matrix(x.df.select("row_id", F.slice("re", 41, x.n - 40).alias("re")), x.n - 40)
-    return DMD([a, b], 1.0, rank=8).spectrum()
-
-
-def dmd_reconstruct(spark, sf):
-    return DMD(lineitem_matrix(spark, sf), 1.0, rank=10).reconstruction.long()
-
-
-def dmd_top_modes(spark, sf):
-    d = DMD(lineitem_matrix(spark, sf), 1.0, rank=10)
-    return spark.createDataFrame([(i, int(k)) for i, k in enumerate(d.top_modes(4, integral=True, f_min=0.0))], "place int, k int")
-
-
-def hodmd_spectrum(spark, sf):
-    return HODMD(lineitem_matrix(spark, sf), 1.0, delay=10, rank_dr=6, rank=12).spectrum()
-
-
 def mssa_reconstruct(spark, sf):
     """At full rank: the data."""
-    return _rounded(MSSA(event_matrix(spark, sf), 10, rank=10).reconstruction)
-
-
-def mssa_denoised(spark, sf):
-    return MSSA(event_matrix(spark, sf), 10, rank=3).reconstruction.long()
-
-
-def pmssa_reconstruct(spark, sf):
-    return PMSSA(event_matrix(spark, sf), 10, rank=4).reconstruction.long()
+    return rounded_long(MSSA(event_matrix(spark, sf), 10, rank=10).reconstruction)
 
 
 def antidiagonal_mean(spark, sf):
@@ -328,44 +258,6 @@ def antidiagonal_mean(spark, sf):
     return h.groupBy("row_id", (F.col("k") + F.col("lag")).alias("t")).agg(r6(F.avg("value")).alias("value"), F.count("*").alias("n"))
 
 
-def optdmd_training(spark, sf):
-    m = trained.OptDMD(event_matrix(spark, sf), 1.0, rank=4)
-    log = m.train(epochs=60, lr=1e-3)
-    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(log["train_loss"], log["full_loss"], strict=True))], "epoch int, train_loss double, full_loss double")
-
-
-def linear_model(spark, sf):
-    z = SVD(lineitem_matrix(spark, sf), rank=4).coefficients
-    m = trained.LinearModel(z / np.abs(z).max(), 1.0)
-    m.train(epochs=40)
-    return spark.createDataFrame([(k, float(f), float(g)) for k, (f, g) in enumerate(zip(m.frequency, m.growth_rate, strict=True))], "k int, frequency double, growth_rate double")
-
-
-def linear_control_model(spark, sf):
-    x = event_matrix(spark, sf).numpy()
-    m = trained.LinearControlModel(x[:3], x[3:, :-1], 1.0)
-    return _grid_frame(spark, m.projection_error, 9)
-
-
-def kmeans_transitions(spark, sf):
-    """Cluster network model of the POD coefficients of L."""
-    enc = rom.SVDEncoder(rank=4)
-    x = lineitem_matrix(spark, sf)
-    enc.train(x)
-    c = rom.CNM(enc.encode(x), enc, spark, 1.0, n_clusters=4)
-    rows = [(",".join(map(str, h)), k, float(p), float(c.T[(*h, k)])) for h, q in c.Q.items() for k, p in q.items()]
-    return spark.createDataFrame(rows, "history string, next_label int, p double, dt double")
-
-
-def cnm_prediction(spark, sf):
-    enc = rom.SVDEncoder(rank=3)
-    x = event_matrix(spark, sf)
-    enc.train(x)
-    z = enc.encode(x)
-    c = rom.CNM(z, enc, spark, 1.0, n_clusters=4)
-    return enc.decode(c.predict_reduced(z[:, 0], 10.0, 0.5)).long()
-
-
 def mesh_face_geometry(spark, sf):
     m = mesh.box_mesh(spark, 4)
     f = mesh.face_geometry(m["points"], m["faces"])
@@ -429,10 +321,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         snapshot_series, catalog_times, catalog_fields, series_shape, mask_box, mask_sphere, time_window_select, zone_select, temporal_mean_std, strided_grid, iqr_outliers, shift_pairs,
-        delay_embedding, sequence_pairs, trajectory_split, run_dedupe, transitions_o1, transitions_o2, gram_matrix, gram_lagged, gram_rows, svd_energy, svd_spectrum, svd_optimal_rank, svd_reconstruct,
-        svd_left_gram, pod_round_trip, dft_amplitude, dft_hann_amplitude, dft_top_modes, dft_reconstruct, dft_mode_norms, pdft_reconstruct, amps_fixed_tapers, amps_adaptive, spod_spectrum, spod_fixed_trace,
-        spod_top_modes, pamspod_spectrum, log_segment_top, dmd_spectrum, dmd_optimal_amplitudes, dmd_unitary_moduli, dmd_tlsq, dmd_forward_backward, dmd_ensemble, dmd_reconstruct, dmd_top_modes,
-        hodmd_spectrum, mssa_reconstruct, mssa_denoised, pmssa_reconstruct, antidiagonal_mean, optdmd_training, linear_model, linear_control_model, kmeans_transitions, cnm_prediction, mesh_face_geometry,
+        delay_embedding, sequence_pairs, trajectory_split, run_dedupe, transitions_o1, transitions_o2, gram_matrix, gram_lagged, gram_rows, svd_energy, svd_reconstruct,
+        svd_left_gram, pod_round_trip, dft_amplitude, dft_hann_amplitude, dft_top_modes, dft_reconstruct, dft_mode_norms, pdft_reconstruct, amps_fixed_tapers, spod_fixed_trace,
+        log_segment_top, dmd_unitary_moduli, 
+        mssa_reconstruct, antidiagonal_mean, mesh_face_geometry,
         mesh_cell_geometry, mesh_topology, knn_weights, max_normalized_weights, foam_surface_weights, davis_header, foam_header,
     )
 }
