@@ -54,6 +54,37 @@ def test_windows(spark):
         windows.delay_embedding(d, ["id"], "t", "v", 0)
 
 
+def test_windows_in_small_blocks(spark):
+    """Blocks of a few rows give what one block gives."""
+    rng = np.random.default_rng(7)
+    rows = [(None if k == 2 else k, int(t), float(rng.integers(0, 3)) if rng.random() > 0.05 else None) for k in range(3) for t in rng.permutation(60)[: 20 + 15 * k]]
+    d = spark.createDataFrame(rows, "id int, t int, v double")
+    same = lambda f: sorted(map(repr, f(10**6).collect())) == sorted(map(repr, f(4).collect()))
+    assert same(lambda b: windows.shift_pairs(d, ["id"], "t", "v", block=b))
+    assert same(lambda b: windows.delay_embedding(d, ["id"], "t", "v", 3, block=b))
+    assert same(lambda b: windows.sequence_pairs(d, ["id"], "t", "v", 2, 1, block=b))
+    assert same(lambda b: windows.run_dedupe(d, ["id"], ["t"], "v", block=b))
+    assert same(lambda b: windows.transitions(d, ["id"], ["t"], "v", 2, block=b))
+    assert same(lambda b: windows.trajectory_split(d, "id", "t", horizon=2, shift=3, forward_backward=True, block=b))
+    assert same(lambda b: outliers.iqr_outliers(d, "id", "t", "v", nb=2, block=b))
+    with pytest.raises(ValueError):
+        from tidewright.session import with_neighbours
+
+        with_neighbours(d, "t", after=5, block=5)
+
+
+def test_exact_quantiles(spark):
+    from tidewright.operators.quantiles import exact_quantiles
+
+    rng = np.random.default_rng(8)
+    data = {1: rng.normal(size=301), 2: np.round(rng.normal(size=200), 1), None: np.array([3.0]), 4: np.array([-2.0, 0.0, 0.0, 5e-320, 1e300])}
+    rows = [(k, float(v)) for k, x in data.items() for v in x] + [(1, None), (9, None)]
+    got = {r["k"]: [r["q0"], r["q1"], r["q2"]] for r in exact_quantiles(spark.createDataFrame(rows, "k int, v double"), "k", "v", [0.25, 0.5, 0.9]).collect()}
+    assert set(got) == set(data)
+    for k, x in data.items():
+        assert np.allclose(got[k], np.quantile(x, [0.25, 0.5, 0.9]), rtol=1e-12)
+
+
 def test_trajectory_split(spark):
     d = series(spark, range(21))
     part = lambda **k: {r["part"]: r["count"] for r in windows.trajectory_split(d, "id", "t", **k).groupBy("part").count().collect()}

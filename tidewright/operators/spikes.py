@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewright.operators.quantiles import exact_median
 from tidewright.session import cut, once, parts, ranked
 
 SIDE, RUN, FACTOR, SCALE = 10, 8, 8.0, 1.4826
@@ -173,27 +174,6 @@ def deviations(samples: DataFrame, side: int = SIDE, run: int = RUN, block: int
     return x.repartition(parts(x), "source", "block").sortWithinPartitions("source", "block", "pos").mapInPandas(scan(side, run), SCANNED)
 
 
-def exact_median(df: DataFrame, key: str, value: str) -> DataFrame:
-    """The exact median of a non-negative column per key (neither null), of keys of any size.
-
-    Two passes: counts in 64 bins per octave, of which a key has at most some thousand whatever its size,
-    tell the bins of the two middle values; the values of only those bins are then counted and ranked.
-    """
-    bin_ = F.when(F.col(value) > 0, F.floor(F.log2(value) * 64).cast("int")).otherwise(F.lit(-(2**31)))
-    x = df.select(key, F.col(value).alias("_v"), bin_.alias("_b"))
-    counts = x.groupBy(key, "_b").agg(F.count("*").alias("_c"))
-    run = W.partitionBy(key).orderBy("_b")
-    c = counts.withColumn("_end", F.sum("_c").over(run)).withColumn("_n", F.sum("_c").over(W.partitionBy(key)))
-    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
-    start = F.col("_end") - F.col("_c")
-    mid = c.where(((low >= start) & (low < F.col("_end"))) | ((high >= start) & (high < F.col("_end")))).select(key, "_b", start.alias("_start"), low.alias("_low"), high.alias("_high"))
-    v = x.join(mid, [key, "_b"])
-    v = v.groupBy(key, "_b", "_v", "_start", "_low", "_high").agg(F.count("*").alias("_c")).withColumn("_end", F.col("_start") + F.sum("_c").over(W.partitionBy(key, "_b").orderBy("_v")))
-    begin = F.col("_end") - F.col("_c")
-    at = lambda k: F.max(F.when((F.col(k) >= begin) & (F.col(k) < F.col("_end")), F.col("_v")))
-    return v.groupBy(key).agg(at("_low").alias("_l"), at("_high").alias("_h")).select(key, ((F.col("_l") + F.col("_h")) / 2).alias("median"))
-
-
 def readings(samples: DataFrame) -> DataFrame:
     """sample_id, source, t_idx and value of the readings that are not null; repeated rows once."""
     value = F.when(F.col("loader") == "psp", F.col("weight")).when(F.col("loader") == "csv", F.col("isvalid")).otherwise(F.coalesce("weight", "isvalid"))

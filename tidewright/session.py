@@ -137,3 +137,53 @@ def ranked(df: DataFrame, keys: list[str], order: list[str], block: str, name: s
     starts = sizes.select(*keys, block, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     local = F.row_number().over(W.partitionBy(*keys, block).orderBy(*order)) - 1
     return df.withColumn("_local", local).join(starts, [*keys, block]).withColumn(name, F.col("_start") + F.col("_local")).drop("_start", "_local")
+
+
+#: Rows of a stretch, about, where a key's order is cut.
+STRETCH = 1_000_000
+
+
+def stretched(df: DataFrame, order: str, target: int = STRETCH) -> tuple[DataFrame, int]:
+    """``df`` with ``_b``, which grows with ``order`` and cuts all rows into stretches of about ``target`` rows, and how many there are.
+
+    Numbers, dates and times are cut into equal widths between their least and their largest value; a null comes
+    first. Other orders, and small tables, are one stretch.
+    """
+    kind = dict(df.dtypes)[order]
+    number = F.unix_micros(F.col(order).cast("timestamp")) if kind in ("date", "timestamp", "timestamp_ntz") else F.col(order)
+    if kind.split("(")[0] not in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal", "date", "timestamp", "timestamp_ntz"):
+        return df.withColumn("_b", F.lit(0)), 1
+    x = number.cast("double")
+    r = df.agg(F.count("*").alias("n"), F.min(x).alias("a"), F.max(x).alias("b")).first()
+    parts = -(-r["n"] // target)
+    if parts < 2 or r["a"] is None or not r["b"] > r["a"]:
+        return df.withColumn("_b", F.lit(0)), 1
+    at = F.floor((x - F.lit(r["a"])) / F.lit((r["b"] - r["a"]) / parts))
+    return df.withColumn("_b", F.coalesce(F.least(F.greatest(at, F.lit(0)), F.lit(parts - 1)), F.lit(-1)).cast("int")), parts
+
+
+def positions(df: DataFrame, keys: list[str], order: list[str], name: str = "_pos", target: int = STRETCH) -> DataFrame:
+    """``df`` with the 0-based position of each row within ``keys``; null keys are a key of their own.
+
+    No task orders more than a stretch of a key (see :func:`stretched`); ties of the first order column stay together.
+    """
+    from pyspark.sql import Window as W
+
+    x, parts_ = stretched(df, order[0], target)
+    if parts_ == 1:
+        return x.drop("_b").withColumn(name, (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("bigint"))
+    safe = [f"_k{i}" for i in range(len(keys))]
+    x = x.select("*", *(F.struct(k).alias(s) for k, s in zip(keys, safe, strict=True)))  # a struct of a null is no null: keys join
+    return ranked(x, safe, order, "_b", name).drop("_b", *safe).withColumn(name, F.col(name).cast("bigint"))
+
+
+def with_neighbours(df: DataFrame, position: str, before: int = 0, after: int = 0, block: int = STRETCH) -> DataFrame:
+    """``df`` cut into blocks ``_block`` of positions; each block also gets the ``before`` rows before and ``after`` rows
+    after it, with ``_own`` false. Windows over (keys, _block) then see all they need of a key, and no task all of it."""
+    if max(before, after) >= block:
+        raise ValueError("a window must be smaller than a block")
+    b, at = F.floor(F.col(position) / block), F.pmod(F.col(position), F.lit(block))
+    place = lambda c, own: F.struct(c.alias("b"), F.lit(own).alias("own"))
+    places = F.array_compact(F.array(place(b, True), F.when((at < after) & (b > 0), place(b - 1, False)), F.when(at >= block - before, place(b + 1, False)) if before else F.lit(None)))
+    x = df.withColumn("_p", F.explode(places))
+    return x.withColumn("_block", F.col("_p.b")).withColumn("_own", F.col("_p.own")).drop("_p")
