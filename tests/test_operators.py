@@ -274,6 +274,18 @@ def test_amps():
         spectral.AMPS(np.ones((2, 5)), 0.1)
 
 
+def test_tapers_of_many_rows_at_once(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(7, 33)) + np.sin(np.arange(33) / 2)
+    d = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())] + [(9, x[0, :20].tolist())], "row_id bigint, re array<double>")
+    for options in ({"max_tapers": 9, "tolerance": 1e-2}, {"max_tapers": 5, "adaptive": False, "nfft": 40}):
+        got = spectral.multitaper_power(d, 0.1, **options).toPandas()
+        for i, row in [*enumerate(x), (9, x[0, :20])]:
+            a = spectral.AMPS(row, 0.1, **options)
+            own = got[got["row_id"] == i].sort_values("bin")
+            assert np.allclose(own["power"], a.spectral_power) and own["n_tapers"].tolist() == a.n_tapers.tolist() and np.allclose(own["density"], a.spectral_density)
+
+
 def brute_spod(x, w, dt, nfft, k, f):
     """Eigenvalues of the tapered realisations, formed on the rows themselves."""
     xw = (x - x.mean(axis=1, keepdims=True)) * np.sqrt(w)[:, None]

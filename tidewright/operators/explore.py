@@ -7,6 +7,7 @@ aspect ratio. The pixels are thinned before they reach the driver.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 
 from tidewright.operators.select import every as strided
@@ -24,10 +25,16 @@ class Explorer:
 
     @staticmethod
     def _grid(rows: DataFrame, columns: list[str]) -> dict:
-        p = rows.toPandas()
+        return Explorer._laid_out(rows.toPandas(), columns)
+
+    @staticmethod
+    def _laid_out(p: pd.DataFrame, columns: list[str]) -> dict:
         i, j = (np.unique(p[k], return_inverse=True)[1] for k in ("i", "j"))
         out = {}
         for c in columns:
+            if len(p) == 0:
+                out[c] = []
+                continue
             a = np.full((i.max() + 1, j.max() + 1), np.nan)
             a[i, j] = p[c]
             out[c] = a.tolist()
@@ -38,8 +45,11 @@ class Explorer:
         return {"surface": self._surface(zone, every), "frames": data, "limits": limits, "width": width, "aspect": self.source.aspect_ratio(zone)}
 
     def interact(self, zone: str, times: list[str], mask: str | None = None, every: int = 5, width: int = 1024, limits: tuple[float, float] = (-2.0, 0.5)) -> dict:
-        """One frame per time."""
-        return self._figure(zone, {t: self.source.images(zone, [t], mask) for t in times}, "cp", every, width, limits)
+        """One frame per time, of one pass over the images."""
+        index = {t: self.source.index(t, zone) for t in times}
+        pixels = strided(self.source.images(zone, times, mask), ["i", "j"], every).toPandas()
+        frames = [{"time": t, "color": self._laid_out(pixels[pixels["t_idx"] == k], ["cp"])["cp"]} for t, k in index.items()]
+        return {"surface": self._surface(zone, every), "frames": frames, "limits": limits, "width": width, "aspect": self.source.aspect_ratio(zone)}
 
     def mean(self, zone: str, times: list[str] | None = None, mask: str | None = None, every: int = 5, width: int = 1024, limits: tuple[float, float] = (-2.0, 0.5)) -> dict:
         return self._figure(zone, {"mean": self.source.statistics(zone, times, mask)}, "mean", every, width, limits)

@@ -183,14 +183,17 @@ def parse(known: dict, only_failed: bool):
 def load_lines(lines: DataFrame, dialect: DataFrame, only_failed: bool = False) -> DataFrame:
     """Every row of ``lines`` once: with its vertices, fields and labels, or with the reason it fails.
 
-    One pass without a shuffle; only the removal of repeated rows shuffles, on the row's id.
+    One pass without a shuffle; only the removal of repeated rows shuffles, on the row's id: the lines before they are
+    parsed, or, where only failures are asked for, the few that fail.
     """
     known = dialects(dialect.collect())
     start = "|".join(map(re.escape, HEADERS))
     rows = lines.select("line_id", "file_id", "case_id", "line_no", "write_time", "dialect_id", "raw_line").where(
         F.col("raw_line").isNotNull() & F.col("raw_line").rlike(r"\S") & ~F.col("raw_line").rlike(f"^({start})")
     )
-    return rows.mapInArrow(parse(known, only_failed), SCHEMA).transform(once, "line_id")
+    if only_failed:
+        return rows.mapInArrow(parse(known, True), SCHEMA).transform(once, "line_id")
+    return once(rows, "line_id").mapInArrow(parse(known, False), SCHEMA)
 
 
 def failed_lines(lines: DataFrame, dialect: DataFrame) -> DataFrame:

@@ -196,14 +196,65 @@ class AMPS:
         return dense.band_top(self.frequency, self.spectral_power, n, f_min, f_max)
 
 
-def multitaper_power(signals: DataFrame, dt: float, **options) -> DataFrame:
+def taper_powers(x: np.ndarray, nfft: int, most: int) -> np.ndarray:
+    """Powers of the rows of ``x`` with 1 to ``most`` tapers: tapers x rows x bins.
+
+    The parabolic weights of k tapers are k^2 - (i - 1)^2 up to a factor, so two running sums over the tapers give
+    the powers for every k.
+    """
+    q = np.fft.fft(x, 2 * nfft, axis=1)
+    f = np.arange(nfft if np.iscomplexobj(x) else nfft // 2 + 1)
+    out = np.empty((most, len(x), len(f)))
+    plain = squared = np.zeros((len(x), len(f)))
+    for k in range(1, most + 1):
+        d = np.abs(q[:, (2 * f - k) % (2 * nfft)] - q[:, (2 * f + k) % (2 * nfft)]) ** 2 / 4
+        plain, squared = plain + d, squared + (k - 1) ** 2 * d
+        out[k - 1] = 6 / (k * (4 * k - 1) * (k + 1)) * (k * k * plain - squared)
+    return out * (2 / (nfft + 1) / x.shape[1])
+
+
+def chosen_tapers(power: np.ndarray, tol: float) -> np.ndarray:
+    """The adaptive choice of tapers (see ``dense.adaptive_sweep``) for all rows at once: rows x bins."""
+    most, rows, n_freq = power.shape
+    level = np.log10(power + np.finfo(float).tiny)
+    count, done, last = np.full((rows, n_freq), 2), np.zeros((rows, n_freq), bool), np.ones((rows, n_freq))
+    at = np.arange(rows)
+    while not done.all():
+        for f in np.flatnonzero(~done.all(axis=0)):
+            k = count[:, f]
+            now = level[k - 1, at, f]
+            still = np.abs(now - last[:, f]) <= tol
+            beside = np.zeros(rows, bool)
+            for g in (f - 1, f + 1):
+                if 0 <= g < n_freq:
+                    beside |= k - count[:, g] == 1
+            open_ = ~done[:, f]
+            stop = still | (k >= most) | beside
+            last[open_, f] = now[open_]
+            done[open_ & stop, f] = True
+            count[open_ & ~stop, f] += 1
+    return count
+
+
+def multitaper_power(signals: DataFrame, dt: float, nfft: int | None = None, adaptive: bool = True, max_tapers: int = 50, tolerance: float = 1e-5, subtract_mean: bool = True) -> DataFrame:
     """AMPS of every row (row_id, re): row_id, bin, frequency, power, density, n_tapers. Rows are independent."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            for r in p.itertuples(index=False):
-                a = AMPS(np.asarray(r.re, float), dt, **options)
-                yield pd.DataFrame({"row_id": r.row_id, "bin": np.arange(len(a.frequency)), "frequency": a.frequency, "power": a.spectral_power, "density": a.spectral_density, "n_tapers": a.n_tapers})
+            size = np.fromiter(map(len, p["re"]), int, len(p))
+            for n in np.unique(size):
+                own = p[size == n]
+                x = np.stack(own["re"].to_numpy()).astype(float)
+                length, most = max(nfft or 0, n), max(2, min(max_tapers, n))
+                freq = np.fft.rfftfreq(length, dt)
+                step = max(1, 2_000_000 // (most * len(freq)))
+                for lo in range(0, len(x), step):
+                    y = x[lo : lo + step]
+                    power = taper_powers(y - y.mean(axis=1, keepdims=True) if subtract_mean else y, length, most)
+                    k = chosen_tapers(power, tolerance) if adaptive else np.full(power.shape[1:], most)
+                    v = np.take_along_axis(power, k[None] - 1, axis=0)[0] * dense.one_sided(len(freq), length)
+                    r, c = v.shape
+                    yield pd.DataFrame({"row_id": np.repeat(own["row_id"].to_numpy()[lo : lo + step], c), "bin": np.tile(np.arange(c), r), "frequency": np.tile(freq, r), "power": v.ravel(), "density": v.ravel() * length * dt, "n_tapers": k.ravel()})
 
     kind = dict(signals.dtypes)["row_id"]
     return signals.select("row_id", "re").mapInPandas(run, f"row_id {kind}, bin int, frequency double, power double, density double, n_tapers int")
@@ -222,6 +273,20 @@ def tiled_weights(weights: DataFrame, x: Matrix) -> DataFrame:
     return x.df.select("row_id", F.pmod("row_id", F.lit(n)).alias("_p")).join(weights.select(F.col("row_id").alias("_p"), "w"), "_p").select("row_id", "w")
 
 
+def near_products(g: np.ndarray, length: int, reach: int) -> np.ndarray:
+    """Inner products of the rows' transforms of ``length`` at bins p and p + d, from the Gram matrix: row d + reach,
+    column p, for d within ``reach``. Only this band of all length x length products is ever formed.
+
+    Along a diagonal t - s = m of g the phases of d are applied first; the transform over m does the rest.
+    """
+    n = len(g)
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(n), np.arange(-reach, reach + 1)) / length)
+    by_lag = np.zeros((length, 2 * reach + 1), complex)
+    for m in range(-(n - 1), n):
+        by_lag[m % length] = np.diagonal(g, m) @ turn[max(m, 0) : n + min(m, 0)]
+    return np.fft.fft(by_lag, axis=0).T
+
+
 class AMSPOD:
     """Adaptive multitaper spectral proper orthogonal decomposition of a :class:`Matrix`.
 
@@ -244,8 +309,7 @@ class AMSPOD:
         self.n_freq = self.nfft if x.complex else self.nfft // 2 + 1
         # Inner products of all bins of the rows' transforms, from the Gram matrix alone.
         long_ = 2 * self.nfft
-        half = np.fft.fft(g, long_, axis=1)
-        self.spec = np.conj(np.fft.fft(half.conj(), long_, axis=0)) / long_ * dt
+        self.band = near_products(g, long_, 2 * self.max_tapers) / long_ * dt
         ones = self.weighted.column_sum()
         self.sums = np.fft.fft(ones, long_) / np.sqrt(long_) * np.sqrt(dt)
         self.rows = x.rows
@@ -296,8 +360,11 @@ class AMSPOD:
     def _raw_gram(self, f: int, k: int) -> np.ndarray:
         """Inner products of the tapered transforms 1 to k at bin f, without the parabolic weights."""
         a, b = dense.taper_index(f, k, self.nfft)
-        s = self.spec
-        return (s[np.ix_(a, a)] - s[np.ix_(a, b)] - s[np.ix_(b, a)] + s[np.ix_(b, b)]) / 4 * (2 / (self.nfft + 1))
+        i = np.arange(1, k + 1)
+        reach = 2 * self.max_tapers
+        # Bins 2f - i and 2f + i: how far apart they are is the row of the band.
+        s = lambda x, dx, dy: self.band[dy[None] - dx[:, None] + reach, x[:, None]]
+        return (s(a, -i, -i) - s(a, -i, i) - s(b, i, -i) + s(b, i, i)) / 4 * (2 / (self.nfft + 1))
 
     def _basis_gram(self, f: int, k: int) -> np.ndarray:
         m = np.sqrt(dense.parabolic_weights(k))

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.operators import mesh
+from tidewright.operators import explore, mesh
 from tidewright.session import folder_for, once, shared_folder, table
 from tidewright.sources import csvs, datasource, export, foam, images, netcdf, store, tau, tecplot, vtk, zoned
 
@@ -411,6 +411,17 @@ def psp_masked(spark, sf):
     return out
 
 
+def psp_views(spark, sf):
+    """The mean of every pixel as a figure of each zone shows it."""
+    s = psp_case(spark, sf)
+    rows = []
+    for z in s.zone_names:
+        f = explore.Explorer(s).mean(z, every=1)
+        x, colour = f["surface"]["x"], f["frames"][0]["color"]
+        rows += [(z, float(x[i][0]), round(float(v[0]), 6) + 0.0) for i, v in enumerate(colour)]
+    return spark.createDataFrame(rows, "zone string, x double, mean double")
+
+
 def psp_zones(spark, sf):
     """Masks, frequency, number of times and aspect ratio of each zone, and the image of a time in it."""
     s = psp_case(spark, sf)
@@ -454,7 +465,7 @@ QUERIES = {
     for f in (
         foam_snapshots, foam_binary, foam_decomposed, foam_format, foam_catalog, foam_matrix, foam_cells, foam_mesh_lists, store_snapshots, store_catalog, store_constants, xdmf_values, xdmf_mesh,
         davis_snapshots, davis_points, surface_snapshots, surface_points, vtk_snapshots, vtu_snapshots, vtk_points, tau_snapshots, tau_points, tau_surface, tau_domains, tecplot_snapshots, tecplot_points,
-        image_scale, psp_statistics, psp_masked, psp_zones, time_to_index, s_cube_weights, s_cube_snapshots,
+        image_scale, psp_statistics, psp_masked, psp_views, psp_zones, time_to_index, s_cube_weights, s_cube_snapshots,
     )
 }
 
@@ -510,6 +521,7 @@ UNION ALL SELECT 'neighbour', count(*), CAST(sum(rest + along * a) AS DOUBLE) FR
     "image_scale": "SELECT p_partkey, round((p_partkey * 7919 % 65536) / 65535, 6) + 0.0 AS grey FROM part WHERE round((p_partkey * 7919 % 65536) / 65535, 6) > 0",
     "psp_statistics": f"WITH {_PSP} SELECT zone, i, round(avg(cp), 6) + 0.0 AS mean, round(stddev_samp(cp), 6) + 0.0 AS std FROM p GROUP BY zone, i",
     "psp_masked": f"WITH {_PSP}, f AS (SELECT zone, min(mask) AS mask FROM p GROUP BY zone), px AS (SELECT DISTINCT p.zone, p.i FROM p JOIN f ON f.zone = p.zone AND f.mask = p.mask) SELECT p.zone, p.i, p.t_idx, 0.5 * p.cp AS cp FROM p JOIN px ON px.zone = p.zone AND px.i = p.i",
+    "psp_views": f"WITH {_PSP} SELECT zone, CAST(i AS DOUBLE) AS x, round(avg(cp), 6) + 0.0 AS mean FROM p GROUP BY zone, i",
     "psp_zones": f"WITH {_PSP} SELECT zone, string_agg(DISTINCT mask, ',' ORDER BY mask) AS masks, CAST(50 AS DOUBLE) AS frequency, max(t_idx) + 1 AS n_times, max(t_idx) AS last, CASE WHEN min(i) < max(i) THEN CAST(2 AS DOUBLE) END AS y, CASE WHEN min(i) < max(i) THEN CAST(0.5 AS DOUBLE) END AS z FROM p GROUP BY zone",
     "time_to_index": "SELECT sample_id, CAST(round_even(any_value(try_cast(write_time AS DOUBLE)) * 50, 0) AS BIGINT) AS k FROM mask_samples WHERE loader = 'psp' GROUP BY sample_id",
     "s_cube_weights": "SELECT p_partkey, CAST(0.25 * pow(4 / pow(2, p_size % 8), 2) AS DOUBLE) AS w FROM part",

@@ -14,7 +14,8 @@ from tidewright.operators import rom, spectral, trained
 from tidewright.operators.dmd import DMD, HODMD, MSSA, PMSSA
 from tidewright.operators.linalg import SVD, Matrix
 from tidewright.plans import algebra_sql as A
-from tidewright.plans.snapshots import _E, _L, event_matrix, lineitem_matrix, r6, rounded_long
+from tidewright.plans.snapshots import SQL as PLAIN
+from tidewright.plans.snapshots import _E, _L, _hours, event_matrix, lineitem_matrix, r6, rounded_long
 
 
 def svd_spectrum(spark, sf):
@@ -195,10 +196,59 @@ def cnm_prediction(spark, sf):
     return enc.decode(c.cluster_centers[visited].T).long().join(F.broadcast(at), "k").select("row_id", F.col("k").cast("bigint").alias("k"), "time", F.round("value", 4).alias("value"))
 
 
+def hodmd_reconstruct(spark, sf):
+    x = HODMD(lineitem_matrix(spark, sf), 1.0, delay=5, rank_dr=2, rank=4).reconstruction.long()
+    return x.withColumn("value", F.round("value", 2) + F.lit(0.0))  # what the delays' inner products leave exact in either way
+
+
+def dmd_predict(spark, sf):
+    """Five steps from the last state on."""
+    x = lineitem_matrix(spark, sf)
+    last = Matrix(x.df.select("row_id", F.slice("re", -1, 1).alias("re")), 1)
+    return rounded_long(DMD(x, 1.0, rank=4).predict(last, 5))
+
+
+def dmd_partial(spark, sf):
+    """What the real mode of largest eigenvalue contributes."""
+    d = DMD(lineitem_matrix(spark, sf), 1.0, rank=4)
+    real = np.where(np.abs(d.eigvals.imag) < 1e-9, d.eigvals.real, -np.inf)
+    return rounded_long(d.partial_reconstruction({int(real.argmax())}))
+
+
+def dmd_errors(spark, sf):
+    """Squares of the reconstruction error per time."""
+    e = DMD(lineitem_matrix(spark, sf), 1.0, rank=4).reconstruction_error
+    return e.long().groupBy(F.col("k").cast("bigint").alias("k")).agg((F.round(F.log10(F.sum(F.col("value") ** 2)), 6) + F.lit(0.0)).alias("log_error"))
+
+
+def linear_control_predict(spark, sf):
+    """The modal solution of the control model over all times."""
+    x = event_matrix(spark, sf).numpy()
+    m = trained.LinearControlModel(x[:3], x[3:, :-1], 1.0)
+    return spark.createDataFrame([(i, j, round(float(v), 5) + 0.0) for (i, j), v in np.ndenumerate(m.predict(x[:3, 0], x[3:, :-1]))], "i bigint, j bigint, value double")
+
+
+def dft_partial(spark, sf):
+    """E from the first and the fourth of its bins."""
+    return rounded_long(spectral.DFT(event_matrix(spark, sf), 1.0).partial_reconstruction({0, 3}))
+
+
+def pdft_amplitude(spark, sf):
+    """Amplitudes of the two leading coefficients, per point of E."""
+    p = spectral.PDFT(event_matrix(spark, sf), 1.0, rank=2)
+    return spark.createDataFrame([(k + 1, round(float(v), 6) + 0.0) for k, v in enumerate(p.amplitude)], "bin bigint, amplitude double")
+
+
+def amps_top_power(spark, sf):
+    """The five bins of most power of the hourly signal in a band."""
+    a = spectral.AMPS(_hours(spark, sf).numpy()[0], 1.0, adaptive=False, max_tapers=4)
+    return spark.createDataFrame([(i, int(k)) for i, k in enumerate(a.top_power(5, 0.01, 0.3))], "place bigint, bin bigint")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        svd_spectrum, svd_shares, svd_iterated, svd_optimal_rank, svd_truncated, pod_truncated, dmd_spectrum, dmd_tlsq, dmd_unitary, dmd_ensemble, dmd_forward_backward, dmd_reconstruct, dmd_optimal_amplitudes, dmd_top_modes,
+        hodmd_reconstruct, dmd_predict, dmd_partial, dmd_errors, linear_control_predict, dft_partial, pdft_amplitude, amps_top_power, svd_spectrum, svd_shares, svd_iterated, svd_optimal_rank, svd_truncated, pod_truncated, dmd_spectrum, dmd_tlsq, dmd_unitary, dmd_ensemble, dmd_forward_backward, dmd_reconstruct, dmd_optimal_amplitudes, dmd_top_modes,
         dmd_projection, hodmd_spectrum, mssa_denoised, pmssa_reconstruct, spod_spectrum, spod_top_modes, pamspod_spectrum, amps_adaptive, optdmd_training, linear_model, linear_control_model, kmeans_transitions, cnm_prediction,
     )
 }
@@ -315,6 +365,32 @@ SELECT row_id, round(list_dot_product(b, {A.times_vector("x", "r")}), 6) + 0.0 A
     "dmd_projection": f"""{_W}{_L}, {_gram('L')}, {_reduced(4)}, co AS (SELECT t.t, {A.times_vector("a", A.times_vector("x", A.times_vector("w", A.vector("len(one)", "m[one[{i}] + 1][t.t]"))))} AS z, {A.times_vector("w", A.vector("len(one)", "m[one[{i}] + 1][t.t + 1]"))} AS nb, gram, m[t.t + 1][t.t + 1] AS nn
   FROM red CROSS JOIN gi CROSS JOIN halves CROSS JOIN (SELECT unnest(range(1, (SELECT max(k) + 1 FROM L))) AS t) t)
 SELECT CAST(t - 1 AS BIGINT) AS k, round(log10(list_dot_product(z, {A.times_vector("gram", "z")}) - 2 * list_dot_product(z, nb) + nn), 6) + 0.0 AS log_error FROM co""",
+    "dmd_errors": f"""{_W}{_L}, {_gram('L')}, {_reduced(4)}, st AS (SELECT 0 AS k, a, q AS z FROM red UNION ALL SELECT k + 1, a, {A.times_vector("a", "z")} FROM st WHERE k + 1 <= (SELECT max(k) FROM L)),
+co AS (SELECT k, z, gram, {A.times_vector("w", A.vector("len(one)", "m[one[{i}] + 1][k + 1]"))} AS nb, m[k + 1][k + 1] AS nn FROM st CROSS JOIN (SELECT w, gram FROM red) CROSS JOIN halves)
+SELECT CAST(k AS BIGINT) AS k, round(log10(list_dot_product(z, {A.times_vector("gram", "z")}) - 2 * list_dot_product(z, nb) + nn), 6) + 0.0 AS log_error FROM co""",
+    "dmd_predict": f"""{_W}{_L}, {_gram('L')}, {_reduced(4)}, fs AS (SELECT {A.times_vector("x", A.times_vector("w", A.vector("len(one)", "m[one[{i}] + 1][len(m)]")))} AS z, a FROM red CROSS JOIN gi CROSS JOIN halves),
+br AS (SELECT t.row_id, list_transform(w, lambda wr: list_dot_product(wr, t.x[2:])) AS b FROM (SELECT row_id, list(value ORDER BY k) AS x FROM L GROUP BY row_id) t CROSS JOIN red),
+st AS (SELECT 0 AS k, a, z FROM fs UNION ALL SELECT k + 1, a, {A.times_vector("a", "z")} FROM st WHERE k < 5) SELECT br.row_id, st.k, round(list_dot_product(br.b, st.z), 6) + 0.0 AS value FROM br CROSS JOIN st""",
+    "dmd_partial": f"""{_W}{_L}, {_gram('L')}, {_reduced(4)}, {A.spectrum('sp', 'red')}, {A.shares('sh', 'red', 'sp')}, one1 AS (SELECT re, cr FROM sh WHERE abs(im) < 1e-9 ORDER BY re DESC LIMIT 1),
+br AS (SELECT t.row_id, list_transform(w, lambda wr: list_dot_product(wr, t.x[2:])) AS b FROM (SELECT row_id, list(value ORDER BY k) AS x FROM L GROUP BY row_id) t CROSS JOIN red)
+SELECT br.row_id, CAST(s.k AS INTEGER) AS k, round(list_dot_product(br.b, one1.cr) * pow(one1.re, s.k), 6) + 0.0 AS value FROM br CROSS JOIN one1 CROSS JOIN (SELECT unnest(range((SELECT max(k) + 1 FROM L))) AS k) s""",
+    "hodmd_reconstruct": f"""{_W}{_L}, {_gram('L').replace('G AS', 'G0 AS')}, {A.eigen('dr', 'G0', 2)}, zz AS (SELECT {A.entries("len(vecs[1])", "vals[1] * vecs[1][{i}] * vecs[1][{j}] + vals[2] * vecs[2][{i}] * vecs[2][{j}]")} AS z FROM dr),
+hk AS (SELECT {A.entries("len(z) - 4", "list_sum(list_transform(range(0, 5), lambda hx: z[{i} + hx][{j} + hx]))")} AS m FROM zz), {_reduced(4, source='hk')},
+fa AS (SELECT list_transform(range(1, 3), lambda fx: list_transform(w, lambda fw: list_sum(list_transform(range(1, len(fw) + 1), lambda fi: fw[fi] * sqrt(vals[fx]) * vecs[fx][fi + 1])))) AS f FROM red CROSS JOIN dr),
+ur AS (SELECT row_id, list_transform(range(1, 3), lambda ux: list_dot_product(x, vecs[ux]) / sqrt(vals[ux])) AS u FROM (SELECT row_id, list(value ORDER BY k) AS x FROM L GROUP BY row_id) CROSS JOIN dr),
+st AS (SELECT 0 AS k, a, q AS z FROM red UNION ALL SELECT k + 1, a, {A.times_vector("a", "z")} FROM st WHERE k + 1 <= (SELECT max(k) FROM L))
+SELECT ur.row_id, st.k, round(list_dot_product(ur.u, {A.times_vector("fa.f", "st.z")}), 2) + 0.0 AS value FROM ur CROSS JOIN st CROSS JOIN fa""",
+    "linear_control_predict": f"""{_W}{_E}, x AS (SELECT list(x ORDER BY row_id) AS x FROM (SELECT row_id, list(value ORDER BY k) AS x FROM E GROUP BY row_id)), h AS (SELECT x, list_transform(x, lambda ca: ca[1:len(ca) - 1]) AS z, list_transform(x[1:3], lambda cb: cb[2:]) AS y FROM x),
+zz AS (SELECT {A.times_transposed("z", "z")} AS m FROM h), {A.inverse('zi', 'zz', 120)}, fit AS (SELECT h.x AS data, {A.times_transposed(A.times_transposed("y", "z"), "zi.x")} AS ab FROM h CROSS JOIN zi),
+st AS (SELECT 0 AS j, data, ab, list_transform(data[1:3], lambda sa: sa[1]) AS s FROM fit UNION ALL SELECT j + 1, data, ab, {A.times_vector("ab", "list_concat(s, [data[4][j + 1], data[5][j + 1]])")} FROM st WHERE j + 1 < len(data[1]))
+SELECT i.i, CAST(j AS BIGINT) AS j, round(s[i.i + 1], 5) + 0.0 AS value FROM st CROSS JOIN range(0, 3) AS i(i)""",
+    "dft_partial": f"""WITH {_E}, {_CENTRED.format('E')}, n AS (SELECT max(k) + 1 AS n FROM E), q AS (SELECT row_id, b.b, sum(v * cos(2 * pi() * b.b * k / n)) AS re, -sum(v * sin(2 * pi() * b.b * k / n)) AS im FROM cl CROSS JOIN n CROSS JOIN (SELECT unnest([1, 4]) AS b) b GROUP BY row_id, b.b)
+SELECT q.row_id, t.k, round(sum(2 / n * (q.re * cos(2 * pi() * q.b * t.k / n) - q.im * sin(2 * pi() * q.b * t.k / n))), 6) + 0.0 AS value FROM q CROSS JOIN n CROSS JOIN (SELECT DISTINCT k FROM E) t GROUP BY q.row_id, t.k""",
+    "pdft_amplitude": f"""{_W}{_E}, {_gram('E')}, {A.eigen('ev', 'G', 2)}, cl AS (SELECT row_id, unnest(range(len(v))) AS k, unnest(v) AS v FROM (SELECT unnest([1, 2]) AS row_id, unnest(list_transform([1, 2], lambda pz: list_transform(vecs[pz], lambda px: px * sqrt(vals[pz])))) AS v FROM ev)),
+ct AS (SELECT row_id, k, v - avg(v) OVER (PARTITION BY row_id) AS v FROM cl), n AS (SELECT max(k) + 1 AS n FROM E),
+q AS (SELECT row_id, b.b, any_value(n) AS n, sum(v * cos(2 * pi() * b.b * k / n)) AS re, sum(v * sin(2 * pi() * b.b * k / n)) AS im FROM ct CROSS JOIN n CROSS JOIN (SELECT unnest(range(1, 100)) AS b) b WHERE b.b <= n // 2 GROUP BY row_id, b.b)
+SELECT b AS bin, round(sum(re * re + im * im) / any_value(n) * CASE WHEN 2 * b = any_value(n) THEN 1 ELSE 2 END / 5, 6) + 0.0 AS amplitude FROM q GROUP BY b""",
+    "amps_top_power": f"WITH base AS ({PLAIN['amps_fixed_tapers']}) SELECT row_number() OVER (ORDER BY power DESC) - 1 AS place, bin FROM base WHERE bin / 720 >= 0.01 AND bin / 720 < 0.3 QUALIFY place < 5",
     "hodmd_spectrum": f"""{_W}{_L}, {_gram('L').replace('G AS', 'G0 AS')}, {A.eigen('dr', 'G0', 2)}, zz AS (SELECT {A.entries("len(vecs[1])", "vals[1] * vecs[1][{i}] * vecs[1][{j}] + vals[2] * vecs[2][{i}] * vecs[2][{j}]")} AS z FROM dr),
 hk AS (SELECT {A.entries("len(z) - 4", "list_sum(list_transform(range(0, 5), lambda hx: z[{i} + hx][{j} + hx]))")} AS m FROM zz), {_reduced(4, source='hk')},
 fst AS (SELECT {A.times_transposed(A.times_transposed("w", A.entries("len(w[1])", "z[{i} + 1][{j} + 1]")), "w")} AS first FROM red CROSS JOIN zz),

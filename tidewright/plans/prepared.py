@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.operators import compact, regular, rejects, spikes
-from tidewright.session import table
+from tidewright.session import once, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,6 +23,22 @@ def p1_loaded(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("line_id", F.explode(cells).alias("c")).select("line_id", "c.part", F.col("c.position").cast("bigint").alias("position"), "c.value", "c.text")
 
 
+def csv_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """The weight of each valid line: the norm of its area vector, its validity flag, or one, as its dialect has it."""
+    areas, flag = ["area_x", "area_y", "area_z"], "isValid"
+    d = table(spark, sf, "csv_dialects")
+    asked = F.filter("column_names", lambda c: c.isin([*areas, flag]))
+    n_fields = d.select("dialect_id", F.size("field_columns").alias("n"), F.size(F.filter("column_names", lambda c: c.isin(areas))).alias("areas"), F.array_contains("column_names", flag).alias("flagged"))
+    lines = table(spark, sf, "csv_lines")
+    # The columns asked for come behind the dialect's own fields; a line of which one is missing is not valid.
+    x = rejects.load_lines(lines, d.withColumn("field_columns", F.concat("field_columns", asked))).where("reason is null")
+    kinds = once(lines.select("line_id", "dialect_id"), "line_id").join(F.broadcast(n_fields), "dialect_id")  # a fixed table of a few rows
+    w = F.slice("fields", F.col("n") + 1, F.size("fields"))
+    norm = F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, v: s + v * v))
+    x = x.join(kinds, "line_id").where(F.forall(w, lambda v: ~F.isnan(v)))
+    return x.select("line_id", F.round(F.when(F.col("areas") == 3, norm).when(F.col("flagged"), F.element_at("fields", -1)).otherwise(1.0), 6).alias("w"))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return compact.redundant_files(table(spark, sf, "snapshot_files"))
 
@@ -64,7 +80,7 @@ def p5_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return x.withColumn("scatter", F.round("scatter", 9) + F.lit(0.0))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_loaded, p2_found, p2_bundles, p2_records, p4_found, p4_regular, p5_found, p5_profiles)}
+QUERIES = {f.__name__: f for f in (csv_weights, p1_found, p1_loaded, p2_found, p2_bundles, p2_records, p4_found, p4_regular, p5_found, p5_profiles)}
 
 _LINES = r"""
 WITH rows AS (
@@ -136,6 +152,11 @@ SELECT line_id, part, position, {_VALUE.format("v")} AS value, CAST(NULL AS VARC
 UNION ALL SELECT line_id, 'label', unnest(range(len(labels))), NULL, unnest(labels) FROM lab
 UNION ALL SELECT line_id, 'reject', 0, NULL, CASE WHEN NOT quoted_well THEN 'quoting' WHEN len(clean) <> k THEN 'column_count' ELSE 'invalid_value' END
 FROM ok WHERE NOT quoted_well OR len(clean) <> k OR NOT typed
+""",
+    "csv_weights": _LINES + """
+, good AS (SELECT * FROM ok WHERE quoted_well AND len(clean) = k AND typed), wat AS (SELECT line_id, clean, list_position(column_names, 'area_x') AS a, list_position(column_names, 'area_y') AS b, list_position(column_names, 'area_z') AS c, list_position(column_names, 'isValid') AS f FROM good),
+num AS (SELECT line_id, a, f, TRY_CAST(ltrim(clean[a], '+') AS DOUBLE) AS x, TRY_CAST(ltrim(clean[b], '+') AS DOUBLE) AS y, TRY_CAST(ltrim(clean[c], '+') AS DOUBLE) AS z, TRY_CAST(clean[f] AS DOUBLE) AS v FROM wat)
+SELECT line_id, round(CASE WHEN a > 0 THEN sqrt(x * x + y * y + z * z) WHEN f > 0 THEN v ELSE 1.0 END, 6) AS w FROM num
 """,
     "p2_found": _FILES + "SELECT file_id FROM gone",
     "p2_bundles": _FILES + r"""

@@ -289,17 +289,6 @@ def max_normalized_weights(spark, sf):
     return mesh.max_normalized(once(x.select("sample_id", "case_id", "weight"), "sample_id"), "case_id", "weight").select("sample_id", r6("w").alias("w"))
 
 
-def foam_surface_weights(spark, sf):
-    """Norm of the area vector of each valid line of the surface dialect with areas."""
-    from tidewright.operators import rejects
-
-    lines = table(spark, sf, "csv_lines").where("dialect_id = 3")
-    d = table(spark, sf, "csv_dialects")
-    areas = d.withColumn("field_columns", F.array(F.lit("area_x"), F.lit("area_y"), F.lit("area_z"))).where("dialect_id = 3")
-    x = rejects.load_lines(lines, areas).where("reason is null").where(F.forall("fields", lambda v: ~F.isnan(v)))
-    return x.select("line_id", r6(F.sqrt(F.aggregate("fields", F.lit(0.0), lambda s, v: s + v * v))).alias("w"))
-
-
 def davis_header(spark, sf):
     """Column names of the VARIABLES lines."""
     from tidewright.sources.csvs import davis_columns
@@ -325,7 +314,7 @@ QUERIES = {
         svd_left_gram, pod_round_trip, dft_amplitude, dft_hann_amplitude, dft_top_modes, dft_reconstruct, dft_mode_norms, pdft_reconstruct, amps_fixed_tapers, spod_fixed_trace,
         log_segment_top, dmd_unitary_moduli, 
         mssa_reconstruct, antidiagonal_mean, mesh_face_geometry,
-        mesh_cell_geometry, mesh_topology, knn_weights, max_normalized_weights, foam_surface_weights, davis_header, foam_header,
+        mesh_cell_geometry, mesh_topology, knn_weights, max_normalized_weights, davis_header, foam_header,
     )
 }
 
