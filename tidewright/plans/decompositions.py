@@ -333,7 +333,7 @@ qt AS (SELECT c, nx, count(*) AS n, avg(dt) AS dt FROM tr WHERE nx IS NOT NULL G
 _W = "WITH RECURSIVE "
 
 SQL = {
-    "svd_spectrum": f"{_W}{_L}, {_gram('L')}, {A.eigen('ev', 'G', 20)}, ks AS (SELECT unnest(range(len(vals))) AS k, unnest(vals) AS val FROM ev) SELECT k, round(sqrt(val), 6) + 0.0 AS s, round(100 * val / (SELECT {A.trace('m')} FROM G), 6) + 0.0 AS energy FROM ks",
+    "svd_spectrum": f"{_W}{_L}, {_gram('L')}, {A.eigen('ev', 'G', 20)}, ks AS (SELECT unnest(range(len(vals))) AS k, unnest(vals) AS val FROM ev) SELECT k, round(sqrt(val), 6) + 0.0 AS s, round(100 * val / (SELECT {A.trace('m')} FROM G), 6) + 0.0 AS energy FROM ks WHERE k < (SELECT count(DISTINCT row_id) FROM L)",
     "svd_shares": f"{_W}{_E}, {_ROWS_E}, {A.eigen('ev', 'G', 5)}, ks AS (SELECT unnest(range(len(vals))) AS k, unnest(list_transform(vals, lambda sv: sqrt(sv))) AS s FROM ev) SELECT k, round(s, 6) + 0.0 AS s, round(100 * s / sum(s) OVER (), 6) + 0.0 AS s_rel, round(100 * sum(s) OVER (ORDER BY k) / sum(s) OVER (), 6) + 0.0 AS s_cum FROM ks",
     "svd_iterated": f"{_W}{_L}, {_gram('L')}, {A.eigen('ev', 'G', 1)} SELECT CAST(0 AS BIGINT) AS k, round(sqrt(vals[1]), 5) + 0.0 AS s FROM ev",
     "svd_optimal_rank": f"""{_W}{_E}, {_ROWS_E}, {A.eigen('ev', 'G', 5)}, n AS (SELECT max(k) + 1 AS n FROM E), ks AS (SELECT unnest(range(1, len(vals) + 1)) AS i, unnest(list_transform(vals, lambda sv: sqrt(sv))) AS s FROM ev),
