@@ -35,11 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewright.functions.nearest import Splits
 from tidewright.session import cut, drop
 
 SAMPLE, LEAF, MOST = 20_000, 1500, 40_000
-#: Rows of a task beyond which it splits them further for itself.
-LOCAL = 4_096
+#: Rows of a task beyond which it splits them further for itself; pairs of rows and ball beyond which the ball is
+#: cut into pieces, and rows of a piece.
+LOCAL, PAIRS, PIECE = 4_096, 200_000, 32
 
 
 class Blocks:
@@ -200,12 +202,41 @@ def _relate(a: np.ndarray, b: np.ndarray, radius: float):
         some = np.flatnonzero(~whole & (d - reach <= radius * (1 + 1e-9)))
         if whole.any():
             yield "ball", np.flatnonzero(whole), group
+        if len(some) * len(members) > PAIRS:
+            for kind, i, what in _pieces(a[some], b[members], radius):
+                yield kind, some[i], (members[what[0]], *what[1:])
+            continue
         for i, j, d2 in near_pairs(a[some], b[members], radius):
             yield "pairs", some[i], (members[j], d2)
     for i, j, d2 in near_pairs(a, b[single], radius):
         yield "pairs", i, (single[j], d2)
 
 
+def _pieces(a: np.ndarray, b: np.ndarray, radius: float):
+    """As :func:`relate`, for rows of ``a`` whose radius ends within a ball ``b``: the ball is cut into small pieces, most of
+    which lie within the radius of a row as a whole or not at all."""
+    for j in _by_leaf(np.arange(len(b)), *_leaves(b)):
+        centre = b[j].mean(axis=0)
+        reach = float(np.sqrt(((b[j] - centre) ** 2).sum(axis=1).max()))
+        d = np.sqrt(((a - centre) ** 2).sum(axis=1))
+        whole = d + reach <= radius * (1 - 1e-9)
+        some = np.flatnonzero(~whole & (d - reach <= radius * (1 + 1e-9)))
+        if whole.any():
+            yield "ball", np.flatnonzero(whole), (j, centre, reach)
+        for x, y, d2 in near_pairs(a[some], b[j], radius, step=1024):
+            yield "pairs", some[x], (j[y], d2)
+
+
+def _leaves(b: np.ndarray) -> tuple[np.ndarray, int]:
+    tree = Splits(b, PIECE)
+    return tree.bucket(b), tree.n
+
+
+def per_row(i: np.ndarray) -> np.ndarray:
+    """Where each row's stretch begins in ``i``, in which the pairs of a row follow each other."""
+    return np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+
+
 def hashed(ids: np.ndarray) -> np.ndarray:
     """Well-mixed 64-bit numbers of ids."""
     with np.errstate(over="ignore"):
@@ -279,9 +310,11 @@ def peaks(places: DataFrame, radius: float, sample: int = SAMPLE, leaf: int = LE
                 far[i] += own.sum() * (u * u).sum(axis=1) - 2 * u @ (own @ v) + own @ (v * v).sum(axis=1)
             else:
                 j, d2 = what
-                total += np.bincount(i, w[j], len(a))
-                np.bitwise_xor.at(mark, i, h[j])
-                far += np.bincount(i, w[j] * d2, len(a))
+                if len(i):
+                    at = per_row(i)
+                    total[i[at]] += np.add.reduceat(w[j], at)
+                    far[i[at]] += np.add.reduceat(w[j] * d2, at)
+                    mark[i[at]] ^= np.bitwise_xor.reduceat(h[j], at)
         ids = a["place"].to_numpy()
         return pd.DataFrame({"place": ids, "n": np.rint(total).astype(np.int64), "far": np.maximum(far, 0.0), "mark": mark, "own": hashed(ids)})
 
