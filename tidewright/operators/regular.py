@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewright.session import once
+from tidewright.session import cut, once
 
 #: A cell's readings are ordered in this many parts, so that no task orders all readings of a crowded cell.
 PARTS = 64
@@ -78,7 +78,7 @@ def regular(readings: DataFrame, grids: DataFrame, hold: float = 2.0, block: int
     span = lambda x, e: F.greatest(F.least(e, x["t"] + hold * F.col("delta_t"), hi) - x["t"], F.lit(0.0))
     p = p.withColumn("spans", F.zip_with("r", ends, lambda x, e: F.struct(span(x, e).alias("s"), (span(x, e) * x["value"]).alias("a"))))
     total = lambda column, get: F.aggregate(F.transform(column, get), F.lit(0.0), lambda u, v: u + v)
-    own = p.groupBy("series_id", "slot").agg(
+    own = p.groupBy("series_id", "slot").agg(  # looked at twice: for the cells and for what their blocks carry on
         F.sum(F.aggregate("r", F.lit(0).cast("bigint"), lambda u, x: u + x["n"])).alias("n_readings"),
         F.sum(total("spans", lambda x: x["s"])).alias("own_span"),
         F.sum(total("spans", lambda x: x["a"])).alias("own_area"),
@@ -86,7 +86,7 @@ def regular(readings: DataFrame, grids: DataFrame, hold: float = 2.0, block: int
         F.min(F.col("r")[0]["t"]).alias("first_t"),
         F.max(F.transform(F.slice("r", -1, 1), lambda x: F.struct(x["t"].alias("t"), x["value"].alias("value")))[0]).alias("last"),
     )
-    s = slots(grids).join(own, ["series_id", "slot"], "left").withColumn("block", F.floor(F.col("slot") / block))
+    s = slots(grids).join(cut(own), ["series_id", "slot"], "left").withColumn("block", F.floor(F.col("slot") / block))
     inner = W.partitionBy("series_id", "block").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
     ends = s.groupBy("series_id", "block").agg(F.max_by("last", F.when(F.col("last").isNotNull(), F.col("slot"))).alias("end"))
     outer = W.partitionBy("series_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
