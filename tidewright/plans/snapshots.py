@@ -15,7 +15,7 @@ from tidewright.functions import dense
 from tidewright.operators import mesh, outliers, rom, select, spectral, trained, windows
 from tidewright.operators.dmd import DMD, HODMD, MSSA, PMSSA
 from tidewright.operators.linalg import SVD, Matrix
-from tidewright.session import once, table
+from tidewright.session import cut, once, table
 
 
 def r6(c: Column | str) -> Column:
@@ -106,7 +106,8 @@ def strided_grid(spark, sf):
 
 
 def iqr_outliers(spark, sf):
-    x = outliers.iqr_outliers(lineitem_matrix(spark, sf).long(), "row_id", "k", "value")
+    cells = cut(lineitem_matrix(spark, sf).long())  # the quartiles and the repair look at it three times
+    x = outliers.iqr_outliers(cells, "row_id", "k", "value")
     return x.select("row_id", "k", "value", "outlier", "repaired")
 
 
