@@ -514,3 +514,44 @@ def test_hours_hold_every_event(spark, tmp_path):
     assert Matrix.from_long(d, "row_id", "t", "v", times=[1, 3, 5]).df.first()["re"] == [2.0, 0.0, 3.0]
     with pytest.raises(Exception, match="not listed"):
         Matrix.from_long(d, "row_id", "t", "v", times=[1, 3]).df.collect()
+
+
+def test_losses_and_optimizers_can_be_given(spark, waves):
+    from tidewright.functions import dense
+
+    def penalised(label, prediction, size):
+        loss, g = trained.frobenius(label, prediction, size)
+        return 2 * loss, 2 * g
+
+    class Descent:
+        def __init__(self, params, lr):
+            self.params, self.lr = params, lr
+
+        def step(self, grads):
+            for p, g in zip(self.params, grads, strict=True):
+                p -= self.lr * g
+
+    m = Matrix.from_numpy(spark, waves[::10])
+    o = trained.OptDMD(m, 20 / 120, rank=4)
+    first = o.loss(np.arange(90))
+    log = o.train(epochs=3, lr=1e-4, loss_function=penalised, optimizer=Descent)
+    assert log["train_loss"][0] == pytest.approx(2 * first) and len(log["lr"]) == 3
+    z = np.random.default_rng(0).normal(size=(2, 20))
+    a, b = (trained.LinearModel(z, 1.0, init_forward_backward=False) for _ in range(2))
+    assert b.train(epochs=2, loss_function=penalised, optimizer=Descent)["train_loss"][0] == pytest.approx(2 * a.train(epochs=2)["train_loss"][0])
+    g, plain = trained.frobenius(z, z + 1, z.size)[1], trained.frobenius(z, z + 1, z.size)[0]
+    e = 1e-6
+    assert (trained.frobenius(z, z + 1 + e * g, z.size)[0] - plain) / e == pytest.approx((g**2).sum(), rel=1e-3)
+    assert dense.AdamW is not None
+
+
+def test_operators_are_exported_by_name():
+    import tidewright.operators as ops
+    from tidewright.functions.checks import with_second_axis
+
+    assert ops.DMD is DMD and "CNM" in dir(ops)
+    with pytest.raises(AttributeError):
+        ops.Nothing
+    x = np.arange(3)
+    assert with_second_axis(x).shape == (1, 3) and with_second_axis(x, last=True).shape == (3, 1) and with_second_axis(x[None]).shape == (1, 3)
+

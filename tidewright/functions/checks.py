@@ -8,6 +8,9 @@ from collections.abc import Callable
 from functools import wraps
 from typing import Any
 
+import numpy as np
+
+
 #: Names of the byte units.
 UNITS = ("b", "Kb", "Mb", "Gb", "Tb", "Pt")
 
@@ -86,3 +89,8 @@ class EarlyStopping:
             self.count += 1
             self.stop = self.count >= self.patience
         return self.stop
+
+
+def with_second_axis(x: np.ndarray, last: bool = False) -> np.ndarray:
+    """A vector as one row, or with ``last`` as one column; arrays of more dimensions as they are."""
+    return x if x.ndim != 1 else x[:, None] if last else x[None]

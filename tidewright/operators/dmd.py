@@ -12,10 +12,12 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidewright.functions import dense
 from tidewright.functions.checks import format_byte_size
 from tidewright.operators.linalg import SVD, Matrix, beside, minus
+from tidewright.session import positions
 
 
 def dft_properties(dt: float, n_times: int) -> tuple[float, float, float]:
@@ -171,11 +173,12 @@ class DMD:
         return self._lifted(b[:, None] * dense.powers(self.eigvals, n_steps + 1))
 
     def _column(self, x: np.ndarray) -> Matrix:
-        ids = [r[0] for r in self.x.df.select("row_id").orderBy("row_id").collect()]
-        spark = self.x.spark
-        kind = f"row_id {dict(self.x.df.dtypes)['row_id']}, re array<double>" + (", im array<double>" if np.iscomplexobj(x) else "")
-        rows = [(i, [float(v.real)], *([[float(v.imag)]] if np.iscomplexobj(x) else [])) for i, v in zip(ids, x, strict=True)]
-        return Matrix(spark.createDataFrame(rows, kind), 1)
+        if len(x) != self.x.rows:
+            raise ValueError(f"a state has {self.x.rows} numbers, not {len(x)}")
+        # The array meets the rows by their position; the ids stay where they are.
+        kind = "_pos bigint, re array<double>" + (", im array<double>" if np.iscomplexobj(x) else "")
+        values = self.x.spark.createDataFrame([(k, [float(v.real)], *([[float(v.imag)]] if np.iscomplexobj(x) else [])) for k, v in enumerate(x)], kind)
+        return Matrix(positions(self.x.df.select("row_id").withColumn("_all", F.lit(0)), ["_all"], ["row_id"]).join(values, "_pos").drop("_pos", "_all"), 1)
 
     def _modes_times(self, col: Matrix) -> np.ndarray:
         both = beside([Matrix(self.x.df, self.x.n), col]) if col.complex == self.x.complex else None

@@ -7,6 +7,8 @@ and modes are lifted at the end. Errors are data minus reconstruction.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 from tidewright.functions import dense
@@ -15,6 +17,18 @@ from tidewright.operators.dmd import DMD, HODMD
 from tidewright.operators.linalg import SVD, Matrix, minus
 
 
+#: A loss: of label, prediction and number of data entries, its value and its gradient with respect to the
+#: (conjugate) prediction.
+Loss = Callable[[np.ndarray, np.ndarray, int], tuple[float, np.ndarray]]
+
+
+def frobenius(label: np.ndarray, prediction: np.ndarray, size: int) -> tuple[float, np.ndarray]:
+    """Root mean square error."""
+    e = prediction - label
+    loss = float(np.linalg.norm(e) / np.sqrt(size))
+    return loss, e / (max(loss, 1e-300) * size)
+
+
 class OptDMD:
     """DMD whose eigenvalues and scaled modes minimise the reconstruction error (AdamW)."""
 
@@ -57,29 +71,27 @@ class OptDMD:
         y = phi @ (lam[:, None] ** np.asarray(t)[None])
         return y if self.complex else y.real
 
-    def _gradient(self, t: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    def _gradient(self, t: np.ndarray, loss_function: Loss = frobenius) -> tuple[float, list[np.ndarray]]:
         """Loss and its gradients with respect to the conjugates of the kept modes and eigenvalues."""
-        e = self.forward(t) - self.z[:, t]
-        size = self.height * len(t)
-        loss = np.linalg.norm(e) / np.sqrt(size)
-        scale = 1 / (max(loss, 1e-300) * size)
+        loss, e = loss_function(self.z[:, t], self.forward(t), self.height * len(t))
         weight = np.where(self.pair, 2.0, 1.0) if not self.complex else np.ones(len(self.lam))
         p = self.lam[:, None] ** t[None]
         dp = t[None] * self.lam[:, None] ** np.maximum(t - 1, 0)[None]
-        g_phi = e @ p.conj().T * weight * scale
-        g_lam = np.einsum("mk,mt,kt->k", self.phi.conj(), e, dp.conj()) * weight * scale
+        g_phi = e @ p.conj().T * weight
+        g_lam = np.einsum("mk,mt,kt->k", self.phi.conj(), e, dp.conj()) * weight
         return float(loss), [g_phi, g_lam]
 
-    def loss(self, t: np.ndarray) -> float:
-        """Root mean square error over the times ``t`` and all rows of the data."""
-        return float(np.linalg.norm(self.z[:, t] - self.forward(t)) / np.sqrt(self.height * len(t)))
+    def loss(self, t: np.ndarray, loss_function: Loss = frobenius) -> float:
+        """The loss over the times ``t``; its size counts all rows of the data."""
+        return loss_function(self.z[:, t], self.forward(t), self.height * len(t))[0]
 
-    def train(self, epochs: int = 1000, lr: float = 1e-3, batch_size: int | None = None, train_size: float = 0.75, val_size: float = 0.25, scheduler_options: dict | None = None, stopping_options: dict | None = None, loss_key: str = "val_loss", seed: int = 0) -> dict:
+    def train(self, epochs: int = 1000, lr: float = 1e-3, batch_size: int | None = None, train_size: float = 0.75, val_size: float = 0.25, scheduler_options: dict | None = None, stopping_options: dict | None = None, loss_key: str = "val_loss", seed: int = 0, loss_function: Loss = frobenius, optimizer: Callable = dense.AdamW) -> dict:
+        """``optimizer(parameters, lr)`` changes the parameters in place by ``step(gradients)`` and has its rate as ``lr``."""
         n = self.z.shape[1]
         n_train = max(1, int(n * train_size / (train_size + val_size)))
         train, val = np.arange(n_train), np.arange(n_train, n)
         rng = np.random.default_rng(seed)
-        opt = dense.AdamW([self.phi, self.lam], lr)
+        opt = optimizer([self.phi, self.lam], lr)
         plateau = dense.Plateau(opt, **(scheduler_options or {}))
         best: list[np.ndarray] = []
         stop = EarlyStopping(**(stopping_options or {}), save=lambda: best.__setitem__(slice(None), [self.phi.copy(), self.lam.copy()]))
@@ -88,12 +100,12 @@ class OptDMD:
             order = rng.permutation(train) if batch_size else train
             losses = []
             for a in range(0, n_train, size):
-                loss, grads = self._gradient(order[a : a + size])
+                loss, grads = self._gradient(order[a : a + size], loss_function)
                 losses.append(loss)
                 opt.step(grads)
             self.log["train_loss"].append(float(np.mean(losses)))
-            self.log["val_loss"].append(self.loss(val) if len(val) else float("nan"))
-            self.log["full_loss"].append(self.loss(np.arange(n)))
+            self.log["val_loss"].append(self.loss(val, loss_function) if len(val) else float("nan"))
+            self.log["full_loss"].append(self.loss(np.arange(n), loss_function))
             self.log["lr"].append(opt.lr)
             key = loss_key if len(val) or loss_key != "val_loss" else "train_loss"
             plateau.step(self.log[key][-1])
@@ -226,18 +238,16 @@ class LinearModel:
     def _pairs(self, horizon: int) -> list[tuple[int, int]]:
         return [(k, i) for k, d in enumerate(self.dm) for i in range(d.shape[1] - horizon)]
 
-    def _gradient(self, pairs: list[tuple[int, int]], horizon: int) -> tuple[float, list[np.ndarray]]:
-        """RMSE of the rollouts from the denoised starts, gradients for A and the noise of each trajectory."""
+    def _gradient(self, pairs: list[tuple[int, int]], horizon: int, loss_function: Loss = frobenius) -> tuple[float, list[np.ndarray]]:
+        """Loss of the rollouts from the denoised starts, gradients for A and the noise of each trajectory."""
         k, i = np.array(pairs).T
         clean = [d - e for d, e in zip(self.dm, self.noise, strict=True)]
         x = [np.stack([clean[a][:, b] for a, b in pairs], axis=1)]
         for _ in range(horizon):
             x.append(self.A @ x[-1])
         target = [np.stack([clean[a][:, b + h] for a, b in pairs], axis=1) for h in range(1, horizon + 1)]
-        e = [p - t for p, t in zip(x[1:], target, strict=True)]
-        size = sum(v.size for v in e)
-        loss = np.sqrt(sum((v**2).sum() for v in e) / size)
-        scale = 1 / (max(loss, 1e-300) * size)
+        both = np.stack(target), np.stack(x[1:])
+        loss, e = loss_function(*both, both[0].size)
         g_a = np.zeros_like(self.A)
         g_noise = [np.zeros_like(d) for d in self.dm]
         back = np.zeros_like(x[0])
@@ -245,29 +255,29 @@ class LinearModel:
             back = back + e[h - 1]
             g_a += back @ x[h - 1].T
             for m in range(len(pairs)):
-                g_noise[k[m]][:, i[m] + h] += e[h - 1][:, m] * scale
+                g_noise[k[m]][:, i[m] + h] += e[h - 1][:, m]
             back = self.A.T @ back
         for m in range(len(pairs)):
-            g_noise[k[m]][:, i[m]] -= back[:, m] * scale
-        return float(loss), [g_a * scale, *g_noise]
+            g_noise[k[m]][:, i[m]] -= back[:, m]
+        return float(loss), [g_a, *g_noise]
 
-    def train(self, epochs: int = 1000, lr: float = 1e-3, batch_size: int | None = None, horizon: int = 1, train_size: float = 0.75, test_size: float = 0.25, scheduler_options: dict | None = None, stopping_options: dict | None = None, loss_key: str = "full_loss", seed: int = 0) -> dict:
+    def train(self, epochs: int = 1000, lr: float = 1e-3, batch_size: int | None = None, horizon: int = 1, train_size: float = 0.75, test_size: float = 0.25, scheduler_options: dict | None = None, stopping_options: dict | None = None, loss_key: str = "full_loss", seed: int = 0, loss_function: Loss = frobenius, optimizer: Callable = dense.AdamW) -> dict:
         pairs = self._pairs(horizon)
         n_train = len(pairs) if len(pairs) == 1 else int(len(pairs) * train_size / (train_size + test_size))
         train, val = pairs[:n_train], pairs[n_train:]
-        opt = dense.AdamW([self.A, *self.noise], lr)
+        opt = optimizer([self.A, *self.noise], lr)
         plateau, stop = dense.Plateau(opt, **(scheduler_options or {})), EarlyStopping(**(stopping_options or {}))
         rng = np.random.default_rng(seed)
         for _ in range(epochs):
             order = [train[j] for j in rng.permutation(len(train))] if batch_size else train
             losses = []
             for a in range(0, len(order), batch_size or len(order)):
-                loss, grads = self._gradient(order[a : a + (batch_size or len(order))], horizon)
+                loss, grads = self._gradient(order[a : a + (batch_size or len(order))], horizon, loss_function)
                 losses.append(loss)
                 opt.step(grads)
             self.log["train_loss"].append(float(np.mean(losses)))
-            self.log["val_loss"].append(self._gradient(val, horizon)[0] if val else float("nan"))
-            self.log["full_loss"].append(self._gradient(pairs, horizon)[0])
+            self.log["val_loss"].append(self._gradient(val, horizon, loss_function)[0] if val else float("nan"))
+            self.log["full_loss"].append(self._gradient(pairs, horizon, loss_function)[0])
             self.log["lr"].append(opt.lr)
             plateau.step(self.log[loss_key][-1])
             if stop(self.log[loss_key][-1]):
