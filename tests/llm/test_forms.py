@@ -80,4 +80,7 @@ def test_pairs(spark):
     got = sorted(map(tuple, t.same_looks(d).collect()))
     assert got == [(1, 2), (1, 3), (1, 4), (2, 4), (3, 4), (7, 8)]
     assert t.same_looks(d.limit(0)).count() == 0
+    made = {r["doc_id"]: (r["class_id"], r["size"], r["links"]) for r in t.classes(d).collect()}
+    assert {k: v[:2] for k, v in made.items()} == {1: (1, 4), 2: (1, 4), 3: (1, 4), 4: (1, 4), 5: (5, 1), 7: (7, 2), 8: (7, 2)}
+    assert all(v[2] == sum(k in pair for pair in got) for k, v in made.items())
     assert {r["doc_id"]: r["text"] for r in t.forms(d).collect()}[4] == "valve A" and t.forms(d).where("doc_id = 6").first()["text"] is None

@@ -66,12 +66,17 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return textforms.same_looks(_documents(spark, sf))
 
 
+def p9_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with the class of texts that look like its own."""
+    return textforms.classes(_documents(spark, sf))
+
+
 def p9_forms(spark: SparkSession, sf: str) -> DataFrame:
     """Every text in its consistent form."""
     return textforms.forms(_documents(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p6_found, p7_packed, p7_usage, p8_found, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_clusters, p6_found, p7_packed, p7_usage, p8_found, p9_found, p9_classes, p9_forms)}
 
 
 def _looks(column: str) -> str:
@@ -142,4 +147,9 @@ WITH k AS (SELECT doc_id, text, {_looks("text")} AS looks FROM documents WHERE t
 SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM k a JOIN k b ON a.looks = b.looks AND a.doc_id < b.doc_id AND a.text <> b.text
 """,
     "p7_usage": "SELECT count(*) AS texts, CAST(0 AS BIGINT) AS torn, CAST(0 AS BIGINT) AS split_needlessly, CAST(0 AS BIGINT) AS over, true AS full FROM documents WHERE text IS NOT NULL",
+    "p9_classes": f"""
+WITH k AS (SELECT doc_id, text, {_looks("text")} AS looks FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+t AS (SELECT looks, text, count(*) AS same FROM k GROUP BY looks, text), c AS (SELECT looks, min(doc_id) AS class_id, count(*) AS size FROM k GROUP BY looks)
+SELECT k.doc_id, c.class_id, c.size, c.size - t.same AS links FROM k JOIN c ON c.looks = k.looks JOIN t ON t.looks = k.looks AND t.text = k.text
+""",
 }

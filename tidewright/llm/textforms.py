@@ -309,3 +309,15 @@ def same_looks(documents: DataFrame) -> DataFrame:
     pairs = c.select("form", F.col("own").alias("own_a")).join(c.select("form", F.col("own").alias("own_b")), "form").where("own_a < own_b").select("own_a", "own_b")
     a, b = d.select(F.col("own").alias("own_a"), F.col("doc_id").alias("a")), d.select(F.col("own").alias("own_b"), F.col("doc_id").alias("b"))
     return pairs.join(a, "own_a").join(b, "own_b").where("a <> b").select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b")).distinct()
+
+
+def classes(documents: DataFrame) -> DataFrame:
+    """doc_id, class_id (the smallest doc_id of its form), size of the class, and links: documents of the form with another text.
+
+    One row per document, whatever the number of copies; only ids, digests and counts are shuffled.
+    """
+    d = cut(digests(documents).groupBy("doc_id", "form", "own").agg(F.lit(1).alias("_one")))
+    per_text = d.groupBy("form", "own").agg(F.countDistinct("doc_id").alias("_same"), F.min("doc_id").alias("_first"))
+    per_form = per_text.groupBy("form").agg(F.sum("_same").alias("size"), F.min("_first").alias("class_id"))
+    counts = per_text.join(per_form, "form").select("form", "own", "class_id", "size", (F.col("size") - F.col("_same")).alias("links"))
+    return d.join(counts, ["form", "own"]).select("doc_id", "class_id", "size", "links")
